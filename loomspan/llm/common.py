@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
     """Re-cuts batches so that each holds about ``most_bytes`` of ``column`` at most (one row at least)."""
     for batch in batches:
         at, held = 0, 0
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist() if batch.num_rows else []
+        sizes = pc.binary_length(batch.column(column)).to_pylist() if batch.num_rows else []
         for i, n in enumerate(sizes):
             if held and held + (n or 0) > most_bytes:
                 yield batch.slice(at, i - at)
