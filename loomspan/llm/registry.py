@@ -6,9 +6,11 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .packing import op5_packing
 from .token_file import op6_token_file
 
+from .decontaminate import op3_decontaminate
 from .near_dedup import op9_jaccard_join
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op9_jaccard_join": op9_jaccard_join,
     "op5_packing": op5_packing,
     "op6_token_file": op6_token_file,
