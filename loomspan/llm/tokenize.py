@@ -3,13 +3,15 @@
 Both pre-tokenisers in use never join characters across the chunk borders chosen here, so the ids of a text
 are the ids of its chunks, one after the other:
 
-* ``byte_bpe``: a chunk is a run of white space, or a word with the single space before it;
+* ``byte_bpe``: texts in which no white space follows white space are cut before every blank and line end; a
+  chunk is a word with the single character of white space before it. Other texts are cut by BYTE_CHUNK;
 * ``word_bpe``: white space is dropped, and a chunk is what stands between.
 
-Chunks not seen before are encoded together, in one call for some thousands, and told apart by the ids
-of a mark between them. The four controls U+001C to U+001F, which Python counts as white space and the
-tokenisers don't, send a text to the tokenizer whole, and so does the mark of a special token. The memo is
-emptied when it is full, so memory is bounded.
+A full stop or comma at the end of a chunk and after a letter is a piece of its own, so such chunks are put
+together from two known ones. Chunks not seen before are encoded together, in one call for some thousands,
+and told apart by the ids of a mark between them. The four controls U+001C to U+001F, which Python counts as
+white space and the tokenisers don't, send a text to the tokenizer whole, and so do the mark and the start of
+a special token. The memo is emptied when it is full, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -21,8 +23,14 @@ from collections.abc import Sequence
 import numpy as np
 
 BYTE_CHUNK = re.compile(r"\s+(?!\S)| ?\S+|\s+")
+#: White space but blank and line end, and runs of those two.
+RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 DIGIT = "\u0663"
-ODD = re.compile(f"[\x1c-\x1f{DIGIT}]")
+START = "\x1c"
+#: Characters whose lower case depends on others, or that composition may change.
+UNEVEN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 KEPT: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
@@ -35,12 +43,22 @@ def chunk_tokenizer(path: str, words: bool) -> ChunkTokenizer:
     return KEPT[key]
 
 
+def odd(text: str) -> bool:
+    """Whether only the tokenizer itself can cut a text."""
+    return "<|" in text or any(c in text for c in CONTROLS) or (DIGIT in text and not text.isascii())
+
+
+def simple(text: str) -> bool:
+    """Whether white space is single blanks and line ends between words, perhaps at either end."""
+    return not any(c in text for c in RUNS) and text[0] not in " \n" and text[-1] not in " \n" and (text.isascii() or not WIDE.search(text))
+
+
 class ChunkTokenizer(dict):
     """Maps a chunk to its ids as little-endian unsigned 32-bit integers."""
 
     TOGETHER = 2_000
 
-    def __init__(self, path: str, words: bool, most: int = 800_000):
+    def __init__(self, path: str, words: bool, most: int = 900_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -49,6 +67,8 @@ class ChunkTokenizer(dict):
         # A line end, or a digit that is no part of a longer piece; texts with that digit are encoded whole.
         self.mark = f" {DIGIT} " if words else "\n"
         self.mark_ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.blank = "" if words else " "
+        self.stops = {c: self._encode(c) for c in ".,"}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -57,7 +77,7 @@ class ChunkTokenizer(dict):
         """Encodes chunks together, the mark between them; their ids stand between those of the mark."""
         for k in range(0, len(chunks), self.TOGETHER):
             part = chunks[k : k + self.TOGETHER]
-            text = self.mark.join(["", *part, ""])
+            text = self.mark + self.blank + (self.mark + self.blank).join(part) + self.mark
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             n = len(self.mark_ids)
             hit = ids[: len(ids) - n + 1] == self.mark_ids[0]
@@ -67,18 +87,31 @@ class ChunkTokenizer(dict):
             packed = ids.tobytes()
             self.update((c, packed[a:b]) for c, a, b in zip(part, (4 * (at[:-1] + n)).tolist(), (4 * at[1:]).tolist(), strict=True))
 
+    def _chunks(self, text: str) -> list[str]:
+        if self.words:
+            return text.split() if UNEVEN.search(text) else text.lower().split()
+        # Without its blank a word stands for the blank and itself; a line end and the text's start stay.
+        if not simple(text):
+            return [c if c.isspace() else c[1:] if c[0] == " " else START + c for c in BYTE_CHUNK.findall(text)]
+        return (START + text).replace("\n", " \n").split(" ")
+
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         """The packed ids of each text; empty for an empty one."""
-        split = str.split if self.words else BYTE_CHUNK.findall
-        whole = [bool(ODD.search(x)) or "<|" in x for x in texts]
-        chunks = [[] if w else split(x) for x, w in zip(texts, whole)]
+        whole = [odd(x) for x in texts]
+        chunks = [[] if w or not x else self._chunks(x) for x, w in zip(texts, whole)]
         if len(self) >= self.most:
             self.clear()
-        new = {c for own in chunks for c in own if c not in self}
-        plain = [c for c in new if not c.isspace()]
-        self.update((c, self._encode(c)) for c in new if c.isspace())
-        self._learn(plain)
+        new = set().union(*chunks).difference(self)
+        stopped = [c for c in new if c[-1] in ".," and c[-2:-1].isalpha() and not UNEVEN.match(c[-2])]
+        new.difference_update(stopped)
+        new.update(c[:-1] for c in stopped if c[:-1] not in self)
+        special = [c for c in new if not self.words and (c[0] in START + "\n" or c.isspace())]
+        new.difference_update(special)
+        for c in special:  # the start of a text, which bears a mark, and chunks with a line end
+            self[c] = self._encode(c[1:] if c[0] == START else c)
+        self._learn(list(new))
         get = self.__getitem__
+        self.update((c, get(c[:-1]) + self.stops[c[-1]]) for c in stopped)
         return [self._encode(x) if w else b"".join(map(get, own)) for x, w, own in zip(texts, whole, chunks)]
 
 
