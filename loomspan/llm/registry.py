@@ -7,9 +7,13 @@ from .packing import op5_packing
 from .token_file import op6_token_file
 
 from .decontaminate import op3_decontaminate
+from .quality import op4_quality_ranking
+from .toxicity import op7_toxic_segments
 from .near_dedup import op9_jaccard_join
 
 QUERIES = {
+    "op4_quality_ranking": op4_quality_ranking,
+    "op7_toxic_segments": op7_toxic_segments,
     "op3_decontaminate": op3_decontaminate,
     "op9_jaccard_join": op9_jaccard_join,
     "op5_packing": op5_packing,
