@@ -77,3 +77,17 @@ def with_row_id(docs: DataFrame) -> DataFrame:
 def fold_of(doc_id: str = "doc_id"):
     """crc32 of the id as text, mod 4; 2 is the held-out fold."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
+
+
+URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def host_of(url):
+    """What stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; else empty."""
+    return F.translate(F.coalesce(F.regexp_extract(url, URL, 1), F.lit("")), UPPER, LOWER)
+
+
+def path_of(url):
+    """What follows the host up to ``?``, ``#`` or the end; else empty."""
+    return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))

@@ -9,9 +9,11 @@ from .token_file import op6_token_file
 from .decontaminate import op3_decontaminate
 from .quality import op4_quality_ranking
 from .toxicity import op7_toxic_segments
+from .html_extract import op10_wrapper_text
 from .near_dedup import op9_jaccard_join
 
 QUERIES = {
+    "op10_wrapper_text": op10_wrapper_text,
     "op4_quality_ranking": op4_quality_ranking,
     "op7_toxic_segments": op7_toxic_segments,
     "op3_decontaminate": op3_decontaminate,
