@@ -10,9 +10,11 @@ from .decontaminate import op3_decontaminate
 from .quality import op4_quality_ranking
 from .toxicity import op7_toxic_segments
 from .html_extract import op10_wrapper_text
+from .url_filter import op2_path_templates
 from .near_dedup import op9_jaccard_join
 
 QUERIES = {
+    "op2_path_templates": op2_path_templates,
     "op10_wrapper_text": op10_wrapper_text,
     "op4_quality_ranking": op4_quality_ranking,
     "op7_toxic_segments": op7_toxic_segments,
