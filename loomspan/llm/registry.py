@@ -11,9 +11,11 @@ from .quality import op4_quality_ranking
 from .toxicity import op7_toxic_segments
 from .html_extract import op10_wrapper_text
 from .url_filter import op2_path_templates
+from .line_dedup import op1_line_dedup
 from .near_dedup import op9_jaccard_join
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_path_templates": op2_path_templates,
     "op10_wrapper_text": op10_wrapper_text,
     "op4_quality_ranking": op4_quality_ranking,
