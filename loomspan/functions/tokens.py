@@ -34,9 +34,16 @@ def cost(tokens: Column, rate: Column) -> Column:
 
 
 def short_number(n: Column) -> Column:
-    """1.2M, 3.4k or the number itself."""
-    million, thousand = F.format_string("%.1fM", n / 1e6), F.format_string("%.1fk", n / 1e3)
-    return F.when(n >= 1_000_000, million).when(n >= 1_000, thousand).otherwise(n.cast("bigint").cast("string"))
+    """1.2M, 3.4k or the number itself; ties go to the even digit."""
+
+    def tenths(unit: int, name: str) -> Column:
+        n_, step = n.cast("bigint"), unit // 10
+        whole, rest = F.floor(n_ / step).cast("bigint"), F.pmod(n_, F.lit(step))
+        up = (rest * 2 > step) | ((rest * 2 == step) & (F.pmod(whole, F.lit(2)) == 1))
+        whole = whole + up.cast("bigint")
+        return F.concat(F.floor(whole / 10).cast("string"), F.lit("."), F.pmod(whole, F.lit(10)).cast("string"), F.lit(name))
+
+    return F.when(n >= 1_000_000, tenths(1_000_000, "M")).when(n >= 1_000, tenths(1_000, "k")).otherwise(n.cast("bigint").cast("string"))
 
 
 def shown_cost(value: Column) -> Column:

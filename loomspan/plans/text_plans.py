@@ -218,7 +218,7 @@ def commit_log_parse(spark, sf):
     return fs.commits(log).select("sha", "id", "file_path", "author", "subject", "body", F.sha2("content", 256).alias("content_sha256"))
 
 
-@query("cost_estimate", "SELECT doc_id, n, round(n * 15.0 / 1e6, 9) AS cost, CASE WHEN n >= 1000 THEN printf('%.1fk', n / 1e3) ELSE CAST(n AS VARCHAR) END AS shown FROM (SELECT doc_id, greatest(1, length(content) // 4) AS n FROM files)", ("files",))
+@query("cost_estimate", "SELECT doc_id, n, round(n * 15.0 / 1e6, 9) AS cost, CASE WHEN n >= 1000 THEN (w // 10) || '.' || (w % 10) || 'k' ELSE CAST(n AS VARCHAR) END AS shown FROM (SELECT doc_id, n, n // 100 + CASE WHEN n % 100 > 50 OR (n % 100 = 50 AND n // 100 % 2 = 1) THEN 1 ELSE 0 END AS w FROM (SELECT doc_id, greatest(1, length(content) // 4) AS n FROM files))", ("files",))
 def cost_estimate(spark, sf):
     n = tokens.counted_tokens(F.col("content"))
     return files(spark, sf).select("doc_id", n.alias("n"), F.round(tokens.cost(n, F.lit(15.0)), 9).alias("cost"), tokens.short_number(n).alias("shown"))
