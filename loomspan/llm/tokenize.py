@@ -8,16 +8,19 @@ are the ids of its chunks, one after the other:
 * ``word_bpe``: white space is dropped, and a chunk is what stands between.
 
 A full stop or comma at the end of a chunk and after a letter is a piece of its own, so such chunks are put
-together from two known ones. Chunks not seen before are encoded together, in one call for some thousands,
+together from two known ones. A chunk of letters alone is one piece for both pre-tokenisers, and goes to the
+tokenizer's model as such. Other chunks not seen before are encoded together, in one call for some thousands,
 and told apart by the ids of a mark between them. The four controls U+001C to U+001F, which Python counts as
 white space and the tokenisers don't, send a text to the tokenizer whole, and so do the mark and the start of
-a special token. The memo is emptied when it is full, so memory is bounded.
+a special token. Long chunks hardly come again and are not kept; the memo is emptied when it is full, so memory
+is bounded.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -31,6 +34,9 @@ DIGIT = "\u0663"
 START = "\x1c"
 #: Characters whose lower case depends on others, or that composition may change.
 UNEVEN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: b for b in PRINTABLE} | {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 KEPT: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
@@ -56,13 +62,14 @@ def simple(text: str) -> bool:
 class ChunkTokenizer(dict):
     """Maps a chunk to its ids as little-endian unsigned 32-bit integers."""
 
-    TOGETHER = 2_000
+    TOGETHER, KEPT_LENGTH = 1_000, 10
 
-    def __init__(self, path: str, words: bool, most: int = 900_000):
+    def __init__(self, path: str, words: bool, most: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.words, self.most = words, most
         # A line end, or a digit that is no part of a longer piece; texts with that digit are encoded whole.
         self.mark = f" {DIGIT} " if words else "\n"
@@ -74,7 +81,15 @@ class ChunkTokenizer(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, chunks: Sequence[str]) -> None:
-        """Encodes chunks together, the mark between them; their ids stand between those of the mark."""
+        """Encodes letters by the model, and other chunks together, the mark between them, whose ids cut theirs out."""
+        letters = [c for c in chunks if c.isalpha() and not UNEVEN.search(c) and (not self.words or c == c.lower())]
+        lead, tokenize = "" if self.words else "\u0120", self.model.tokenize
+        for c in letters:
+            piece = c if c.isascii() else c.encode().decode("latin-1").translate(BYTE_LETTERS)
+            self[c] = array("I", [t.id for t in tokenize(lead + piece)]).tobytes()
+        if len(letters) == len(chunks):
+            return
+        chunks = [c for c in chunks if c not in self]
         for k in range(0, len(chunks), self.TOGETHER):
             part = chunks[k : k + self.TOGETHER]
             text = self.mark + self.blank + (self.mark + self.blank).join(part) + self.mark
@@ -112,7 +127,11 @@ class ChunkTokenizer(dict):
         self._learn(list(new))
         get = self.__getitem__
         self.update((c, get(c[:-1]) + self.stops[c[-1]]) for c in stopped)
-        return [self._encode(x) if w else b"".join(map(get, own)) for x, w, own in zip(texts, whole, chunks)]
+        out = [self._encode(x) if w else b"".join(map(get, own)) for x, w, own in zip(texts, whole, chunks)]
+        for c in new.union(stopped, special):
+            if len(c) > self.KEPT_LENGTH:
+                self.pop(c, None)
+        return out
 
 
 def public_path(name: str) -> str:
