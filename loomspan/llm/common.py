@@ -69,8 +69,22 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             yield batch.slice(at)
 
 
+STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "Relation"}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` if it is no more than a scan, which reads the same rows in the same order each time; else a staged copy."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split()[0] not in STEADY:
+            return staged(df, "settled")
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return df
+
+
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """Adds ``__rid``, which tells repeated rows apart; ``docs`` has to be a table that reads the same each time."""
+    """Adds ``__rid``, which tells repeated rows apart; ``docs`` has to be settled."""
     return docs.withColumn("__rid", F.monotonically_increasing_id())
 
 

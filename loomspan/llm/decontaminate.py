@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, checked_broadcast, pieces, staged, table, texts, with_row_id
+from .common import SHINGLE_WORDS, SIMILARITY, checked_broadcast, pieces, settled, staged, table, texts, with_row_id
 from .shingles import shingle_hashes, words
 
 RADIUS = 16
@@ -176,6 +176,7 @@ def _matched(rows: list[tuple[int, str]], similarity: float, radius: int):
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row per document and item that it holds (schema MATCH)."""
+    docs = settled(docs)
     rows = with_row_id(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "__rid", "text")
     blocks: list[list[tuple[int, str]]] = [[]]
     size = 0
@@ -190,6 +191,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
+    docs = settled(docs)
     gone = staged(matches(docs, benchmark, id_col, text_col).select("__rid").distinct(), "leaks")
     return with_row_id(docs).join(checked_broadcast(gone, gone.count(), 1_000_000), "__rid", "left_anti").drop("__rid")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, dealt, staged, table, with_row_id
+from .common import checked_broadcast, dealt, settled, staged, table, with_row_id
 
 WHITE = r"[\x20\x09-\x0D]+"
 GROUP = "digest binary, keep_id bigint, keep_rid bigint, group_size bigint"
@@ -177,6 +177,7 @@ def groups(digests: DataFrame, keys_per_task: int = 500_000) -> DataFrame:
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, __rid, digest, keep_id, keep_rid, group_size, kept."""
+    docs = settled(docs)
     rows = with_row_id(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__text")))
     digests = staged(rows.select("doc_id", "__rid", digest_of(F.col("__text")).alias("digest")), "digests")
     live = staged(groups(digests), "live-digests")
@@ -185,6 +186,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, and nothing else."""
+    docs = settled(docs)
     gone = staged(assign(docs, id_col, text_col).where(~F.col("kept")).select("__rid"), "dropped")
     return with_row_id(docs).join(checked_broadcast(gone, gone.count(), 1_000_000), "__rid", "left_anti").drop("__rid")
 

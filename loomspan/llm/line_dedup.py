@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, dealt, pieces, staged, table, texts, with_row_id
+from .common import checked_broadcast, dealt, pieces, settled, staged, table, texts, with_row_id
 from .components import Forest, connected_components
 from .shingles import mixed, numbers, powers
 
@@ -303,6 +303,7 @@ def near_classes(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, __rid, n_lines, n_kept, n_near, n_links, dropped (line numbers, ascending)."""
+    docs = settled(docs)
     rows = with_row_id(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "__rid", "text")
     lines = staged(rows.mapInArrow(_lines, "doc_id bigint, __rid bigint, line array<int>, hi array<bigint>, lo array<bigint>"), "lines")
     near = staged(near_classes(rows, lines), "near-lines")
@@ -319,6 +320,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that repeat an earlier one; texts are otherwise unchanged."""
+    docs = settled(docs)
     gone = assign(docs, id_col, text_col).where("size(dropped) > 0").select("__rid", F.col("dropped").alias("__dropped"))
     rows = with_row_id(docs).join(gone, "__rid", "left")
     kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__dropped", i))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY, checked_broadcast, dealt, pieces, staged, table, texts, with_row_id
+from .common import SIMILARITY, checked_broadcast, dealt, pieces, settled, staged, table, texts, with_row_id
 from .components import Forest, connected_components
 from .shingles import mixed, numbers, shingle_sets
 
@@ -143,6 +143,7 @@ def _verified(similarity: float):
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, __rid, class_id, keep_rid, n_links (other texts), n_copies (rows with its shingles)."""
+    docs = settled(docs)
     rows = with_row_id(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
     prefix = prefix_length(similarity)
     signed = staged(rows.select("doc_id", "__rid", "text").mapInArrow(_signed(TREES, prefix), "doc_id bigint, __rid bigint, set_key binary, n int, keys array<bigint>"), "signatures")
@@ -176,6 +177,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, with all its columns."""
+    docs = settled(docs)
     gone = staged(assign(docs, id_col, text_col).where("__rid <> keep_rid").select("__rid"), "dropped")
     return with_row_id(docs).join(checked_broadcast(gone, gone.count(), 1_000_000), "__rid", "left_anti").drop("__rid")
 
