@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from loomspan.plans import catalogue
@@ -22,7 +23,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    tidy = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    tidy = lambda v: None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     return sorted(map(repr, (tuple(tidy(v.item() if hasattr(v, "item") else v) for v in r) for r in frame.itertuples(index=False))))
 
 
