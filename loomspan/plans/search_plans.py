@@ -203,7 +203,7 @@ def dedup_first_rank(spark, sf):
     return search.dedup_first(rows, ["key"], [F.col("rank")]).select("query_id", "id", "rank")
 
 
-@query("path_penalty", "SELECT doc_id, file_path, " + PENALTY + " AS factor FROM files UNION ALL SELECT page_id, url, " + PENALTY.replace("file_path", "url") + " FROM pages", ("files",))
+@query("path_penalty", "SELECT doc_id, file_path, CAST(" + PENALTY + " AS DOUBLE) AS factor FROM files UNION ALL SELECT page_id, url, CAST(" + PENALTY.replace("file_path", "url") + " AS DOUBLE) FROM pages", ("files",))
 def path_penalty(spark, sf):
     rows = files(spark, sf).select("doc_id", "file_path").unionByName(t(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("file_path")))
     return rows.select("doc_id", "file_path", scoring.penalty(F.col("file_path")).alias("factor"))

@@ -225,7 +225,7 @@ def recent_decisions_dedup(spark, sf):
 
 @query(
     "recall_rrf",
-    ", lists AS (SELECT prompt_number AS query_id, CASE role WHEN 'user' THEN 0 ELSE 1 END AS list, row_number() OVER (PARTITION BY prompt_number, role ORDER BY length(text), session_id, \"at\") - 1 AS rank, split_part(text, '.', 1) AS key, text FROM turns), "
+    ", lists AS (SELECT CAST(prompt_number AS BIGINT) AS query_id, CASE role WHEN 'user' THEN 0 ELSE 1 END AS list, row_number() OVER (PARTITION BY prompt_number, role ORDER BY length(text), session_id, \"at\") - 1 AS rank, split_part(text, '.', 1) AS key, text FROM turns), "
     "s AS (SELECT query_id, key, round(sum(1.0 / (60 + rank + 1)), 9) AS score FROM lists GROUP BY ALL) "
     "SELECT query_id, key, score, CAST(place AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) - 1 AS place FROM s) WHERE place < 50",
     ("turns",),
@@ -259,7 +259,7 @@ def hook_backfill(spark, sf):
 KNN = "WITH q AS (SELECT vec_id AS query_id, embedding AS query, label AS ql FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, ql, vec_id AS id, label, sqrt(list_sum(list_transform(list_zip(q.query, v.embedding), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2)))) AS distance FROM q, embeddings v), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank FROM d) WHERE rank < 10)"
 
 
-@query("precision_recall", KNN + ", got AS (SELECT DISTINCT query_id, label FROM r), x AS (SELECT query_id, ql, count(*) AS got, count(*) FILTER (label = ql) AS hit FROM got JOIN q USING (query_id) GROUP BY ALL) SELECT query_id, got, 1 AS want, hit, round(hit / got, 6) AS precision, round(hit / 1.0, 6) AS recall FROM x")
+@query("precision_recall", KNN + ", got AS (SELECT DISTINCT query_id, label FROM r), x AS (SELECT query_id, ql, count(*) AS got, count(*) FILTER (label = ql) AS hit FROM got JOIN q USING (query_id) GROUP BY ALL) SELECT query_id, got, CAST(1 AS BIGINT) AS want, hit, round(hit / got, 6) AS precision, round(hit / 1.0, 6) AS recall FROM x")
 def precision_recall(spark, sf):
     q = vector_queries(spark, sf)
     got = search.knn(q.drop("query_label"), vectors(spark, sf), 10).select("query_id", F.col("label").alias("file"))

@@ -79,7 +79,7 @@ def _any(patterns):
 INTENT = f"CASE WHEN {_any(tx.DECISION)} THEN 'decision_recall' WHEN {_any(tx.ARCHITECTURE)} THEN 'architecture' WHEN {_any(tx.CODE)} THEN 'code_lookup' ELSE 'general' END"
 
 
-@query("intent_classify", f"WITH {ASKED} SELECT item_id, form, {INTENT} AS intent FROM s")
+@query("intent_classify", f"WITH {ASKED} SELECT item_id, CAST(form AS INT) AS form, {INTENT} AS intent FROM s")
 def intent_classify(spark, sf):
     return _spoken(spark, sf).select("item_id", "form", tx.intent(F.col("q")).alias("intent"))
 
@@ -90,7 +90,7 @@ def _list(words):
 
 @query(
     "keyword_extract",
-    f"WITH {ASKED}, k AS (SELECT item_id, form, list_concat(regexp_extract_all(q, '[A-Z][a-zA-Z0-9]+'), list_filter(regexp_extract_all(q, '[a-zA-Z_][a-zA-Z0-9_]*'), lambda w: length(w) > 2 AND NOT list_contains({_list(tx.STOP_WORDS)}, lower(w)) AND ({INTENT} = 'code_lookup' OR NOT list_contains({_list(tx.CODE_PREFIXES)}, lower(w))))) AS words FROM s) SELECT item_id, form, array_to_string(list_filter(words, lambda w, i: list_position(words, w) = i), '|') AS keywords FROM k",
+    f"WITH {ASKED}, k AS (SELECT item_id, form, list_concat(regexp_extract_all(q, '[A-Z][a-zA-Z0-9]+'), list_filter(regexp_extract_all(q, '[a-zA-Z_][a-zA-Z0-9_]*'), lambda w: length(w) > 2 AND NOT list_contains({_list(tx.STOP_WORDS)}, lower(w)) AND ({INTENT} = 'code_lookup' OR NOT list_contains({_list(tx.CODE_PREFIXES)}, lower(w))))) AS words FROM s) SELECT item_id, CAST(form AS INT) AS form, array_to_string(list_filter(words, lambda w, i: list_position(words, w) = i), '|') AS keywords FROM k",
 )
 def keyword_extract(spark, sf):
     return _spoken(spark, sf).select("item_id", "form", F.array_join(tx.keywords(F.col("q")), "|").alias("keywords"))
@@ -110,7 +110,7 @@ def stopword_strip(spark, sf):
 @query(
     "keyword_distance",
     f"WITH k AS (SELECT item_id AS query_id, list_concat(regexp_extract_all(text, '[A-Z][a-zA-Z0-9]+'), list_filter(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*'), lambda w: length(w) > 2 AND NOT list_contains({_list(tx.STOP_WORDS + tx.CODE_PREFIXES)}, lower(w)))) AS words, regexp_extract_all(text, '{tx.FILE_HINT}') AS hints FROM benchmark WHERE item_id % 50 = 0) "
-    "SELECT query_id, page_id, CASE WHEN coalesce(list_bool_or(list_transform(hints, lambda h: contains(url, h))), false) OR coalesce(list_bool_or(list_transform(words, lambda w: contains(lower(html), lower(w)))), false) THEN 0.0 ELSE 2.0 END AS distance FROM k, pages",
+    "SELECT query_id, page_id, CASE WHEN coalesce(list_bool_or(list_transform(hints, lambda h: contains(url, h))), false) OR coalesce(list_bool_or(list_transform(words, lambda w: contains(lower(html), lower(w)))), false) THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END AS distance FROM k, pages",
 )
 def keyword_distance(spark, sf):
     from ..operators.search import small
