@@ -122,7 +122,7 @@ class Packer:
             self._emit(parts)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", words: bool = False, pool: int = 2_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", words: bool = False, pool: int = 800) -> DataFrame:
     """Pieces of all documents with their ids, sequences and places (schema PIECE)."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("segment", pa.int32()), ("loss_tokens", pa.int64())])
     end = np.array([end_id], dtype="<u4").tobytes()

@@ -64,7 +64,7 @@ class ChunkTokenizer(dict):
 
     TOGETHER, KEPT_LENGTH = 1_000, 10
 
-    def __init__(self, path: str, words: bool, most: int = 400_000):
+    def __init__(self, path: str, words: bool, most: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -75,18 +75,30 @@ class ChunkTokenizer(dict):
         self.mark = f" {DIGIT} " if words else "\n"
         self.mark_ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.blank = "" if words else " "
+        self.line_end = self._encode("\n")
         self.stops = {c: self._encode(c) for c in ".,"}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _letters(self, word: str, lead: str) -> bytes:
+        """The ids of a word of letters, by the model."""
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(lead + piece)]).tobytes()
+
+    def _bare(self, word: str) -> bytes:
+        """The ids of a word without a blank before it."""
+        core = word[:-1] if word[-1:] in self.stops else word
+        if core.isalpha() and not UNEVEN.search(core):
+            return self._letters(core, "") + (self.stops[word[-1]] if core != word else b"")
+        return self._encode(word)
+
     def _learn(self, chunks: Sequence[str]) -> None:
         """Encodes letters by the model, and other chunks together, the mark between them, whose ids cut theirs out."""
         letters = [c for c in chunks if c.isalpha() and not UNEVEN.search(c) and (not self.words or c == c.lower())]
-        lead, tokenize = "" if self.words else "\u0120", self.model.tokenize
+        lead = "" if self.words else "\u0120"
         for c in letters:
-            piece = c if c.isascii() else c.encode().decode("latin-1").translate(BYTE_LETTERS)
-            self[c] = array("I", [t.id for t in tokenize(lead + piece)]).tobytes()
+            self[c] = self._letters(c, lead)
         if len(letters) == len(chunks):
             return
         chunks = [c for c in chunks if c not in self]
@@ -112,26 +124,33 @@ class ChunkTokenizer(dict):
 
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         """The packed ids of each text; empty for an empty one."""
-        whole = [odd(x) for x in texts]
-        chunks = [[] if w or not x else self._chunks(x) for x, w in zip(texts, whole)]
         if len(self) >= self.most:
             self.clear()
-        new = set().union(*chunks).difference(self)
+        whole = [odd(x) for x in texts]
+        flat: list[str] = []
+        ends = []
+        for x, w in zip(texts, whole):
+            if x and not w:
+                flat += self._chunks(x)
+            ends.append(len(flat))
+        found = list(map(self.get, flat))
+        unseen = [k for k, v in enumerate(found) if v is None]
+        new = {flat[k] for k in unseen}
         stopped = [c for c in new if c[-1] in ".," and c[-2:-1].isalpha() and not UNEVEN.match(c[-2])]
         new.difference_update(stopped)
         new.update(c[:-1] for c in stopped if c[:-1] not in self)
-        special = [c for c in new if not self.words and (c[0] in START + "\n" or c.isspace())]
+        special = [c for c in new if not self.words and (c[0] == START or c[0] == "\n" or c.isspace())]
         new.difference_update(special)
-        for c in special:  # the start of a text, which bears a mark, and chunks with a line end
-            self[c] = self._encode(c[1:] if c[0] == START else c)
+        for c in special:  # white space, and words at the start of a text, which bear a mark, or of a line
+            self[c] = self._encode(c) if c.isspace() else (self.line_end if c[0] == "\n" else b"") + self._bare(c[1:])
         self._learn(list(new))
-        get = self.__getitem__
-        self.update((c, get(c[:-1]) + self.stops[c[-1]]) for c in stopped)
-        out = [self._encode(x) if w else b"".join(map(get, own)) for x, w, own in zip(texts, whole, chunks)]
+        self.update((c, self[c[:-1]] + self.stops[c[-1]]) for c in stopped)
+        for k in unseen:
+            found[k] = self[flat[k]]
         for c in new.union(stopped, special):
             if len(c) > self.KEPT_LENGTH:
                 self.pop(c, None)
-        return out
+        return [self._encode(x) if w else b"".join(found[a:b]) for x, w, a, b in zip(texts, whole, [0, *ends], ends)]
 
 
 def public_path(name: str) -> str:
