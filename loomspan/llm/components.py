@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+#: Edges up to which the least neighbours of all nodes, two at most an edge, are sent to every task.
+BROADCAST_EDGES = 500_000
+
+
 class Forest:
     """Union-find whose roots are the smallest nodes."""
 
@@ -77,10 +81,16 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         if state == seen or state[0] == 0:
             break
         seen = state
+        # A hub's edges meet its least neighbour by a broadcast while there are few nodes, else in a join whose
+        # both sides are tables, so that Spark can split the hub.
+        few = state[0] <= BROADCAST_EDGES
+        met = F.broadcast if few else (lambda df: staged(df, tag))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(met(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = large if few else staged(large, tag)
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).unionByName(floor.select("a", F.col("m").alias("b")))
+        floor = floor if few else staged(floor, tag)
+        small = large.join(F.broadcast(floor) if few else floor, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).unionByName(floor.select("a", F.col("m").alias("b")))
         now = staged(small.where("a <> b").distinct(), tag)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
