@@ -16,6 +16,13 @@ from .conftest import SF, prose
 FILES = [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=60))
+def test_ranked_ids_of_any_text_equal_the_tokenizers(text):
+    own = chunk_tokenizer(public_path("byte_bpe_50k.json"), False)
+    assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab. ,Z'é\n\t\r\x1c\x00^1٣\u00a0\u2003ΣİÑ!?<|ﬁ\u0301漢"), max_size=40), max_size=6))
 def test_chunked_ids_equal_the_tokenizers(texts):
