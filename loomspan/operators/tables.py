@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -91,18 +91,19 @@ def resolved(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) ->
     return rows.join(held, rows[key] == held["__parent"], "left").withColumn(key, F.col("__parent")).drop("__parent")
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a new version of a table beside the old one, then swaps the folders.
-
-    A failed write leaves the old version; the swap is two renames of the store's own.
-    """
-    spark = df.sparkSession
+def move_table(spark: SparkSession, source: str, path: str) -> None:
+    """Puts a written table in the place of another; two renames of the store's own."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old, own = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.next", f"{path}.last", path))
+    new, old, own = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, f"{path}.last", path))
     fs = own.getFileSystem(conf)
-    df.write.mode("overwrite").parquet(f"{path}.next")
     fs.delete(old, True)
     if fs.exists(own):
         fs.rename(own, old)
     fs.rename(new, own)
     fs.delete(old, True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes a new version of a table beside the old one, then swaps the folders; a failed write leaves the old one."""
+    df.write.mode("overwrite").parquet(f"{path}.next")
+    move_table(df.sparkSession, f"{path}.next", path)

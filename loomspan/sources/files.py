@@ -99,3 +99,39 @@ def changed_files(lines: DataFrame) -> DataFrame:
 def commit_edges(commit_rows: DataFrame, files: DataFrame) -> DataFrame:
     """Modifies edges of commits (id, sha) to the files that they changed."""
     return commit_rows.join(files, "sha").select(F.col("id").alias("source_id"), F.concat(F.lit("file_"), files["file_path"]).alias("target_id"), F.lit("modifies").alias("edge_type")).distinct()
+
+
+def working_state(root: str, shown: int = 10, recent: int = 15, depth: int = 5) -> dict[str, list[str]]:
+    """Branch, changes, last commits and recently changed files of a git folder; empty lists outside of one.
+
+    A driver-side helper for one local folder; nothing here is distributed.
+    """
+    import os
+    import subprocess
+
+    def git(*args: str) -> list[str]:
+        done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=30)
+        return [x for x in done.stdout.splitlines() if x.strip()] if done.returncode == 0 else []
+
+    branch = git("branch", "--show-current")
+    counts = git("rev-list", "--left-right", "--count", "@{upstream}...HEAD")
+    behind, ahead = map(int, counts[0].split()) if counts else (0, 0)
+    state = [f"Branch: {branch[0]}"] if branch else []
+    state += [f"{word} remote by {n} commit(s)" for word, n in (("Ahead of", ahead), ("Behind", behind)) if n]
+    for title, args in (("Staged:", ("diff", "--cached", "--name-status")), ("Modified (unstaged):", ("diff", "--name-status"))):
+        if lines := git(*args):
+            state += [title, *(f"  {x}" for x in lines[:shown])]
+    if others := git("ls-files", "--others", "--exclude-standard"):
+        state.append(f"Untracked files: {len(others)}")
+    changed = dict.fromkeys([*git("diff", "--name-only"), *git("log", f"-{depth}", "--pretty=format:", "--name-only")])
+    return {"state": state, "commits": git("log", "--oneline", f"-{shown}"), "files": [f for f in changed if os.path.exists(os.path.join(root, f))][:recent]}
+
+
+def git_log(spark: SparkSession, root: str, since: str | None = None, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(log text, name-only lines) of a local git folder, for ``commits`` and ``changed_files``."""
+    import subprocess
+
+    span = [f"{since}..HEAD"] if since else [f"-{most}"]
+    run = lambda *args: subprocess.run(["git", "-C", root, "log", *span, *args], capture_output=True, text=True, timeout=60).stdout
+    text, names = run("--format=%H%n%an%n%ai%n%s%n%b%x00"), run("--format=%H", "--name-only")
+    return spark.createDataFrame([(text,)], "text string"), spark.createDataFrame(list(enumerate(names.splitlines())) or [], "at int, line string")

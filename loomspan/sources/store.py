@@ -86,3 +86,27 @@ def latest_sessions(rows: DataFrame, limit: int) -> DataFrame:
 
 def first_of(rows: DataFrame, by: str, order) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def ingested(spark: SparkSession, text: str) -> dict[str, DataFrame]:
+    """chunks, nodes and edges of one JSON object of lists, as a client would send them."""
+    import json
+
+    data = json.loads(text)
+    kinds = {
+        "chunks": "id string, content string, chunk_type string, file_path string, start_line int, end_line int, language string, embedding array<float>",
+        "nodes": "id string, node_type string, name string, file_path string",
+        "edges": "source_id string, target_id string, edge_type string",
+    }
+    out = {}
+    for name, schema in kinds.items():
+        names = [c.strip().split(" ")[0] for c in schema.split(",")]
+        out[name] = spark.createDataFrame([tuple(row.get(c) for c in names) for row in data.get(name, [])], schema)
+    return out
+
+
+def exported_state(stats: DataFrame, manifest_rows: DataFrame, session_rows: DataFrame) -> DataFrame:
+    """JSON lines (kind, value) of all that a project has."""
+    rows = [(kind, df) for kind, df in (("stats", stats), ("manifest", manifest_rows), ("sessions", session_rows))]
+    parts = [df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("value")) for kind, df in rows]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
