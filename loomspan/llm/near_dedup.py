@@ -33,7 +33,7 @@ from .components import Forest, connected_components
 from .shingles import mixed, numbers, shingle_sets
 
 TREES, DEPTH, RECALL = 24, 8, 0.9999
-BLOCK_TEXTS, BLOCK_SHINGLES = 1_000, 1_000_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 250, 250_000
 
 
 def prefix_length(similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
