@@ -179,7 +179,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(lo)
                 fresh.append(x)
                 los.append(lo)
-        if len(seen) > 1_000_000:
+        if len(seen) > 300_000:
             seen.clear()
         if fresh:
             owner, key, kind, bag = index_rows(fresh)
@@ -311,8 +311,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     named = each.join(checked_broadcast(near, near.count(), 500_000), ["hi", "lo"], "left").withColumn("class_hi", F.coalesce("class_hi", "hi")).withColumn("class_lo", F.coalesce("class_lo", "lo"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__rid", "line")
     first = named.groupBy("class_hi", "class_lo").agg(F.min(F.struct(place.alias("place"), "hi", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = staged(first, "first-lines")
-    again = named.join(checked_broadcast(first, first.count(), 500_000), ["class_hi", "class_lo"]).select("__rid", "line", "n_links", F.struct("__rid", "line") != F.struct("first.place.__rid", "first.place.line"), ((F.col("hi") != F.col("first.hi")) | (F.col("lo") != F.col("first.lo"))).alias("near")).toDF("__rid", "line", "n_links", "gone", "near")
+    again = named.join(staged(first, "first-lines"), ["class_hi", "class_lo"]).select("__rid", "line", "n_links", F.struct("__rid", "line") != F.struct("first.place.__rid", "first.place.line"), ((F.col("hi") != F.col("first.hi")) | (F.col("lo") != F.col("first.lo"))).alias("near")).toDF("__rid", "line", "n_links", "gone", "near")
     dropped = again.groupBy("__rid").agg(F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("dropped"), F.sum((F.col("gone") & F.col("near")).cast("bigint")).alias("n_near"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"))
     out = lines.select("doc_id", "__rid", F.size("line").cast("bigint").alias("n_lines")).join(dropped, "__rid", "left")
     none = F.lit(0).cast("bigint")

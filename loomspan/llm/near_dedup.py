@@ -149,7 +149,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     signed = staged(rows.select("doc_id", "__rid", "text").mapInArrow(_signed(TREES, prefix), "doc_id bigint, __rid bigint, set_key binary, n int, keys array<bigint>"), "signatures")
 
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__rid"))
-    copies = signed.groupBy("set_key").agg(F.min(first).alias("first"), F.count("*").alias("n_copies"))
+    copies = staged(signed.groupBy("set_key").agg(F.min(first).alias("first"), F.count("*").alias("n_copies")), "copies")
     members = staged(signed.select("doc_id", "__rid", "set_key").join(copies.select("set_key", F.col("first.doc_id").alias("rep_id"), F.col("first.__rid").alias("rep"), "n_copies"), "set_key").drop("set_key"), "members")
     reps = signed.select("__rid", "n", "keys").join(copies.select(F.col("first.doc_id").alias("rep_id"), F.col("first.__rid").alias("__rid")), "__rid")
 
