@@ -1,19 +1,21 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. For each host the trees of ``EXEMPLARS`` pages (those with the smallest
-hashes of page_id) are aligned one after the other by simple tree matching: nodes of one key match, and the
-largest ordered matching of their kids is found by dynamic programming. Merged, they are the host's wrapper.
-A text that stands in one node on at least half of the exemplars that have the node, and on three at least,
-is template; everything else in that node is a slot's content. Where the wrapper's varying text gathers is
-the host's main region.
+Pages of one host share a template. The trees of a host's pages, each distinct structure once, are aligned one
+after the other by simple tree matching: nodes of one key match, and the largest ordered matching of their kids
+is found by dynamic programming. Merged, they are the host's wrapper; structures are dealt into ``BUCKETS`` of a
+host, whose merged trees are merged again, so that no task meets all of a large host.
 
-Each page is then aligned with its host's wrapper, and its text blocks are kept where they are not template,
-not in regions that HTML marks as something else (menus, headers, footers, asides, forms, adverts, notices,
-comments), and inside ``article`` or ``main`` if the page has one, else inside the host's main region.
-Alignments are found once for each structure of pages.
+Each page is then aligned with the wrapper, and (host, node, text) is counted over all pages. A text that stands
+in one node on at least half of the pages that have the node, and on three at least, is template; everything
+else in that node is a slot's content. Where the wrapper's varying text gathers, each text counted once, is the
+host's main region.
 
-The exemplars bound what is learnt a host, however many pages it has; every page is read whole. Wrappers are
-broadcast only if their counted number is small, else joined by host with Spark's skew handling.
+Of each page, text blocks are kept where they are not template, not in regions that HTML marks as something else
+(menus, headers, footers, asides, forms, adverts, notices, comments), and inside ``article`` or ``main`` if the
+page has one, else inside the host's main region. Alignments are found once for each structure of pages.
+
+Pages are read three times and never sampled; what is shuffled are structures and hashes of texts. Wrappers are
+broadcast only if their counted size is small, else joined by host with Spark's skew handling.
 
 Cases: null html is empty text; null or odd urls have the host '', which has no wrapper; hosts with fewer than
 three pages have no template texts; repeated rows are extracted each; other columns are ignored.
@@ -21,20 +23,22 @@ three pages have no template texts; repeated rows are extracted each; other colu
 
 from __future__ import annotations
 
+import hashlib
 import json
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, dealt, host_of, pieces, staged, table, texts
 from .dom import Page, parse
 
-EXEMPLARS = 16
+BUCKETS = 16
+PLACED = "host string, texts array<struct<slot: int, mark: bigint, chars: bigint>>"
 LEAST_PAGES, SHARE, REGION = 3, 0.5, 0.8
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td", "details", "fieldset"}
 
@@ -112,28 +116,21 @@ def merge(wrapper: Tree, page: Tree) -> dict[int, int]:
 
 
 def mark(text: str) -> int:
-    return zlib.crc32(text.encode()) << 32 | zlib.adler32(text.encode())
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def induce(sources: list[str]) -> dict:
-    """The wrapper of pages of one host: tree, template texts by node, and the main region's node."""
-    pages = [parse(x) for x in sources]
+def shape(trees: Iterable[Tree]) -> Tree:
+    """The trees merged into one, its nodes in page order."""
     wrapper = Tree([""], [-1])
-    placed = []
-    for page in pages:
-        found = merge(wrapper, Tree(page.keys, page.parents))
-        placed.append([(found[node], mark(text), len(text)) for node, text, _, _ in page.blocks])
-    seen, held = Counter(), Counter()
-    for own in placed:
-        seen.update({(s, t) for s, t, _ in own})
-        held.update({s for s, _, _ in own})
-    fixed = {(s, t) for (s, t), n in seen.items() if n >= LEAST_PAGES and n >= SHARE * held[s]}
-    varying = Counter()
-    for own in placed:
-        for s, t, n in own:
-            if (s, t) not in fixed:
-                varying[s] += n
-    return {"keys": wrapper.keys, "parents": wrapper.parents, "fixed": sorted(fixed), "region": region(wrapper, varying)}
+    for tree in trees:
+        merge(wrapper, tree)
+    keys, parents, todo = [], [], [(0, -1)]
+    while todo:
+        node, parent = todo.pop()
+        keys.append(wrapper.keys[node])
+        parents.append(parent)
+        todo += [(c, len(keys) - 1) for c in reversed(wrapper.kids[node])]
+    return Tree(keys, parents)
 
 
 def region(tree: Tree, varying: Counter) -> int:
@@ -151,10 +148,12 @@ def region(tree: Tree, varying: Counter) -> int:
 
 
 class Wrapper:
+    """The wrapper of one host: its tree, and of each slot (node, weight of the varying text, marks of the template texts)."""
+
     def __init__(self, code: dict):
-        self.tree = Tree(code["keys"], code["parents"])
-        self.fixed = {tuple(x) for x in code["fixed"]}
-        self.region = code["region"]
+        self.tree = Tree(**code["tree"])
+        self.fixed = {(x["slot"], t) for x in code["slots"] for t in x["marks"]}
+        self.region = region(self.tree, Counter({x["slot"]: x["weight"] for x in code["slots"]}))
         self.places = lru_cache(4_000)(self._places)
 
     def _places(self, structure: tuple) -> tuple[dict[int, int], frozenset[int]]:
@@ -196,30 +195,76 @@ def alone(page: Page) -> str:
     return joined(page.blocks, page, frozenset(inside))
 
 
-def wrappers(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
-    """(host, wrapper) of every host but ''."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    ids = pages.where("host <> ''").select("host", "page_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= exemplars)
-    chosen = staged(ids.select("page_id").distinct(), "exemplars")
-    rows = pages.where("host <> ''").join(checked_broadcast(chosen, chosen.count(), 500_000), "page_id").select("host", "page_id", "html")
+def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, structure) of the pages, each once a task as far as memory goes."""
+    seen: set[tuple[str, int]] = set()
+    for batch in pieces(batches, "html", 2 << 20):
+        out = []
+        for host, source in zip(batch.column("host").to_pylist(), texts(batch, "html")):
+            page = parse(source)
+            code = json.dumps({"keys": page.keys, "parents": page.parents})
+            if (host, key := mark(code)) not in seen:
+                seen.add((host, key))
+                out.append((host, code))
+        if len(seen) > 200_000:
+            seen.clear()
+        if out:
+            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*out)], names=["host", "structure"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, sources = None, []
 
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([host]), pa.array([json.dumps(induce(sources[:exemplars]))])], names=["host", "wrapper"])
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One merged tree for each run of rows of one (host, bucket)."""
 
+    def rows() -> Iterator[tuple[tuple, Tree]]:
         for batch in batches:
-            for h, source in zip(batch.column("host").to_pylist(), texts(batch, "html")):
-                if h != host:
-                    if sources:
-                        yield out()
-                    host, sources = h, []
-                sources.append(source)
-        if sources:
-            yield out()
-
-    return dealt(rows, "host").sortWithinPartitions("host", "page_id").mapInArrow(run, "host string, wrapper string")
+            for host, bucket, code in zip(*(batch.column(c).to_pylist() for c in ("host", "bucket", "structure"))):
+                yield (host, bucket), Tree(**json.loads(code))
+
+    for (host, _), own in groupby(rows(), key=lambda r: r[0]):
+        tree = shape(t for _, t in own)
+        yield pa.record_batch([pa.array([host]), pa.array([json.dumps({"keys": tree.keys, "parents": tree.parents})])], names=["host", "structure"])
+
+
+def shapes(pages: DataFrame) -> DataFrame:
+    """(host, tree): every distinct structure of a host's pages, merged in buckets first and then over the buckets."""
+    found = pages.select("host", "html").mapInArrow(_structures, "host string, structure string").distinct()
+    for bucket in (F.pmod(F.xxhash64("structure"), F.lit(BUCKETS)).cast("int"), F.lit(0)):
+        keyed = dealt(found.withColumn("bucket", bucket), "host", "bucket").sortWithinPartitions("host", "bucket", "structure")
+        found = keyed.mapInArrow(_shapes, "host string, structure string")
+    return staged(found.withColumnRenamed("structure", "tree"), "shapes")
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, texts) of each page: (slot, mark, characters) of its texts, each once, and (slot, null, 0) of its slots."""
+    known = lru_cache(2_000)(lambda code: Wrapper({"tree": json.loads(code), "slots": []}))
+    kind = pa.list_(pa.struct([("slot", pa.int32()), ("mark", pa.int64()), ("chars", pa.int64())]))
+    for batch in pieces(batches, "html", 2 << 20):
+        out = []
+        for source, code in zip(texts(batch, "html"), batch.column("tree").to_pylist()):
+            page = parse(source)
+            found, _ = known(code).places(page.structure())
+            own = sorted({(found[b[0]], mark(b[1]), len(b[1])) for b in page.blocks})
+            out.append([{"slot": s, "mark": t, "chars": n} for s, t, n in own] + [{"slot": s, "mark": None, "chars": 0} for s in sorted({x[0] for x in own})])
+        yield pa.record_batch([batch.column("host"), pa.array(out, kind)], names=["host", "texts"])
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper) of every host but '', from all its pages."""
+    pages = pages.where("host <> ''")
+    trees = shapes(pages)
+    size = trees.agg(F.coalesce(F.sum(F.length("tree")), F.lit(0))).first()[0]
+    placed = pages.join(checked_broadcast(trees, size, 16 << 20), "host").select("host", "html", "tree").mapInArrow(_placed, PLACED)
+    each = placed.select("host", F.explode("texts").alias("t")).select("host", "t.*")
+    counts = staged(each.groupBy("host", "slot", "mark").agg(F.count("*").alias("n"), F.max("chars").alias("chars")), "counts")
+
+    slots = counts.groupBy("host", "slot").agg(F.max(F.when(F.col("mark").isNull(), F.col("n"))).alias("held"), F.sum("chars").alias("chars"))
+    slots = staged(slots, "slots")
+    often = counts.where(F.col("mark").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(checked_broadcast(slots.select("host", "slot", "held"), slots.count(), 500_000), ["host", "slot"])
+    fixed = often.where(F.col("n") >= SHARE * F.col("held")).groupBy("host", "slot").agg(F.sum("chars").alias("fixed_chars"), F.array_sort(F.collect_list("mark")).alias("marks"))
+    weight = ((F.col("chars") - F.coalesce("fixed_chars", F.lit(0))) / F.col("held")).alias("weight")
+    judged = slots.join(fixed, ["host", "slot"], "left").select("host", F.struct("slot", weight, F.coalesce("marks", F.array().cast("array<bigint>")).alias("marks")).alias("s"))
+    listed = judged.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list("s"))).alias("slots"))
+    return trees.join(listed, "host").select("host", F.concat(F.lit('{"tree": '), "tree", F.lit(', "slots": '), "slots", F.lit("}")).alias("wrapper"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -137,6 +137,25 @@ def test_wrapper_drops_constant_texts_and_finds_the_region(spark):
     assert "Welcome to the site" in got[100]  # two pages are too few to tell
 
 
+def test_templates_of_a_layout_that_few_pages_use(spark):
+    """Every page of a host counts: three layouts, one on 3 pages of 103, and a slot where 3 chance repeats stand among many."""
+    shop = lambda i: f"<div class=shop><h2>Offer {i}</h2><p>Delivery within three days</p><p>{prose(i, 30)}</p></div>"
+    blog = lambda i: f"<div class=blog><h2>Story {i}</h2><p>{prose(i, 30)}</p><ol><li>{'seen thrice' if i < 3 else f'point {i}'}</li></ol></div>"
+    rows = [(i, f"http://many.org/{i}", blog(i) if i < 100 else shop(i)) for i in range(103)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert all("Delivery" not in got[i] and prose(i, 30) in got[i] for i in range(100, 103))
+    assert all("seen thrice" in got[i] for i in range(3)) and all(f"point {i}" in got[i] for i in range(3, 100))
+
+
+def test_shape_holds_every_structure():
+    trees = [html_extract.Tree(["", "x", k, "z"], [-1, 0, 1, 0]) for k in "abc"]
+    whole = html_extract.shape(trees)
+    again = html_extract.shape([html_extract.shape(trees[:2]), html_extract.shape(trees[2:])])
+    for tree in (whole, again):
+        assert sorted(tree.keys) == ["", "a", "b", "c", "x", "z"] and all(p < k for k, p in enumerate(tree.parents))
+        assert all(len(html_extract.tree_match(t, tree)) == 4 for t in trees)
+
+
 def test_tree_match_is_the_largest():
     a = html_extract.Tree(["", "x", "y", "z", "y"], [-1, 0, 0, 0, 3])
     b = html_extract.Tree(["", "y", "z", "y"], [-1, 0, 0, 2])
