@@ -5,7 +5,7 @@ after the other by simple tree matching: nodes of one key match, and the largest
 is found by dynamic programming. Merged, they are the host's wrapper; structures are dealt into ``BUCKETS`` of a
 host, whose merged trees are merged again, so that no task meets all of a large host.
 
-Each page is then aligned with the wrapper, and (host, node, text) is counted over all pages. A text that stands
+Each page is then aligned with the wrapper, and (host, node, text) is counted over all pages, copies once. A text that stands
 in one node on at least half of the pages that have the node, and on three at least, is template; everything
 else in that node is a slot's content. Where the wrapper's varying text gathers, each text counted once, is the
 host's main region.
@@ -18,7 +18,8 @@ Pages are read three times and never sampled; what is shuffled are structures an
 broadcast only if their counted size is small, else joined by host with Spark's skew handling.
 
 Cases: null html is empty text; null or odd urls have the host '', which has no wrapper; hosts with fewer than
-three pages have no template texts; repeated rows are extracted each; other columns are ignored.
+three different pages have no template texts; copies of a page and repeated rows count once where template
+texts are learnt (of copies that differ around the main text, one is taken), and are extracted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from .common import checked_broadcast, dealt, host_of, pieces, staged, table, te
 from .dom import Page, parse
 
 BUCKETS = 16
-PLACED = "host string, texts array<struct<slot: int, mark: bigint, chars: bigint>>"
+PLACED = "host string, content bigint, texts array<struct<slot: int, mark: bigint, chars: bigint>>"
 LEAST_PAGES, SHARE, REGION = 3, 0.5, 0.8
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td", "details", "fieldset"}
 
@@ -234,18 +235,28 @@ def shapes(pages: DataFrame) -> DataFrame:
     return staged(found.withColumnRenamed("structure", "tree"), "shapes")
 
 
+def content(page: Page) -> int:
+    """The same for copies: a hash of the texts that are not mostly links, in ``article`` or ``main`` if most of them are there."""
+    plain = [b for b in page.blocks if b[3] <= 0.5 * len(b[1])] or page.blocks
+    inside = [b for b in plain if b[2]]
+    if 2 * sum(len(b[1]) for b in inside) > sum(len(b[1]) for b in plain):
+        plain = inside
+    return mark("\n".join(b[1] for b in plain))
+
+
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, texts) of each page: (slot, mark, characters) of its texts, each once, and (slot, null, 0) of its slots."""
+    """(host, content, texts) of each page: (slot, mark, characters) of its texts, each once, and (slot, null, 0) of its slots."""
     known = lru_cache(2_000)(lambda code: Wrapper({"tree": json.loads(code), "slots": []}))
     kind = pa.list_(pa.struct([("slot", pa.int32()), ("mark", pa.int64()), ("chars", pa.int64())]))
     for batch in pieces(batches, "html", 2 << 20):
-        out = []
+        contents, out = [], []
         for source, code in zip(texts(batch, "html"), batch.column("tree").to_pylist()):
             page = parse(source)
+            contents.append(content(page))
             found, _ = known(code).places(page.structure())
             own = sorted({(found[b[0]], mark(b[1]), len(b[1])) for b in page.blocks})
             out.append([{"slot": s, "mark": t, "chars": n} for s, t, n in own] + [{"slot": s, "mark": None, "chars": 0} for s in sorted({x[0] for x in own})])
-        yield pa.record_batch([batch.column("host"), pa.array(out, kind)], names=["host", "texts"])
+        yield pa.record_batch([batch.column("host"), pa.array(contents, pa.int64()), pa.array(out, kind)], names=["host", "content", "texts"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -254,7 +265,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     trees = shapes(pages)
     size = trees.agg(F.coalesce(F.sum(F.length("tree")), F.lit(0))).first()[0]
     placed = pages.join(checked_broadcast(trees, size, 16 << 20), "host").select("host", "html", "tree").mapInArrow(_placed, PLACED)
-    each = placed.select("host", F.explode("texts").alias("t")).select("host", "t.*")
+    distinct = placed.groupBy("host", "content").agg(F.min("texts").alias("texts"))
+    each = distinct.select("host", F.explode("texts").alias("t")).select("host", "t.*")
     counts = staged(each.groupBy("host", "slot", "mark").agg(F.count("*").alias("n"), F.max("chars").alias("chars")), "counts")
 
     slots = counts.groupBy("host", "slot").agg(F.max(F.when(F.col("mark").isNull(), F.col("n"))).alias("held"), F.sum("chars").alias("chars"))

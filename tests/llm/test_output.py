@@ -147,6 +147,19 @@ def test_templates_of_a_layout_that_few_pages_use(spark):
     assert all("seen thrice" in got[i] for i in range(3)) and all(f"point {i}" in got[i] for i in range(3, 100))
 
 
+def test_copies_count_once_where_templates_are_learnt(spark):
+    page = lambda i, k: f"<div>Welcome to the site</div><div><h2>Story {i}</h2><p>{prose(i, 30)}</p></div><p><a href=/{k}>other {k}</a></p>"
+    within = lambda i, k: f"<p>Sent by {k}</p><article><h2>Story {i}</h2><p>{prose(i, 30)}</p></article>"
+    rows = [(k, f"http://copies.org/{k}", page(k if k < 4 else 7, k)) for k in range(20)] + [(30, "http://three.org/a", page(30, 0))] * 3
+    rows += [(40 + k, f"http://within.org/{k}", within(40, k)) for k in range(6)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i = 7 if 4 <= r.page_id < 20 else 40 if r.page_id >= 40 else r.page_id
+        assert f"Story {i}\n{prose(i, 30)}" in r.text
+        assert ("Welcome" in r.text) == (r.page_id == 30)  # one page, three times, tells nothing
+
+
 def test_shape_holds_every_structure():
     trees = [html_extract.Tree(["", "x", k, "z"], [-1, 0, 1, 0]) for k in "abc"]
     whole = html_extract.shape(trees)
