@@ -7,12 +7,13 @@ host, whose merged trees are merged again, so that no task meets all of a large
 
 Each page is then aligned with the wrapper, and (host, node, text) is counted over all pages, copies once. A text that stands
 in one node on at least half of the pages that have the node, and on three at least, is template; everything
-else in that node is a slot's content. Where the wrapper's varying text gathers, each text counted once, is the
-host's main region.
+else in that node is a slot's content.
 
-Of each page, text blocks are kept where they are not template, not in regions that HTML marks as something else
-(menus, headers, footers, asides, forms, adverts, notices, comments), and inside ``article`` or ``main`` if the
-page has one, else inside the host's main region. Alignments are found once for each structure of pages.
+The main region of a page is where the varying text of its slots gathers, each text counted once, so that teasers
+that come again from page to page weigh little. ``article`` and ``main`` are hints: see ``main_nodes``. Of each
+page, text blocks are kept where they are in the region and not template. What HTML marks as something else
+(menus, headers, footers, asides, forms, adverts, notices, comments) is left out by tag, role and words of class
+and id before that. Alignments and regions are found once for each structure of pages.
 
 Pages are read three times and never sampled; what is shuffled are structures and hashes of texts. Wrappers are
 broadcast only if their counted size is small, else joined by host with Spark's skew handling.
@@ -27,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 from itertools import groupby
 
@@ -134,66 +135,100 @@ def shape(trees: Iterable[Tree]) -> Tree:
     return Tree(keys, parents)
 
 
-def region(tree: Tree, varying: Counter) -> int:
-    """The deepest container that has most of the varying text at or below it."""
-    below = [varying[k] for k in range(len(tree.keys))]
+def totals(tree: Tree, varying: Mapping[int, float]) -> list[float]:
+    """The varying text at or below each node."""
+    below = [varying.get(k, 0) for k in range(len(tree.keys))]
+    for k in range(len(below) - 1, 0, -1):
+        below[tree.parents[k]] += below[k]
+    return below
 
-    def total(k: int) -> int:
-        return below[k] + sum(total(c) for c in tree.kids[k])
 
-    node, least = 0, REGION * total(0)
+def region(tree: Tree, below: list[float]) -> int:
+    """The deepest container that has most of the varying text at or below it."""
+    node, least = 0, REGION * below[0]
     inner = lambda k: [c for c in tree.kids[k] if tree.keys[c].split(".")[0] in CONTAINERS]
-    while (best := max(inner(node), key=total, default=None)) is not None and total(best) >= least > 0:
+    while (best := max(inner(node), key=lambda c: below[c], default=None)) is not None and below[best] >= least > 0:
         node = best
     return node
 
 
+def hinted(key: str) -> bool:
+    tag, *names = key.split(".")
+    return tag in ("article", "main") or "main" in names
+
+
+def main_nodes(tree: Tree, varying: Mapping[int, float]) -> tuple[frozenset[int], bool]:
+    """The nodes of the main region, and whether ``article`` or ``main`` bounds it.
+
+    The region of the varying text counts. One inside such an element is widened to it, for the headline, without
+    other articles beside it; one around such elements is narrowed to them if they have half of the text.
+    """
+    below, hints = totals(tree, varying), [hinted(k) for k in tree.keys]
+    node = top = region(tree, below)
+    path = {node}
+    while top >= 0 and not hints[top]:
+        top = tree.parents[top]
+        path.add(top)
+    under: set[int] = set()
+    outer = []
+    for x, p in enumerate(tree.parents):
+        if x == node or p in under:
+            under.add(x)
+            if hints[x] and not any(hints[y] for y in _above(tree, x, node)):
+                outer.append(x)
+    if top >= 0:
+        roots, skip = {top}, {x for x, h in enumerate(hints) if h and x not in path and x not in under}
+    elif outer and sum(below[x] for x in outer) >= SHARE * below[0]:
+        roots, skip = set(outer), set()
+    else:
+        roots, skip = {node}, set()
+    inside: set[int] = set()
+    for x, p in enumerate(tree.parents):
+        if (x in roots or p in inside) and x not in skip:
+            inside.add(x)
+    return frozenset(inside), roots != {node} or hints[node]
+
+
+def _above(tree: Tree, x: int, top: int) -> Iterator[int]:
+    while x != top:
+        x = tree.parents[x]
+        yield x
+
+
 class Wrapper:
     """The wrapper of one host: its tree, and of each slot (node, weight of the varying text, marks of the template texts)."""
 
     def __init__(self, code: dict):
         self.tree = Tree(**code["tree"])
         self.fixed = {(x["slot"], t) for x in code["slots"] for t in x["marks"]}
-        self.region = region(self.tree, Counter({x["slot"]: x["weight"] for x in code["slots"]}))
+        self.weight = {x["slot"]: x["weight"] for x in code["slots"]}
         self.places = lru_cache(4_000)(self._places)
 
-    def _places(self, structure: tuple) -> tuple[dict[int, int], frozenset[int]]:
-        """The wrapper's node of each node of pages of that structure, and the nodes in the main region."""
+    def _places(self, structure: tuple) -> tuple[dict[int, int], frozenset[int], bool]:
+        """The wrapper's node of each node of pages of that structure, and what main_nodes finds among the page's slots."""
         page = Tree([k for k, _ in structure], [p for _, p in structure])
         found = tree_match(page, self.tree)
-        inside = set()
-        for x, p in enumerate(page.parents):
-            if found.get(x) == self.region or p in inside:
-                inside.add(x)
-        return found, frozenset(inside)
+        return found, *main_nodes(page, {x: self.weight.get(w, 0) for x, w in found.items()})
 
     def text(self, page: Page) -> str:
-        found, inside = self.places(page.structure())
+        found, inside, marked = self.places(page.structure())
         fresh = [b for b in page.blocks if (found.get(b[0], -1), mark(b[1])) not in self.fixed]
-        return joined(fresh, page, inside)
+        return joined(fresh, page, inside, marked)
 
 
-def joined(blocks: list[tuple[int, str, bool, int]], page: Page, region_nodes: frozenset[int]) -> str:
-    if any(b[2] for b in page.blocks):
-        return "\n".join(b[1] for b in blocks if b[2])
-    own = [b for b in blocks if b[0] in region_nodes] or blocks
-    return "\n".join(b[1] for b in own if b[3] <= 0.5 * len(b[1]))
+def joined(blocks: list[tuple[int, str, bool, int]], page: Page, inside: frozenset[int], marked: bool) -> str:
+    own = [b for b in blocks if b[0] in inside]
+    if not own and not (marked and any(b[0] in inside for b in page.blocks)):
+        own, marked = blocks, False
+    return "\n".join(b[1] for b in own if marked or b[3] <= 0.5 * len(b[1]))
 
 
 def alone(page: Page) -> str:
     """The main text of a page whose host has no wrapper."""
-    if any(b[2] for b in page.blocks):
-        return joined(page.blocks, page, frozenset())
-    tree = Tree(page.keys, page.parents)
     varying = Counter()
     for node, text, _, _ in page.blocks:
         varying[node] += len(text)
-    root = region(tree, varying)
-    inside: set[int] = set()
-    for x, p in enumerate(page.parents):
-        if x == root or p in inside:
-            inside.add(x)
-    return joined(page.blocks, page, frozenset(inside))
+    return joined(page.blocks, page, *main_nodes(Tree(page.keys, page.parents), varying))
 
 
 def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +288,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source, code in zip(texts(batch, "html"), batch.column("tree").to_pylist()):
             page = parse(source)
             contents.append(content(page))
-            found, _ = known(code).places(page.structure())
+            found = known(code).places(page.structure())[0]
             own = sorted({(found[b[0]], mark(b[1]), len(b[1])) for b in page.blocks})
             out.append([{"slot": s, "mark": t, "chars": n} for s, t, n in own] + [{"slot": s, "mark": None, "chars": 0} for s in sorted({x[0] for x in own})])
         yield pa.record_batch([batch.column("host"), pa.array(contents, pa.int64()), pa.array(out, kind)], names=["host", "content", "texts"])

@@ -160,6 +160,18 @@ def test_copies_count_once_where_templates_are_learnt(spark):
         assert ("Welcome" in r.text) == (r.page_id == 30)  # one page, three times, tells nothing
 
 
+def test_varying_slots_choose_the_region_not_article(spark):
+    card = lambda k: f"<article class=post-card><h3>Card {k % 5}</h3><p>{prose(500 + k % 5, 12)}</p></article>"
+    cards = lambda i: f"<div class=page><div class=body><h2>Story {i}</h2><p>{prose(i, 40)}</p></div><div class=more>{card(i)}{card(i + 1)}</div></div>"
+    post = lambda i: f"<div class=page><p>Aside {i}</p><article><h1>Head {i}</h1><div class=entry><p>{prose(i, 40)}</p></div></article></div>"
+    shop = lambda i: f"<div class=shop><div class=text><p>{prose(i, 40)}</p></div><p>Item {i}</p></div>"
+    rows = [(i, f"http://mixed.org/{i}", (cards, post, shop)[i % 3](i)) for i in range(60)] + [(99, "http://single.org/", cards(99))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(60):
+        assert got[i] == (f"Story {i}\n{prose(i, 40)}", f"Head {i}\n{prose(i, 40)}", prose(i, 40))[i % 3]
+    assert prose(99, 40) in got[99]
+
+
 def test_shape_holds_every_structure():
     trees = [html_extract.Tree(["", "x", k, "z"], [-1, 0, 1, 0]) for k in "abc"]
     whole = html_extract.shape(trees)
