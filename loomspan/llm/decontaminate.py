@@ -7,7 +7,8 @@ exact weighted Jaccard similarity of five-word shingles, 0.8 or more; a shingle'
 how few items hold it.
 
 Windows without any shingle of an item of their size have similarity 0, so only windows around shared
-shingles get fingerprints. A document shorter than an item is one window.
+shingles get fingerprints. A document shorter than an item is one window. An item of one to four words has one
+shingle, of all its words: documents' shingles of that size are looked up as they are.
 
 The items are a stated query set, sent to the tasks in blocks of ``BLOCK_BYTES`` of text; more than one block
 means more than one pass. Documents stay where they are read: nothing is shuffled.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY, checked_broadcast, pieces, settled, staged, table, texts, with_row_id
-from .shingles import shingle_hashes, words
+from .shingles import Words, shingle_hashes, words
 
 RADIUS = 16
 BLOCK_BYTES = 16 << 20
@@ -94,17 +95,21 @@ class Items:
         self.most = float(np.log1p(len(rows)))
         self.weight = {s: float(np.log1p(len(rows) / n)) for s, n in df.items()}
         self.totals = [sum(self.weight[s] for s in own) for own in self.sets]
-        self.known = np.array(sorted(df), dtype=np.uint64)
+        long = [k for k in range(len(rows)) if self.sizes[k] >= SHINGLE_WORDS]
+        self.short: dict[int, dict[int, list[int]]] = {}  # by size, items of one short shingle
+        for k in np.flatnonzero((self.sizes > 0) & (self.sizes < SHINGLE_WORDS)).tolist():
+            self.short.setdefault(int(self.sizes[k]), {}).setdefault(next(iter(self.sets[k])), []).append(k)
+        self.known = np.array(sorted({s for k in long for s in self.sets[k]}), dtype=np.uint64)
         self.seen = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.seen[(self.known & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
         self.holders: dict[int, list[int]] = {}  # sizes of the items that hold a shingle
-        for k, own in enumerate(self.sets):
-            for s in own:
+        for k in long:
+            for s in self.sets[k]:
                 sizes = self.holders.setdefault(s, [])
                 if int(self.sizes[k]) not in sizes:
                     sizes.append(int(self.sizes[k]))
         self.by_size: dict[int, tuple[np.ndarray, HammingIndex]] = {}
-        for size in np.unique(self.sizes[self.sizes > 0]).tolist():
+        for size in np.unique(self.sizes[long]).tolist():
             own = np.flatnonzero(self.sizes == size)
             sums = np.stack([votes(w.hashes[w.offsets[k] : w.offsets[k + 1]]).sum(axis=0) for k in own])
             self.by_size[size] = (own, HammingIndex(fingerprints(sums), radius))
@@ -117,6 +122,19 @@ class Items:
         k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
         return at[self.known[k] == h[at]]
 
+    def met_short(self, w: Words) -> Iterator[tuple[int, int, int, int, int, float, int]]:
+        """(text, item, first word, words, distance, similarity, windows) of items below five words: a window is one shingle, equal or not."""
+        for size, own in self.short.items():
+            h, owner, first = shingle_hashes(w, size)
+            known = np.array(sorted(own), dtype=np.uint64)
+            k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            at = np.flatnonzero(known[k] == h)
+            _, places, windows = np.unique(owner[at] * len(known) + k[at], return_index=True, return_counts=True)
+            for p, n in zip(at[places].tolist(), windows.tolist()):
+                text = int(owner[p])
+                for item in own[int(known[k[p]])]:
+                    yield text, item, int(first[p] - w.offsets[text]), size, 0, 1.0, n
+
     def similar(self, window: set[int], item: int) -> float:
         shared = sum(self.weight[s] for s in window & self.sets[item])
         either = self.totals[item] + sum(self.weight.get(s, self.most) for s in window) - shared
@@ -168,6 +186,8 @@ def _matched(rows: list[tuple[int, str]], similarity: float, radius: int):
                 doc, rid = batch.column("doc_id")[k].as_py(), batch.column("__rid")[k].as_py()
                 for item, *rest in items.met(w.hashes[w.offsets[k] : w.offsets[k + 1]], h[begins[k] : begins[k + 1]], own):
                     out.append((doc, rid, items.ids[item], *rest))
+            for k, item, *rest in items.met_short(w):
+                out.append((batch.column("doc_id")[k].as_py(), batch.column("__rid")[k].as_py(), items.ids[item], *rest))
             if out:
                 yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 

@@ -45,6 +45,27 @@ def test_decontamination_equals_brute_force(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want and len(want) > 8
 
 
+def test_items_below_five_words_are_found_in_long_documents(spark):
+    items = [(1, "Zinc"), (2, "zinc, tin"), (3, "tin zinc tin"), (4, "lead tin zinc tin"), (5, "tin zinc tin"), (6, "of six words all of them")]
+    split = lambda x: re.findall(r"[0-9a-z]+", x.lower())
+    r = random.Random(8)
+    docs = [(d, " ".join(r.choice(("zinc", "TIN", "lead", "iron.", "gold")) for _ in range(r.randrange(0, 30)))) for d in range(80)]
+    docs.append((80, "gold and lead. TIN zinc\ntin gold"))
+    want = {}
+    for d, x in docs:
+        w = split(x)
+        for i, y in items:
+            own = split(y)
+            hits = [k for k in range(len(w) - len(own) + 1) if w[k : k + len(own)] == own]
+            if hits:
+                want[d, i] = (hits[0], len(own), 0, 1.0, len(hits))
+    docs_table, items_table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(docs_table, items_table).collect()
+    assert {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.hamming, r.similarity, r.n_windows) for r in got} == want and len(got) == len(want)
+    assert {i for _, i in want} == {1, 2, 3, 4, 5}
+    assert {r.doc_id for r in decontaminate.clean(docs_table, items_table).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_hamming_index_finds_all():
     r = np.random.default_rng(1)
     stored = r.integers(0, 2**63, 60, dtype=np.uint64)
