@@ -11,7 +11,7 @@ shingles get fingerprints. A document shorter than an item is one window. An ite
 shingle, of all its words: documents' shingles of that size are looked up as they are.
 
 The items are a stated query set, sent to the tasks in blocks of ``BLOCK_BYTES`` of text; more than one block
-means more than one pass. Documents stay where they are read: nothing is shuffled.
+means more than one pass. How many items hold a shingle is counted over all blocks. Documents stay where they are read: nothing is shuffled.
 
 Cases: null and empty texts and items match nothing; items with equal words are each reported; repeated rows
 are reported each; an empty table gives an empty result; other columns are ignored by ``matches`` and kept by
@@ -21,6 +21,7 @@ are reported each; an empty table gives an empty result; other columns are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY, checked_broadcast, pieces, settled, staged, table, texts, with_row_id
-from .shingles import Words, shingle_hashes, words
+from .shingles import Words, shingle_hashes, shingle_sets, words
 
 RADIUS = 16
 BLOCK_BYTES = 16 << 20
@@ -78,22 +79,37 @@ class HammingIndex:
         return q[near], s[near], distance[near]
 
 
+@dataclass
+class Held:
+    """The number of items of the benchmark, and how many of them hold a shingle, where it is two or more."""
+
+    items: int
+    shingles: np.ndarray
+    counts: np.ndarray
+
+
+def held_by(blocks: list[list[tuple[int, str]]]) -> Held:
+    found, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    for rows in blocks:
+        own, n = np.unique(shingle_sets([x for _, x in rows])[0], return_counts=True)
+        found, at = np.unique(np.concatenate([found, own]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(found)).astype(np.int64)
+    return Held(sum(map(len, blocks)), found[counts > 1], counts[counts > 1])
+
+
 class Items:
-    """The items of one block, ready to be met by documents."""
+    """The items of one block, ready to be met by documents; ``held`` is of the whole benchmark."""
 
-    def __init__(self, rows: list[tuple[int, str]], similarity: float, radius: int):
+    def __init__(self, rows: list[tuple[int, str]], held: Held, similarity: float, radius: int):
         w = words([x for _, x in rows])
         h, owner, _ = shingle_hashes(w)
         self.ids = [i for i, _ in rows]
         self.similarity = similarity
         self.sizes = np.diff(w.offsets)
         self.sets = [frozenset(h[owner == k].tolist()) for k in range(len(rows))]
-        df: dict[int, int] = {}
-        for own in self.sets:
-            for s in own:
-                df[s] = df.get(s, 0) + 1
-        self.most = float(np.log1p(len(rows)))
-        self.weight = {s: float(np.log1p(len(rows) / n)) for s, n in df.items()}
+        self.most = float(np.log1p(held.items))
+        self.weight = dict.fromkeys(h.tolist(), self.most)
+        self.weight |= {s: float(np.log1p(held.items / n)) for s, n in zip(held.shingles.tolist(), held.counts.tolist())}
         self.totals = [sum(self.weight[s] for s in own) for own in self.sets]
         long = [k for k in range(len(rows)) if self.sizes[k] >= SHINGLE_WORDS]
         self.short: dict[int, dict[int, list[int]]] = {}  # by size, items of one short shingle
@@ -170,11 +186,11 @@ class Items:
             yield item, -k, span, d, value, windows
 
 
-def _matched(rows: list[tuple[int, str]], similarity: float, radius: int):
+def _matched(rows: list[tuple[int, str]], held: Held, similarity: float, radius: int):
     schema = pa.schema([("doc_id", pa.int64()), ("__rid", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int32()), ("hamming", pa.int32()), ("similarity", pa.float64()), ("n_windows", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows, similarity, radius)
+        items = Items(rows, held, similarity, radius)
         for batch in pieces(batches, "text", 1 << 20):
             w = words(texts(batch))
             h, owner, _ = shingle_hashes(w)
@@ -206,7 +222,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             size = 0
         blocks[-1].append((r[0], r[1]))
         size += len(r[1])
-    return reduce(DataFrame.unionByName, [rows.mapInArrow(_matched(b, similarity, radius), MATCH) for b in blocks])
+    held = held_by(blocks)
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(_matched(b, held, similarity, radius), MATCH) for b in blocks])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

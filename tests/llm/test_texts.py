@@ -66,6 +66,25 @@ def test_items_below_five_words_are_found_in_long_documents(spark):
     assert {r.doc_id for r in decontaminate.clean(docs_table, items_table).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_weights_are_of_the_whole_benchmark(spark, monkeypatch):
+    """One block an item gives the same similarities as one block of all, in any order."""
+    common, r = prose(40, 12), random.Random(9)
+    items = [(i, f"{common} {prose(60 + i, 12)}") for i in range(6)] + [(9, prose(80, 20))]
+    docs = []
+    for d in range(60):
+        own = items[d % 7][1].split()
+        for _ in range(r.randrange(0, 3)):
+            own[r.choice((0, len(own) - 1))] = "changed"
+        docs.append((d, f"{prose(d, 30)} {' '.join(own)} {prose(d + 200, 9)}"))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = []
+    for size, rows in ((decontaminate.BLOCK_BYTES, items), (1, items), (400, items[::-1])):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = decontaminate.matches(docs, spark.createDataFrame(rows, "item_id long, text string").coalesce(1)).collect()
+        found.append({(x.doc_id, x.item_id): round(x.similarity, 9) for x in got})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20 and min(found[0].values()) < 1
+
+
 def test_hamming_index_finds_all():
     r = np.random.default_rng(1)
     stored = r.integers(0, 2**63, 60, dtype=np.uint64)
