@@ -1,5 +1,6 @@
 """Tokens, packing, token files, pages and urls."""
 
+import random
 import zlib
 
 import numpy as np
@@ -66,6 +67,27 @@ def test_packing_places_each_id_once(spark, odd_docs, limits):
     assert packing.pack(odd_docs, public_path("byte_bpe_50k.json"), 0).select("doc_id").distinct().count() == 9
 
 
+def test_loss_limit_binds_apart_from_length(spark):
+    """Spans of answers: the limit of loss stops sequences that tokens would not, and lets longer ones be than if all bore loss."""
+    r, rows = random.Random(4), []
+    for d in range(60):
+        n = r.randrange(5, 60)
+        a = r.randrange(n)
+        rows.append((d, prose(d, n), None if d % 10 == 0 else [] if d % 10 == 1 else [(a, a + r.randrange(1, 9)), (a + 20, 10_000)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, answers array<struct<a: int, b: int>>").repartition(2)
+    limits = packing.Limits(tokens=256, segments=64, loss=40)
+    got = packing.pack(docs, public_path("byte_bpe_50k.json"), 0, limits, pool=30, loss_col="answers").toPandas()
+    spans = {d: x for d, _, x in rows}
+    for doc, g in got.sort_values("start").groupby("doc_id"):
+        assert b"".join(g.ids) == encoded("byte_bpe_50k.json", False, rows[doc][1], 0).tobytes()
+        for p in g.itertuples():
+            bears = [k for k in range(p.start + 1, p.start + p.length) if spans[doc] is None or any(a <= k < b for a, b in spans[doc])]
+            assert p.loss_tokens == len(bears)
+    sums = got.groupby("sequence_id")[["length", "loss_tokens"]].sum()
+    assert set(got.doc_id) == set(spans) and (sums.length <= 256).all() and (sums.loss_tokens <= 40).all()
+    assert (sums.length > 128).any() and ((sums.loss_tokens == 40) & (sums.length < 256)).any()
+
+
 def test_packing_of_nothing(no_docs):
     assert packing.pack(no_docs, public_path("byte_bpe_50k.json"), 0).count() == 0
 
