@@ -1,12 +1,13 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash banding.
 
 Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at least 0.8.
 
 1. Copies: texts with equal shingle sets become one class of copies, represented by one row.
-2. Forest: a representative has ``trees`` labels of up to ``depth`` MinHash values. Sorted, the labels of a
-   tree are a prefix trie. The matched prefix starts at full depth and is shortened until a pair at the
-   threshold meets in some tree with the target recall; every deeper match is among those found then.
-   Rows of one prefix stand in sorted order, and each is tied to the first: one edge a row, not all pairs.
+2. Banding: a representative has ``trees`` keys, each of ``prefix_length()`` MinHash values: the longest prefix,
+   of ``depth`` at most, with which a pair at the threshold meets in some tree with the target recall. This
+   depends on the threshold alone, so it is an LSH forest cut at a fixed prefix: no deeper values are signed
+   and no tries are kept, since every deeper match is among those found.
+   Rows of one key stand in sorted order, and each is tied to the first: one edge a row, not all pairs.
 3. Components of these edges hold every candidate pair. Their texts, and no others, are read again.
 4. Verification: the exact similarity of all pairs in a component, by inverted lists of shingles. A large
    component is cut into blocks and each pair of blocks is a unit of work, so no task holds all of it.
