@@ -136,9 +136,6 @@ def signature_extract(spark, sf):
     return files(spark, sf).select("doc_id", tx.signature(F.col("content"), 300).alias("signature"))
 
 
-_CAPITAL = r"list_sort(list_distinct(list_concat(list_filter(list_concat(regexp_extract_all(text, '(?:def|class|function)\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1), regexp_extract_all(text, '([a-zA-Z_][a-zA-Z0-9_]*)\s*[=:(]', 1), regexp_extract_all(text, 'self\.([a-zA-Z_][a-zA-Z0-9_]*)', 1)), lambda w: length(w) >= 3 AND NOT list_contains(['self', 'None', 'True', 'False'], w)), list_filter(regexp_extract_all(' ' || text, '(?:^|[^\p{L}\p{N}_])([A-Z][a-zA-Z0-9]+)(?:[^\p{L}\p{N}_]|$)', 1), lambda w: true))))"
-
-
 @query("identifier_quality")
 def identifier_quality(spark, sf):
     summary = tx.fallback(F.col("text"), F.lit("standard"))

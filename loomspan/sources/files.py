@@ -12,29 +12,31 @@ from ..config import SETTINGS
 from ..functions.redact import is_secret_file
 from ..functions.text import extension, ignored
 
-SKIPPED = (
-    "png jpg jpeg gif bmp ico webp tiff svg pyc pyo class o so dylib dll exe wasm zip tar gz bz2 xz 7z rar jar war "
-    "db sqlite sqlite3 bin dat pkl pickle parquet arrow lance mp3 mp4 wav avi mov flv ogg webm ttf otf woff woff2 eot "
-    "pdf doc docx xls xlsx ppt pptx lock map"
-).split()
-LANGUAGES = dict(
-    pair.split("=")
-    for pair in (
-        "py=python js=javascript ts=typescript jsx=javascript tsx=tsx md=markdown php=php html=html htm=html css=css "
-        "scss=css less=css json=json yaml=yaml yml=yaml toml=toml sh=bash bash=bash zsh=bash rb=ruby go=go rs=rust "
-        "java=java c=c cpp=cpp h=c hpp=cpp swift=swift kt=kotlin kts=kotlin sql=sql graphql=graphql gql=graphql "
-        "proto=protobuf xml=xml r=r R=r lua=lua ex=elixir exs=elixir erl=erlang hs=haskell scala=scala clj=clojure "
-        "dart=dart vue=vue svelte=svelte pl=perl pm=perl cs=csharp fs=fsharp zig=zig nim=nim v=vlang tf=terraform "
-        "hcl=hcl dockerfile=dockerfile"
-    ).split()
-)
-IGNORED_NAMES = (
-    ".git .svn .hg node_modules vendor bower_components .pnpm-store .pnpm .yarn .venv venv env .env .tox .nox "
-    ".mypy_cache .pytest_cache .ruff_cache .cache Pods dist build _build out target bin obj .next .nuxt .output "
-    ".vercel .turbo .parcel-cache .idea .vscode .vs coverage .coverage htmlcov .nyc_output .DS_Store __pycache__ "
-    ".sass-cache .gradle .terraform .vagrant package-lock.json yarn.lock pnpm-lock.yaml composer.lock poetry.lock "
-    "storage logs tmp temp"
-).split()
+# Extensions that are not read, languages by extension, names that scans leave out.
+SKIPPED = [
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "tiff", "svg", "pyc", "pyo", "class", "o", "so", "dylib", "dll", "exe",
+    "wasm", "zip", "tar", "gz", "bz2", "xz", "7z", "rar", "jar", "war", "db", "sqlite", "sqlite3", "bin", "dat", "pkl",
+    "pickle", "parquet", "arrow", "lance", "mp3", "mp4", "wav", "avi", "mov", "flv", "ogg", "webm", "ttf", "otf", "woff",
+    "woff2", "eot", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "lock", "map",
+]
+LANGUAGES = {
+    "py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript", "tsx": "tsx", "md": "markdown", "php": "php",
+    "html": "html", "htm": "html", "css": "css", "scss": "css", "less": "css", "json": "json", "yaml": "yaml", "yml": "yaml",
+    "toml": "toml", "sh": "bash", "bash": "bash", "zsh": "bash", "rb": "ruby", "go": "go", "rs": "rust", "java": "java",
+    "c": "c", "cpp": "cpp", "h": "c", "hpp": "cpp", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "sql": "sql",
+    "graphql": "graphql", "gql": "graphql", "proto": "protobuf", "xml": "xml", "r": "r", "R": "r", "lua": "lua", "ex": "elixir",
+    "exs": "elixir", "erl": "erlang", "hs": "haskell", "scala": "scala", "clj": "clojure", "dart": "dart", "vue": "vue",
+    "svelte": "svelte", "pl": "perl", "pm": "perl", "cs": "csharp", "fs": "fsharp", "zig": "zig", "nim": "nim", "v": "vlang",
+    "tf": "terraform", "hcl": "hcl", "dockerfile": "dockerfile",
+}
+IGNORED_NAMES = [
+    ".git", ".svn", ".hg", "node_modules", "vendor", "bower_components", ".pnpm-store", ".pnpm", ".yarn", ".venv", "venv",
+    "env", ".env", ".tox", ".nox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".cache", "Pods", "dist", "build", "_build",
+    "out", "target", "bin", "obj", ".next", ".nuxt", ".output", ".vercel", ".turbo", ".parcel-cache", ".idea", ".vscode", ".vs",
+    "coverage", ".coverage", "htmlcov", ".nyc_output", ".DS_Store", "__pycache__", ".sass-cache", ".gradle", ".terraform",
+    ".vagrant", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "poetry.lock", "storage", "logs", "tmp",
+    "temp",
+]
 
 
 def language(path: Column) -> Column:

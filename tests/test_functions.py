@@ -151,3 +151,12 @@ def test_settings_refuse_wrong_values():
         SETTINGS.with_overrides(nothing=1)
     with pytest.raises(TypeError):
         SETTINGS.with_overrides(top_k="5")
+
+
+def test_decisions_of_a_column_equal_those_of_texts(spark):
+    told = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("text").collect()]
+    told += [None, "", "We decided to use Kafka because of load. Prefer  Go,\tsince it's fast;\nUSE go since it is fast and small", "Switched to É since so it is. chose a b over c d because of x.", "opted for x because y " * 30, "use , because . and more of it here"]
+    frame = spark.createDataFrame(list(enumerate(told)), "k long, text string")
+    got = frame.select("k", decisions.extracted(F.col("text")).alias("d")).collect()
+    for r in got:
+        assert [(x.decision, x.reason) for x in r.d] == (decisions.decisions(told[r.k]) if told[r.k] else []), told[r.k]
