@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
@@ -20,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,11 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and returns the table.
 
-    The lineage ends here, and any executor can read the rows again after another one is lost.
+    The lineage ends here, and any executor can read the rows again after another one is lost. The tables of an
+    application are removed when it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = f"{shared_dir(spark)}/{context.applicationId}"
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    own = context._jvm.org.apache.hadoop.fs.Path(folder)
+    own.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(own)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,23 +78,52 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             yield batch.slice(at)
 
 
-STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "Relation"}
+ROW_BITS = 30
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` if it is no more than a scan, which reads the same rows in the same order each time; else a staged copy."""
-    todo = [df._jdf.queryExecution().optimizedPlan()]
-    while todo:
-        node = todo.pop()
-        if node.nodeName().split()[0] not in STEADY:
-            return staged(df, "settled")
-        todo += [node.children().apply(k) for k in range(node.children().size())]
-    return df
+    """``df`` if it is no more than a scan of Parquet files, whose rows have a place in a file; else a staged copy."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    steady = node.deterministic()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    if steady and node.getClass().getSimpleName() == "LogicalRelation":
+        relation = node.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().toString() == "Parquet":
+            return df
+    return staged(df, "settled")
+
+
+def file_slots(paths: list[str]) -> dict[str, int]:
+    """A number below 2 to the 33 for each path that has not the first choice, its hash, for itself alone."""
+    taken: set[int] = set()
+    moved = {}
+    for path in sorted(paths):
+        slot = first = xxhash.xxh64(path.encode(), seed=42).intdigest() >> 31
+        while slot in taken:
+            slot = (slot + 1) % (1 << 33)
+        taken.add(slot)
+        if slot != first:
+            moved[path] = slot
+    return moved
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """Adds ``__rid``, which tells repeated rows apart; ``docs`` has to be settled."""
-    return docs.withColumn("__rid", F.monotonically_increasing_id())
+    """Adds ``__rid``, which tells repeated rows apart; ``docs`` has to be settled.
+
+    It is the row's place: the number of its file, from the hash of its path, and its index there. So it is the same in
+    every scan, however the files are split and whichever executors read them.
+    """
+    one_slash = lambda p: re.sub(r"^(\w+:)/+", r"\1/", p)  # noqa: E731  the scan and the listing differ in this
+    moved = file_slots([one_slash(p) for p in docs.inputFiles()])
+    place = docs.metadataColumn("_metadata")
+    path = F.regexp_replace(place["file_path"], r"^(\w+:)/+", "$1/")
+    slot: Column = F.shiftrightunsigned(F.xxhash64(path), 31)
+    if moved:
+        pairs = [F.lit(x) for item in moved.items() for x in item]
+        slot = F.coalesce(F.element_at(F.create_map(*pairs), path), slot)
+    row = F.when(place["row_index"] < 1 << ROW_BITS, place["row_index"]).otherwise(F.raise_error("a file has too many rows"))
+    return docs.withColumn("__rid", F.shiftleft(slot, ROW_BITS).bitwiseOR(row.cast("bigint")))
 
 
 def fold_of(doc_id: str = "doc_id"):

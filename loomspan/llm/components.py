@@ -49,7 +49,7 @@ class Forest:
         return ((x, self.root(x)) for x in list(self.up))
 
 
-def _thin(most: int = 1_000_000):
+def _thin(most: int = 250_000):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ Input rows pass a first index where they are read, so that a group of copies, ho
 shuffle as one row a task; the second index, dealt by digest, merges these. No text is shuffled.
 
 Cases: null text counts as empty; empty texts form one group; of equal texts the smallest doc_id stays, a
-null doc_id last, and of rows with one doc_id the first read; an empty table gives an empty result; other
+null doc_id last, and of rows with one doc_id the one with the smallest row id; an empty table gives an empty result; other
 columns are ignored by ``assign`` and kept by ``keep_first``.
 """
 
@@ -191,7 +191,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return with_row_id(docs).join(checked_broadcast(gone, gone.count(), 1_000_000), "__rid", "left_anti").drop("__rid")
 
 
-def update(live: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
+def update(live: DataFrame, inserts: DataFrame, deletes: DataFrame, keys_per_task: int = 500_000) -> DataFrame:
     """The index after a batch: ``deletes`` (digest) go first, then ``inserts`` (GROUP columns) come in."""
     none = F.lit(None).cast("bigint")
     gone = deletes.select("digest", none.alias("keep_id"), none.alias("keep_rid"), none.alias("group_size"), F.lit(1).alias("turn"))
@@ -210,7 +210,8 @@ def update(live: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame
                     _merge(index, part)
         yield from _emit(index)
 
-    return dealt(rows, "digest").sortWithinPartitions("turn").mapInArrow(run, GROUP)
+    n = max(int(live.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // keys_per_task)
+    return dealt(rows, "digest", n=n).sortWithinPartitions("turn").mapInArrow(run, GROUP)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,11 @@
-"""N-gram Jaccard join with MinHash banding.
+"""N-gram Jaccard join with a MinHash LSH forest.
 
 Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at least 0.8.
 
 1. Copies: texts with equal shingle sets become one class of copies, represented by one row.
-2. Banding: a representative has ``trees`` keys, each of ``prefix_length()`` MinHash values: the longest prefix,
-   of ``depth`` at most, with which a pair at the threshold meets in some tree with the target recall. This
-   depends on the threshold alone, so it is an LSH forest cut at a fixed prefix: no deeper values are signed
-   and no tries are kept, since every deeper match is among those found.
-   Rows of one key stand in sorted order, and each is tied to the first: one edge a row, not all pairs.
+2. Forest: the representatives' signatures meet in sorted prefix tries (``forest.py``), whose prefixes are shortened
+   until a pair at the threshold is met with the target recall. Pairs that meet and may reach the threshold, by
+   a sketch of their signatures, are candidates; only edges that connect these leave a task.
 3. Components of these edges hold every candidate pair. Their texts, and no others, are read again.
 4. Verification: the exact similarity of all pairs in a component, by inverted lists of shingles. A large
    component is cut into blocks and each pair of blocks is a unit of work, so no task holds all of it.
@@ -15,8 +13,8 @@ Two texts are linked when the Jaccard similarity of their sets of five-word shin
 5. Components of the verified links are the classes.
 
 Cases: null text counts as empty; texts without words are linked only with equal texts, as copies; of a
-class the smallest doc_id names it and stays (null last, of repeated rows the first read); an empty table
-gives an empty result; other columns are ignored by ``assign`` and kept by ``keep_one``.
+class the smallest doc_id names it and stays (null last, of repeated rows the one with the smallest row id); an empty
+table gives an empty result; other columns are ignored by ``assign`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -26,51 +24,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SIMILARITY, checked_broadcast, dealt, pieces, settled, staged, table, texts, with_row_id
 from .components import Forest, connected_components
-from .shingles import mixed, numbers, shingle_sets
+from .forest import DEPTH, RECALL, TREES, WIDTH, candidates, shortest_prefix, signatures
+from .shingles import shingle_sets
 
-TREES, DEPTH, RECALL = 24, 8, 0.9999
 BLOCK_TEXTS, BLOCK_SHINGLES = 250, 250_000
 
 
 def prefix_length(similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest matched prefix with which a pair at the similarity meets in a tree often enough."""
-    for p in range(depth, 0, -1):
-        if 1 - (1 - similarity**p) ** trees >= recall:
-            return p
-    raise ValueError(f"{trees} trees can't reach a recall of {recall} at {similarity}")
+    """To what the forest's prefixes may be shortened; see ``forest.shortest_prefix``."""
+    return shortest_prefix(similarity, trees, depth, recall)
 
 
-def _signed(trees: int, prefix: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("__rid", pa.int64()), ("set_key", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
-    factor, shift = numbers(21, trees * prefix), numbers(22, trees * prefix)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 20):
-            text = texts(batch)
-            h, offsets = shingle_sets(text)
-            n = np.diff(offsets)
-            some = np.flatnonzero(n > 0)
-            at = offsets[:-1][some]
-            keys = np.zeros((len(some), trees), dtype=np.uint64)
-            if len(some):
-                for tree in range(trees):
-                    own = np.full(len(some), tree, dtype=np.uint64)
-                    for k in range(tree * prefix, (tree + 1) * prefix):
-                        own = mixed(own * factor[0] + np.minimum.reduceat((h * factor[k] + shift[k]) >> np.uint64(32), at))
-                    keys[:, tree] = own
-            raw, cut = h.tobytes(), (8 * offsets).tolist()
-            sets = [hashlib.blake2b(raw[a:b] if b > a else x.encode(), digest_size=16, key=b"set" if b > a else b"text").digest() for x, a, b in zip(text, cut, cut[1:])]
-            lists = [[]] * len(text)
-            for k, row in zip(some.tolist(), keys.view(np.int64).tolist()):
-                lists[k] = row
-            yield pa.record_batch([batch.column("doc_id"), batch.column("__rid"), pa.array(sets, pa.binary()), pa.array(n, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
-
-    return run
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The key of each text's set of shingles, and the signature of sets that are not empty."""
+    for batch in pieces(batches, "text", 1 << 20):
+        text = texts(batch)
+        h, offsets = shingle_sets(text)
+        n = np.diff(offsets)
+        some = n > 0
+        raw, cut = h.tobytes(), (8 * offsets).tolist()
+        sets = [hashlib.blake2b(raw[a:b] if b > a else x.encode(), digest_size=16, key=b"set" if b > a else b"text").digest() for x, a, b in zip(text, cut, cut[1:])]
+        labels, sketch = signatures(h, np.append(offsets[:-1][some], len(h))) if some.any() else (np.zeros((0, TREES, WIDTH), dtype=np.uint8), np.zeros((0, 2), dtype=np.uint64))
+        m = len(labels) * TREES
+        flat = pa.BinaryArray.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(m + 1, dtype=np.int32) * np.int32(WIDTH)), pa.py_buffer(labels.tobytes())])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some) * TREES]), pa.int32()), flat)
+        words = np.zeros((len(text), 2), dtype=np.int64)
+        words[some] = sketch.view(np.int64)
+        yield pa.record_batch([batch.column("doc_id"), batch.column("__rid"), pa.array(sets, pa.binary()), pa.array(n, pa.int32()), lists, pa.array(words[:, 0]), pa.array(words[:, 1])], names=["doc_id", "__rid", "set_key", "n", "labels", "s0", "s1"])
 
 
 def linked(h: np.ndarray, offsets: np.ndarray, side: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -146,18 +131,15 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     """One row per input row: doc_id, __rid, class_id, keep_rid, n_links (other texts), n_copies (rows with its shingles)."""
     docs = settled(docs)
     rows = with_row_id(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
-    prefix = prefix_length(similarity)
-    signed = staged(rows.select("doc_id", "__rid", "text").mapInArrow(_signed(TREES, prefix), "doc_id bigint, __rid bigint, set_key binary, n int, keys array<bigint>"), "signatures")
+    signed = staged(rows.select("doc_id", "__rid", "text").mapInArrow(_signed, "doc_id bigint, __rid bigint, set_key binary, n int, labels array<binary>, s0 bigint, s1 bigint"), "signatures")
 
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__rid"))
     copies = staged(signed.groupBy("set_key").agg(F.min(first).alias("first"), F.count("*").alias("n_copies")), "copies")
     members = staged(signed.select("doc_id", "__rid", "set_key").join(copies.select("set_key", F.col("first.doc_id").alias("rep_id"), F.col("first.__rid").alias("rep"), "n_copies"), "set_key").drop("set_key"), "members")
-    reps = signed.select("__rid", "n", "keys").join(copies.select(F.col("first.doc_id").alias("rep_id"), F.col("first.__rid").alias("__rid")), "__rid")
-
-    trie = Window.partitionBy("key").orderBy("__rid").rowsBetween(Window.unboundedPreceding, 0)
-    met = reps.select("__rid", F.explode("keys").alias("key")).withColumn("head", F.first("__rid").over(trie))
-    candidates = connected_components(met.where("head <> __rid").select(F.col("__rid").alias("a"), F.col("head").alias("b")), "candidates")
-    sized = candidates.withColumnRenamed("node", "__rid").join(signed.select("__rid", "n"), "__rid")
+    others = members.where("__rid <> rep").select("__rid")
+    reps = signed.select("__rid", "doc_id", "n", "labels", "s0", "s1").join(checked_broadcast(others, others.count(), 1_000_000), "__rid", "left_anti")
+    met = connected_components(candidates(reps.select("__rid", "labels", "s0", "s1"), similarity), "candidates")
+    sized = met.withColumnRenamed("node", "__rid").join(signed.select("__rid", "n"), "__rid")
     blocks = sized.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("g"))
     units = staged(sized.join(blocks, "component").select("__rid", "component", "g", F.pmod(F.hash("__rid"), "g").alias("own")), "units")
 
@@ -169,7 +151,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 
     classes = connected_components(found.where("b is not null").select("a", "b"), "classes")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    named = classes.join(reps.select(F.col("__rid").alias("node"), "rep_id"), "node").join(links, "node", "left")
+    named = classes.join(reps.select(F.col("__rid").alias("node"), F.col("doc_id").alias("rep_id")), "node").join(links, "node", "left")
     heads = named.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull(), F.col("rep_id"), F.col("node"))).alias("head"))
     named = named.join(heads, "component").select(F.col("node").alias("rep"), F.col("head.rep_id").alias("class_id"), F.col("head.node").alias("keep"), "n_links")
     joined = members.join(named, "rep", "left")
