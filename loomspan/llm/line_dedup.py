@@ -9,7 +9,8 @@ first line in order of (doc_id, line number) stays.
    for every length from its own down to TAU less, a line probes the few substrings that the positions of
    edits on either side leave possible. A probe that equals the line's own segment is one row with it.
 2. Rows of one content meet in sorted order. A pair goes on if the counts of its characters differ by no more
-   than TAU edits can change; of each meeting only a spanning forest goes on.
+   than TAU edits can change; of each meeting only a spanning forest goes on. Contents with very many rows are told
+   by a count over one in ``SAMPLED`` documents; their rows are cut into tiles, and each pair of tiles meets apart.
 3. Texts of these candidates are fetched from their first document, and each component is verified: pairs of
    near lengths by banded bit-parallel edit distance. Large components are cut into blocks and dealt out.
 4. Components of verified links and equal lines are the classes.
@@ -36,6 +37,9 @@ from .shingles import mixed, numbers, powers
 TAU, MIN_CHARS = 2, 20
 BLOCK_LINES = 2_000
 INDEX, PROBE = 1, 2
+#: A content with so many rows in the sampled documents counts as hot, and gets tiles of about TILE_ROWS rows.
+SAMPLED, HOT_ROWS, TILE_ROWS = 64, 32, 2_048
+SMALL_RUN = 64
 
 
 def normal(line: str) -> str:
@@ -134,7 +138,7 @@ def index_rows(lines: list[str], tau: int = TAU) -> tuple[np.ndarray, np.ndarray
         h = (sums[s + size[ok]] - sums[s]) * down[s]
         keys.append(mixed(h * salt[0] + length[ok].astype(np.uint64) * salt[1] + np.uint64(i) * salt[2]))
         owners.append(ok)
-        kinds.append(np.full(len(ok), INDEX | PROBE if less == 0 and shift == 0 else PROBE, dtype=np.int8))
+        kinds.append(np.full(len(ok), INDEX | PROBE if less == 0 and shift == 0 else PROBE, dtype=np.int32))
     owner = np.concatenate(owners)
     return owner, np.concatenate(keys), np.concatenate(kinds), bags[owner]
 
@@ -155,7 +159,7 @@ def line_keys(lines: list[str]) -> np.ndarray:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", 2 << 20):
+    for batch in pieces(batches, "text", 1 << 20):
         numbers_, his, los = [], [], []
         own = [[(i, x) for i, raw in enumerate(t.split("\n")) if (x := normal(raw))] for t in texts(batch)]
         keys = line_keys([x for doc in own for _, x in doc])
@@ -171,7 +175,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    for batch in pieces(batches, "text", 1 << 20):
+    for batch in pieces(batches, "text", 1 << 19):
         long = [x for t in texts(batch) for raw in t.split("\n") if len(x := normal(raw)) >= MIN_CHARS]
         fresh, los = [], []
         for x, lo in zip(long, line_keys(long)[:, 1].tolist()):
@@ -186,39 +190,120 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.array(los)[owner]), pa.array(kind), pa.array(bag.view(np.int64))], names=["key", "lo", "kind", "bag"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links of rows sorted by key; a run of rows may reach over batches."""
-    kept: tuple | None = None
+def _bits(bag: np.ndarray) -> np.ndarray:
+    """The 16 counts of each bag."""
+    return ((bag[:, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, :]) & np.uint64(15)).astype(np.uint8)
+
+
+class Meeting:
+    """Candidate links of rows (key, lo, kind, bag) with one key; kind has the tile above its two lowest bits."""
+
+    def __init__(self, most: int = 200_000):
+        self.most = most
+        self.forest = Forest()
+        self.out: list[tuple[int, int]] = []
+
+    def link(self, a: int, b: int) -> None:
+        if self.forest.join(a, b):
+            self.out.append((a, b))
 
-    def links(key: np.ndarray, lo: np.ndarray, kind: np.ndarray, bag: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, key: np.ndarray, lo: np.ndarray, kind: np.ndarray, bag: np.ndarray) -> None:
+        """Links a block of whole runs of one key."""
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        end = np.append(begin[1:], len(key))
-        most, least = np.maximum.reduceat(lo, begin), np.minimum.reduceat(lo, begin)
-        out: list[tuple[int, int]] = []
-        for a, b in zip(begin[most != least].tolist(), end[most != least].tolist()):
-            forest = Forest()
-            held = np.flatnonzero(kind[a:b] & INDEX) + a
-            for p in range(a, b):
-                if len(held):
-                    near = held[(bag_distance(bag[held], bag[p]) <= 2 * TAU) & (lo[held] != lo[p])]
-                    out += [(int(lo[p]), int(lo[q])) for q in near.tolist() if forest.join(int(lo[p]), int(lo[q]))]
-        if out:
-            x, y = zip(*out)
-            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+        size = np.diff(np.append(begin, len(key)))
+        mixed_ = np.maximum.reduceat(lo, begin) != np.minimum.reduceat(lo, begin)
+        for k in np.flatnonzero(mixed_ & (size > SMALL_RUN)).tolist():
+            self._large(*(x[begin[k] : begin[k] + size[k]] for x in (lo, kind, bag)))
+        small = np.repeat(mixed_ & (size <= SMALL_RUN), size)
+        if small.any():
+            run = np.repeat(np.arange(len(size)), size)[small]
+            self._small(run, lo[small], kind[small], bag[small])
+        if len(self.forest.up) > self.most:
+            self.forest = Forest()
+
+    def _small(self, run: np.ndarray, lo: np.ndarray, kind: np.ndarray, bag: np.ndarray) -> None:
+        held = np.flatnonzero(kind & INDEX)
+        start, stop = np.searchsorted(run[held], run), np.searchsorted(run[held], run, side="right")
+        n = stop - start
+        p = np.repeat(np.arange(len(run)), n)
+        q = held[np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)]
+        apart = lo[p] != lo[q]
+        p, q = p[apart], q[apart]
+        near = bag_distance(bag[p], bag[q]) <= 2 * TAU
+        for a, b in zip(lo[p[near]].tolist(), lo[q[near]].tolist()):
+            self.link(a, b)
+
+    def _large(self, lo: np.ndarray, kind: np.ndarray, bag: np.ndarray) -> None:
+        lo, first, same = np.unique(lo, return_index=True, return_inverse=True)  # a line may come from many tasks
+        kinds = np.zeros(len(lo), dtype=kind.dtype)
+        np.bitwise_or.at(kinds, same, kind)
+        kind, counts = kinds, _bits(bag[first])
+        tile = kind >> 2
+        across = tile.min() != tile.max()
+        held = np.flatnonzero(kind & INDEX)
+        group = np.arange(len(held))
+        for k in range(0, len(lo) if len(held) else 0, 256):
+            own = counts[k : k + 256]
+            total = np.zeros((len(own), len(held)), dtype=np.uint8)
+            for c in range(16):
+                d = (own[:, None, c] - counts[held][None, :, c]) & 15
+                total += np.minimum(d, 16 - d)
+            near = total <= 2 * TAU
+            if across:
+                near &= tile[k : k + 256, None] != tile[held][None, :]
+            for x in np.flatnonzero(near.any(axis=1)).tolist():
+                mine = np.flatnonzero(near[x])
+                mine = mine[held[mine] != k + x]
+                if len(mine):
+                    self.link(int(lo[k + x]), int(lo[held[mine[0]]]))
+                    names = np.unique(group[mine])
+                    if len(names) > 1:
+                        for name in names[1:].tolist():
+                            self.link(int(lo[held[names[0]]]), int(lo[held[name]]))
+                        group[np.isin(group, names)] = names[0]
+
+    def batch(self) -> pa.RecordBatch:
+        a, b = zip(*self.out)
+        self.out = []
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate links of rows sorted by key; a run of rows may reach over batches."""
+    meeting = Meeting()
+    kept: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        own = tuple(batch.column(c).to_numpy() for c in ("key", "lo", "kind"))
-        own += (batch.column("bag").to_numpy().view(np.uint64),)
-        if kept:
-            own = tuple(np.concatenate(x) for x in zip(kept, own))
+        own = (*(batch.column(c).to_numpy() for c in ("key", "lo", "kind")), batch.column("bag").to_numpy().view(np.uint64))
+        if kept and own[0][0] == own[0][-1] == kept[0][0][-1]:
+            kept.append(own)
+            continue
+        own = tuple(np.concatenate(x) for x in zip(*kept, own))
         cut = int(np.searchsorted(own[0], own[0][-1]))
         if cut:
-            yield from links(*(x[:cut] for x in own))
-        kept = tuple(x[cut:] for x in own)
+            meeting.add(*(x[:cut] for x in own))
+        kept = [tuple(x[cut:] for x in own)]
+        if meeting.out:
+            yield meeting.batch()
     if kept:
-        yield from links(*kept)
+        meeting.add(*(np.concatenate(x) for x in zip(*kept)))
+        if meeting.out:
+            yield meeting.batch()
+
+
+def tiled(rows: DataFrame) -> DataFrame:
+    """Index rows (key, lo, kind, bag) of (__rid, text); the rows of a hot content stand once for each pair of tiles, under that pair's key."""
+    kind = "key bigint, lo bigint, kind int, bag bigint"
+    index = rows.select("text").mapInArrow(_index, kind)
+    some = rows.where(F.pmod(F.xxhash64("__rid"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_index, kind)
+    hot = staged(some.groupBy("key").count().where(F.col("count") >= HOT_ROWS).select("key", F.ceil(F.col("count") * SAMPLED / TILE_ROWS).cast("int").alias("g")), "hot-keys")
+    if not (count := hot.count()):
+        return index
+    dealt_ = index.join(checked_broadcast(hot, count, 500_000), "key", "left").withColumn("own", F.pmod(F.xxhash64("lo"), F.coalesce("g", F.lit(1))).cast("int"))
+    units = dealt_.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return units.select(F.when(F.col("g") > 1, pair).otherwise(F.col("key")).alias("key"), "lo", (F.col("kind") + 4 * F.col("own")).alias("kind"), "bag")
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +366,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_classes(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(hi, lo, class_hi, class_lo, n_links) of the lines with a near line; rows: (doc_id, __rid, text)."""
-    index = rows.select("text").mapInArrow(_index, "key bigint, lo bigint, kind tinyint, bag bigint")
-    edges = dealt(index, "key").sortWithinPartitions("key").mapInArrow(_meet, "a bigint, b bigint")
+    edges = dealt(tiled(rows), "key").sortWithinPartitions("key").mapInArrow(_meet, "a bigint, b bigint")
     candidates = staged(connected_components(edges, "line-candidates"), "line-candidates")
     some = checked_broadcast(candidates, candidates.count(), 500_000)
     each = lines.select("__rid", F.explode(F.arrays_zip("line", "hi", "lo")).alias("x")).select("__rid", "x.*")

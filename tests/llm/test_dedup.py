@@ -203,3 +203,30 @@ def test_line_dedup_of_odd_rows(spark, odd_docs, no_docs):
     texts = [r.text for r in out.where("doc_id in (1, 2)").collect()]
     assert sorted(texts) == ["", "", "same text here for all of us"]
     assert line_dedup.assign(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2_048, 16])
+def test_hot_segments_meet_in_tiles(spark, monkeypatch, tile):
+    """Hundreds of lines with the same first half: every pair of tiles meets, and links are those of brute force."""
+    monkeypatch.setattr(line_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(line_dedup, "TILE_ROWS", tile)
+    r = random.Random(9)
+    lines = [f"the same words open each of these lines {r.choice('abcdefgh') * 3}{r.randrange(100, 999)}{r.choice('xyz') * r.randrange(3)}" for _ in range(300)]
+    rows = [(d, "\n".join(lines[d * 5 : d * 5 + 5])) for d in range(60)]
+    distinct = sorted(set(lines))
+    near = {x: {y for y in distinct if y != x and distance(x, y) <= 2} for x in distinct}
+    got = line_dedup.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {x.doc_id: x.n_links for x in got} == {d: sum(len(near[x]) for x in t.split("\n") if near[x] or lines.count(x) > 1) for d, t in rows}
+    klass, left = {}, set(distinct)
+    while left:
+        todo = [min(left)]
+        head = todo[0]
+        while todo:
+            x = todo.pop()
+            if x in left:
+                left.discard(x)
+                klass[x] = head
+                todo += near[x]
+    assert sum(x.n_kept for x in got) == len(set(klass.values()))
+    keys = line_dedup.tiled(line_dedup.with_row_id(line_dedup.settled(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert keys.groupBy("key").count().agg(F.max("count")).first()[0] < (300 * 13 if tile > 300 else 200)
