@@ -163,7 +163,8 @@ def _walk(shortest: int, node_rows: int):
 def _chained(rows: DataFrame, key: Column) -> DataFrame:
     """(a, b): each row of (rid, label) with the smallest row of its key."""
     keyed = rows.select(F.col("rid").alias("a"), key.alias("key"))
-    return keyed.join(keyed.groupBy("key").agg(F.min("a").alias("b")), "key").where("a <> b").select("a", "b")
+    heads = staged(keyed.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
+    return keyed.join(checked_broadcast(heads, heads.count(), 500_000), "key").where("a <> b").select("a", "b")
 
 
 def candidates(rows: DataFrame, similarity: float = SIMILARITY, node_rows: int | None = None) -> DataFrame:

@@ -36,7 +36,8 @@ from .shingles import mixed, numbers, powers
 
 TAU, MIN_CHARS = 2, 20
 BLOCK_LINES = 2_000
-INDEX, PROBE = 1, 2
+#: The two lowest bits of an index row's key: whether the line's own segment is at its place, and the side in a pair of tiles.
+INDEX, SIDE = 1, 2
 #: A content with so many rows in the sampled documents counts as hot, and gets tiles of about TILE_ROWS rows.
 SAMPLED, HOT_ROWS, TILE_ROWS = 64, 32, 2_048
 SMALL_RUN = 64
@@ -117,8 +118,8 @@ def segments(length: np.ndarray, i: int, tau: int = TAU) -> tuple[np.ndarray, np
     return i * size + longer, size + (i >= tau + 1 - extra)
 
 
-def index_rows(lines: list[str], tau: int = TAU) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, kind, bag) of all index and probe rows of the lines."""
+def index_rows(lines: list[str], tau: int = TAU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, bag) of all index and probe rows of the lines."""
     points = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4")
     n = np.array([len(x) for x in lines], dtype=np.int64)
     begin = np.cumsum(n) - n
@@ -127,7 +128,7 @@ def index_rows(lines: list[str], tau: int = TAU) -> tuple[np.ndarray, np.ndarray
     np.cumsum(points.astype(np.uint64) * up[: len(points)], out=sums[1:])
     counts = np.bincount(np.repeat(np.arange(len(n)), n) * 16 + (points & 15), minlength=16 * len(n)).reshape(-1, 16) & 15
     bags = (counts.astype(np.uint64) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
-    owners, keys, kinds = [], [], []
+    owners, keys = [], []
     salt = numbers(41, 3)
     for less, i, shift in probes(tau):
         length = n - less
@@ -136,11 +137,11 @@ def index_rows(lines: list[str], tau: int = TAU) -> tuple[np.ndarray, np.ndarray
         ok = np.flatnonzero((length >= MIN_CHARS) & (place >= 0) & (place + size <= n))
         s = begin[ok] + place[ok]
         h = (sums[s + size[ok]] - sums[s]) * down[s]
-        keys.append(mixed(h * salt[0] + length[ok].astype(np.uint64) * salt[1] + np.uint64(i) * salt[2]))
+        content = mixed(h * salt[0] + length[ok].astype(np.uint64) * salt[1] + np.uint64(i) * salt[2])
+        keys.append(content & ~np.uint64(INDEX | SIDE) | np.uint64(INDEX if less == 0 and shift == 0 else 0))
         owners.append(ok)
-        kinds.append(np.full(len(ok), INDEX | PROBE if less == 0 and shift == 0 else PROBE, dtype=np.int32))
     owner = np.concatenate(owners)
-    return owner, np.concatenate(keys), np.concatenate(kinds), bags[owner]
+    return owner, np.concatenate(keys), bags[owner]
 
 
 def bag_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -186,8 +187,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) > 300_000:
             seen.clear()
         if fresh:
-            owner, key, kind, bag = index_rows(fresh)
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.array(los)[owner]), pa.array(kind), pa.array(bag.view(np.int64))], names=["key", "lo", "kind", "bag"])
+            owner, key, bag = index_rows(fresh)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.array(los)[owner]), pa.array(bag.view(np.int64))], names=["key", "lo", "bag"])
 
 
 def _bits(bag: np.ndarray) -> np.ndarray:
@@ -196,7 +197,7 @@ def _bits(bag: np.ndarray) -> np.ndarray:
 
 
 class Meeting:
-    """Candidate links of rows (key, lo, kind, bag) with one key; kind has the tile above its two lowest bits."""
+    """Candidate links of rows (key, lo, bag) with one content."""
 
     def __init__(self, most: int = 200_000):
         self.most = most
@@ -207,22 +208,23 @@ class Meeting:
         if self.forest.join(a, b):
             self.out.append((a, b))
 
-    def add(self, key: np.ndarray, lo: np.ndarray, kind: np.ndarray, bag: np.ndarray) -> None:
-        """Links a block of whole runs of one key."""
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    def add(self, key: np.ndarray, lo: np.ndarray, bag: np.ndarray) -> None:
+        """Links a block of whole runs of one content."""
+        content = key >> 2
+        begin = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))
         size = np.diff(np.append(begin, len(key)))
         mixed_ = np.maximum.reduceat(lo, begin) != np.minimum.reduceat(lo, begin)
         for k in np.flatnonzero(mixed_ & (size > SMALL_RUN)).tolist():
-            self._large(*(x[begin[k] : begin[k] + size[k]] for x in (lo, kind, bag)))
+            self._large(*(x[begin[k] : begin[k] + size[k]] for x in (key, lo, bag)))
         small = np.repeat(mixed_ & (size <= SMALL_RUN), size)
         if small.any():
             run = np.repeat(np.arange(len(size)), size)[small]
-            self._small(run, lo[small], kind[small], bag[small])
+            self._small(run, key[small], lo[small], bag[small])
         if len(self.forest.up) > self.most:
             self.forest = Forest()
 
-    def _small(self, run: np.ndarray, lo: np.ndarray, kind: np.ndarray, bag: np.ndarray) -> None:
-        held = np.flatnonzero(kind & INDEX)
+    def _small(self, run: np.ndarray, key: np.ndarray, lo: np.ndarray, bag: np.ndarray) -> None:
+        held = np.flatnonzero(key & INDEX)
         start, stop = np.searchsorted(run[held], run), np.searchsorted(run[held], run, side="right")
         n = stop - start
         p = np.repeat(np.arange(len(run)), n)
@@ -233,14 +235,13 @@ class Meeting:
         for a, b in zip(lo[p[near]].tolist(), lo[q[near]].tolist()):
             self.link(a, b)
 
-    def _large(self, lo: np.ndarray, kind: np.ndarray, bag: np.ndarray) -> None:
+    def _large(self, key: np.ndarray, lo: np.ndarray, bag: np.ndarray) -> None:
         lo, first, same = np.unique(lo, return_index=True, return_inverse=True)  # a line may come from many tasks
-        kinds = np.zeros(len(lo), dtype=kind.dtype)
-        np.bitwise_or.at(kinds, same, kind)
-        kind, counts = kinds, _bits(bag[first])
-        tile = kind >> 2
-        across = tile.min() != tile.max()
-        held = np.flatnonzero(kind & INDEX)
+        index = np.zeros(len(lo), dtype=bool)
+        index[same[(key & INDEX) > 0]] = True
+        side, counts = key[first] & SIDE, _bits(bag[first])
+        across = side.min() != side.max()
+        held = np.flatnonzero(index)
         group = np.arange(len(held))
         for k in range(0, len(lo) if len(held) else 0, 256):
             own = counts[k : k + 256]
@@ -250,7 +251,7 @@ class Meeting:
                 total += np.minimum(d, 16 - d)
             near = total <= 2 * TAU
             if across:
-                near &= tile[k : k + 256, None] != tile[held][None, :]
+                near &= side[k : k + 256, None] != side[held][None, :]
             for x in np.flatnonzero(near.any(axis=1)).tolist():
                 mine = np.flatnonzero(near[x])
                 mine = mine[held[mine] != k + x]
@@ -275,12 +276,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        own = (*(batch.column(c).to_numpy() for c in ("key", "lo", "kind")), batch.column("bag").to_numpy().view(np.uint64))
-        if kept and own[0][0] == own[0][-1] == kept[0][0][-1]:
+        own = (batch.column("key").to_numpy(), batch.column("lo").to_numpy(), batch.column("bag").to_numpy().view(np.uint64))
+        if kept and own[0][0] >> 2 == own[0][-1] >> 2 == kept[0][0][-1] >> 2:
             kept.append(own)
             continue
         own = tuple(np.concatenate(x) for x in zip(*kept, own))
-        cut = int(np.searchsorted(own[0], own[0][-1]))
+        cut = int(np.searchsorted(own[0], own[0][-1] >> 2 << 2))
         if cut:
             meeting.add(*(x[:cut] for x in own))
         kept = [tuple(x[cut:] for x in own)]
@@ -293,17 +294,20 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tiled(rows: DataFrame) -> DataFrame:
-    """Index rows (key, lo, kind, bag) of (__rid, text); the rows of a hot content stand once for each pair of tiles, under that pair's key."""
-    kind = "key bigint, lo bigint, kind int, bag bigint"
+    """Index rows (key, lo, bag) of (__rid, text); the rows of a hot content stand once for each pair of tiles, under that pair's key."""
+    kind = "key bigint, lo bigint, bag bigint"
     index = rows.select("text").mapInArrow(_index, kind)
     some = rows.where(F.pmod(F.xxhash64("__rid"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_index, kind)
-    hot = staged(some.groupBy("key").count().where(F.col("count") >= HOT_ROWS).select("key", F.ceil(F.col("count") * SAMPLED / TILE_ROWS).cast("int").alias("g")), "hot-keys")
+    content = F.shiftright("key", 2).alias("content")
+    hot = staged(some.groupBy(content).count().where(F.col("count") >= HOT_ROWS).select("content", F.ceil(F.col("count") * SAMPLED / TILE_ROWS).cast("int").alias("g")), "hot-keys")
     if not (count := hot.count()):
         return index
-    dealt_ = index.join(checked_broadcast(hot, count, 500_000), "key", "left").withColumn("own", F.pmod(F.xxhash64("lo"), F.coalesce("g", F.lit(1))).cast("int"))
-    units = dealt_.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)))
-    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return units.select(F.when(F.col("g") > 1, pair).otherwise(F.col("key")).alias("key"), "lo", (F.col("kind") + 4 * F.col("own")).alias("kind"), "bag")
+    known = index.withColumn("content", content).join(checked_broadcast(hot, count, 500_000), "content", "left")
+    own = F.pmod(F.xxhash64("lo"), F.coalesce("g", F.lit(1))).cast("int")
+    units = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)))
+    pair = F.shiftleft(F.xxhash64("content", F.least("own", "other"), F.greatest("own", "other")), 2)
+    side = F.when(F.col("own") > F.col("other"), SIDE).otherwise(0)
+    return units.select(F.when(F.col("g") > 1, pair.bitwiseOR(F.col("key").bitwiseAND(INDEX)).bitwiseOR(side)).otherwise(F.col("key")).alias("key"), "lo", "bag")
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +370,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_classes(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(hi, lo, class_hi, class_lo, n_links) of the lines with a near line; rows: (doc_id, __rid, text)."""
-    edges = dealt(tiled(rows), "key").sortWithinPartitions("key").mapInArrow(_meet, "a bigint, b bigint")
+    edges = dealt(tiled(rows), F.shiftright("key", 2)).sortWithinPartitions("key").mapInArrow(_meet, "a bigint, b bigint")
     candidates = staged(connected_components(edges, "line-candidates"), "line-candidates")
     some = checked_broadcast(candidates, candidates.count(), 500_000)
     each = lines.select("__rid", F.explode(F.arrays_zip("line", "hi", "lo")).alias("x")).select("__rid", "x.*")
