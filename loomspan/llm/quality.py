@@ -4,15 +4,16 @@ A document's score is a linear function of features of its text; the chance that
 another is the logistic function of the difference of their scores. Each pair of a good and a bad labelled
 document is a preference, and the weights minimise the logistic loss on the differences of features.
 
-The score is reported on a scale from 0 to 1 on which the accepting threshold stands at the quantile of the
-training scores that separates the labels best, so a fixed cut means the same rank whatever the features are.
+The score is reported on a scale from 0 to 1 on which the accepting threshold stands at a quantile of the training
+scores: that of the share of bad ones among the labels, so a fixed cut means the same rank whatever the features are.
 
-The model is fitted on at most ``max_rows`` labelled rows, those with the smallest hash of the id; texts of
-all documents are read whole and scored where they are read, with nothing shuffled.
+The model is fitted on at most ``max_rows`` labelled rows, those with the smallest hash of the id, one text an id;
+texts of all documents are read whole and scored where they are read, with nothing shuffled.
 
 Cases: null text counts as empty; an empty text has a score like any other; rows without a label, with a null
-label or of the held-out fold teach nothing, nor do ids with labels of both kinds; with labels of one kind
-only, every document scores the threshold itself; repeated rows are scored each; other columns are kept by ``scored``.
+label or of the held-out fold teach nothing, nor do ids with labels of both kinds; of labelled rows with one id the least
+text teaches; with labels of one kind only, every document scores the threshold itself; repeated rows are scored each;
+other columns are kept by ``scored``, but for one that has the name of the score.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def fit(x: np.ndarray, label: np.ndarray, pairs_each: int = PAIRS_EACH, penalty:
         weights = weights + step
         if np.abs(step).max() < 1e-6:
             break
-    return Ranking(mean, scale, weights, best_cut(z @ weights, label == 1))
+    return Ranking(mean, scale, weights, float(np.quantile(z @ weights, np.mean(label == 0), method="midpoint")))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Ranking:
@@ -133,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.where("doc_id is not null and label in (0, 1)").where(fold_of() != 2)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
@@ -147,12 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(docs: DataFrame, model: Ranking, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with a column of scores from 0 to 1."""
-    held = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
+    held = [c for c in docs.columns if c != out_col]
+    schema = T.StructType([*(docs.schema[c] for c in held), T.StructField(out_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col, 1 << 20):
-            yield pa.record_batch([*batch.columns, pa.array(model.score(features(texts(batch, text_col))), pa.float64())], names=[*held, out_col])
+            yield pa.record_batch([*(batch.column(c) for c in held), pa.array(model.score(features(texts(batch, text_col))), pa.float64())], names=[*held, out_col])
 
     return docs.mapInArrow(run, schema)
 

@@ -1,31 +1,36 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-1. Log-odds: for each word, the difference of its log-odds in toxic and in clean labelled texts, both smoothed
-   by an informative Dirichlet prior whose shape is the word's frequency in the whole corpus, and made
-   less where the evidence is thin. Copies and near copies count once.
-   A word without a score of its own has that of its stem, the first four letters.
-2. Segments: words have scores (log-odds less a drift, so that clean text has a negative mean; of the same word
-   again in a text, the k-th counts a k-th); one linear scan finds all maximal scoring segments of a text.
+1. Log-odds: for each term of the labelled texts, the difference of its log-odds in toxic and in clean ones, both
+   smoothed by an informative Dirichlet prior whose shape is the term's share of the whole corpus, with its sign, and
+   shrunk by how far it stands above its own noise: within ``LEAST_Z`` standard errors it is 0. Terms are words and
+   the beginnings of words; a word without a score of its own has that of the longest beginning with one.
+   Near copies among the labelled texts count once.
+2. Segments: a word scores its log-odds less a drift, any other word, and one that repeats the word before it, the drift alone, so clean text has a negative
+   mean; one linear scan finds all maximal scoring segments of a text.
 3. Calibration: maximal segment scores of random text follow an extreme-value law. Lambda solves
    sum p_i exp(lambda s_i) = 1 for the scores s_i of clean text; K comes from the mean score that clean
    training texts reach. A segment of score S in a text of n words has E = K n exp(-lambda S) expected equals.
-   Segments with E below ``significant`` are the toxic passages; the text's score rises with -log of the
-   least E, on a scale where the threshold stands at the best separating value of the training texts.
+   Segments with E below ``significant`` are the toxic passages; the text's score rises with -log of the chance of
+   the least E, on a scale where the threshold stands at the best separating value of the training texts. For all of
+   this the labelled texts are scored by log-odds that the other half of them gave.
 
-The labelled sample is bounded by ``max_rows`` (smallest hashes of ids). Corpus counts cover all documents:
-tasks count the words of the sample's vocabulary where they read texts and send one row a word.
+The labelled sample is bounded by ``max_rows`` (smallest hashes of ids, one text an id). Terms are counted on
+executors, and those of the sample's terms that stand in ``LEAST_TEXTS`` of its texts come to the driver. Corpus
+counts cover all documents: tasks count these terms where they read texts and send one row a term.
 
 Cases: null text counts as empty and scores near 0; rows without a label, with a null label, with labels of
-both kinds or of the held-out fold teach nothing; without toxic or without clean examples all score 0;
-repeated rows are scored each; other columns are kept by ``scored``.
+both kinds or of the held-out fold teach nothing; without toxic or without clean examples all score 0; of labelled
+rows with one id the least text teaches; repeated rows are scored each; other columns are kept by ``scored``, but for
+those that have the names of its own two.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from math import exp, expm1, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, pieces, table, texts
+from .common import fold_of, pieces, staged, table, texts
+from .quality import best_cut
 from .shingles import numbers, shingle_sets
 
 THRESHOLD = 0.3
@@ -41,58 +47,70 @@ MAX_ROWS = 20_000
 WORD = re.compile(r"\w+")
 PRIOR = 500.0
 DRIFT = 0.05
-LEAST_Z, LEAST_ODDS = 2.5, 2.0
-STEM = 4
+LEAST_TEXTS = 3
+#: Log-odds within so many of their standard errors are 0.
+LEAST_Z = 2.0
+BEGINNINGS = (6, 5, 4)
 
 
 def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def stem(word: str) -> str:
-    """What stands for a word that has no score of its own."""
-    return word[:STEM] + "*"
+def beginnings(word: str) -> list[str]:
+    """What stands for a word that has no score of its own, the longest first."""
+    return [word[:n] + "*" for n in BEGINNINGS if len(word) > n]
 
 
-def terms(words: list[str]) -> set[str]:
-    """The words and stems of a text, once each."""
+def terms(words: Iterable[str]) -> set[str]:
+    """The words of a text and their beginnings, once each."""
     distinct = set(words)
-    return distinct | {stem(w) for w in distinct if len(w) > STEM}
+    return distinct.union(*map(beginnings, distinct))
 
 
 def maximal_segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score), in order, by one linear scan.
 
     ``scores`` has the places with their own score; every place between them scores ``gap`` (below 0).
+    Each segment keeps where the search from it ended, so no segment is passed over twice.
 
     >>> maximal_segments([(0, 4.0), (2, 3.0), (9, 5.0)], -1.0)
     [(0, 2, 6.0), (9, 9, 5.0)]
     """
-    stack: list[list] = []  # first, last, sum before, sum with; as in the linear-time algorithm
+    first: list[int] = []
+    last: list[int] = []
+    low: list[float] = []  # the running sum before and with each segment
+    high: list[float] = []
+    lower: list[int] = []  # the nearest segment before with a lower ``low``, or -1
     total, at = 0.0, 0
     for place, score in scores:
         total += gap * (place - at)
         at = place + 1
+        before = total
+        total += score
         if score <= 0:
-            total += score
             continue
-        own = [place, place, total, total + score]
-        total += score
+        start, k = place, len(first) - 1
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= own[2]:
-                k -= 1
-            if k < 0 or stack[k][3] >= own[3]:
-                stack.append(own)
+            while k >= 0 and low[k] >= before:
+                k = lower[k]
+            if k < 0 or high[k] >= total:
                 break
-            own = [stack[k][0], own[1], stack[k][2], own[3]]
-            del stack[k:]
-    return [(a, b, high - low) for a, b, low, high in stack]
+            start, before, up = first[k], low[k], lower[k]
+            for column in (first, last, low, high, lower):
+                del column[k:]
+            k = up
+        first.append(start)
+        last.append(place)
+        low.append(before)
+        high.append(total)
+        lower.append(k)
+    return [(a, b, y - x) for a, b, x, y in zip(first, last, low, high)]
 
 
 @dataclass
 class Lexicon:
-    """Scores of words, the score of any other word, and the calibration."""
+    """Scores of terms, the score of any other word, and the calibration."""
 
     words: dict[str, float] = field(default_factory=dict)
     other: float = -DRIFT
@@ -101,167 +119,208 @@ class Lexicon:
     cut: float = 0.0
     slope: float = 1.0
     significant: float = 0.01
+    known: dict[str, float | None] = field(default_factory=dict, repr=False, compare=False)
 
-    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float, float]]]:
-        """(words, [(first word, last word, score, E)]) of a text's maximal segments."""
+    def of(self, word: str) -> float | None:
+        """The word's score; None if it has that of any other word."""
+        found = self.words.get(word)
+        if found is None:
+            found = next((s for b in beginnings(word) if (s := self.words.get(b)) is not None), None)
+        return None if found == 0.0 else found
+
+    def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]], Counter]:
+        """(words, maximal segments, how often each score comes up) of a text."""
         own = tokens(text)
-        get = self.words.get
-        known, again = [], {}
+        known, found = self.known, []
+        if len(known) > 500_000:
+            known.clear()
+        before = ""
         for i, w in enumerate(own):
-            s = get(w)
-            if s is None and len(w) > STEM:
-                s = get(w := stem(w))
+            if w == before:
+                continue  # the same word over and over tells once
+            before = w
+            s = known.get(w, self)
+            if s is self:
+                s = known[w] = self.of(w)
             if s is not None:
-                k = again[w] = again.get(w, 0) + 1
-                known.append((i, s / k))
-        found = maximal_segments(known, self.other) if known else []
-        n = len(own)
-        return n, [(a, b, s, self.k * n * float(np.exp(-self.lam * min(s, 600.0)))) for a, b, s in found]
-
-    def evidence(self, text: str) -> float:
-        """-log of the chance that random clean text of this length holds a segment as good as the best; 0 or more."""
-        _, found = self.passages(text)
-        if not found:
-            return 0.0
-        least = min(e for *_, e in found)
-        return float(-np.log(-np.expm1(-least))) if least > 1e-12 else float(-np.log(max(least, 1e-280)))
-
-    def score(self, text: str) -> float:
+                found.append((i, s - DRIFT))
+        return len(own), maximal_segments(found, self.other) if found else [], Counter(s for _, s in found)
+
+    def judged(self, text: str) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """(score from 0 to 1, [(first word, last word, segment score, E)]) of a text."""
         if not self.words:
-            return 0.0
-        edge = float(np.log(THRESHOLD / (1 - THRESHOLD)))
-        return float(1 / (1 + np.exp(-np.clip(self.slope * (self.evidence(text) - self.cut) + edge, -30, 30))))
+            return 0.0, []
+        n, found, _ = self.segments(text)
+        rated = [(a, b, s, self.expected(n, s)) for a, b, s in found]
+        evidence = surprise(min((e for *_, e in rated), default=None))
+        edge = log(THRESHOLD / (1 - THRESHOLD))
+        score = 1 / (1 + exp(-min(max(self.slope * (evidence - self.cut) + edge, -30.0), 30.0)))
+        return score, [r for r in rated if r[3] < self.significant]
 
+    def expected(self, words: int, score: float) -> float:
+        return self.k * words * exp(-self.lam * min(score, 600.0 / self.lam))
 
-def log_odds(toxic: Counter, clean: Counter, corpus: dict[str, int], corpus_total: int, vocabulary: list[str]) -> dict[str, float]:
-    """Log-odds of words with an informative Dirichlet prior, less where z is small; only toxic words well above noise stay."""
-    n_toxic, n_clean = sum(toxic.values()), sum(clean.values())
-    out = {}
-    for w in vocabulary:
-        a = PRIOR * max(corpus.get(w, 1), 1) / max(corpus_total, 1) + 0.5
-        y1, y0 = toxic[w] + a, clean[w] + a
-        delta = np.log(y1 / (n_toxic + PRIOR - y1)) - np.log(y0 / max(n_clean + PRIOR - y0, 1e-9))
-        z = delta / np.sqrt(1 / y1 + 1 / y0)
-        if z >= LEAST_Z:
-            out[w] = float(delta * min(1.0, z / 5))
-    return out
 
+def surprise(least: float | None) -> float:
+    """-log of the chance that random clean text holds a segment of that many expected equals or fewer; 0 or more."""
+    if least is None:
+        return 0.0
+    return -log(-expm1(-least)) if least > 1e-12 else -log(max(least, 1e-280))
 
-def unlike(rows: list[tuple[str, int]], bands: int = 8, width: int = 3) -> list[tuple[str, int]]:
-    """The rows but copies and near copies of an earlier one (in text order), by bands of MinHash values."""
-    rows = sorted(dict(rows).items())
-    seen: set[tuple] = set()
-    out = []
-    factor = numbers(31, bands * width)
-    for k in range(0, len(rows), 200):
-        h, offsets = shingle_sets([x for x, _ in rows[k : k + 200]])
-        for j, row in enumerate(rows[k : k + 200]):
-            own = h[offsets[j] : offsets[j + 1]]
-            if len(own):
-                sign = (own[:, None] * factor[None, :]).min(axis=0).reshape(bands, width)
-                keys = [(b, *v) for b, v in enumerate(sign.tolist())]
-                if seen.intersection(keys):
-                    continue
-                seen.update(keys)
-            out.append(row)
+
+def log_odds(counts: dict[str, tuple[int, int]], corpus: dict[str, int], corpus_total: int) -> dict[str, float]:
+    """Signed log-odds of terms from (toxic texts, clean texts), by an informative Dirichlet prior, shrunk by their noise."""
+    n1, n0 = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    out = {}
+    for term, (toxic, clean) in counts.items():
+        a = PRIOR * max(corpus.get(term, 1), 1) / max(corpus_total, 1) + 0.5
+        y1, y0 = toxic + a, clean + a
+        delta = log(y1 / max(n1 + PRIOR - y1, 1e-9)) - log(y0 / max(n0 + PRIOR - y0, 1e-9))
+        noise = (1 / y1 + 1 / y0) / delta**2 if delta else 1.0
+        out[term] = delta * max(0.0, 1 - LEAST_Z**2 * noise)
     return out
 
 
-def fit(rows: list[tuple[str, int]], corpus: dict[str, int], corpus_total: int) -> Lexicon:
-    """The lexicon of labelled texts and corpus counts of their words."""
-    rows = unlike(rows)
-    toxic, clean = Counter(), Counter()
-    for text, label in rows:
-        (toxic if label else clean).update(terms(tokens(text)))
-    if not toxic or not clean:
-        return Lexicon()
-    odds = log_odds(toxic, clean, corpus, corpus_total, [w for w, n in toxic.items() if n >= 3])
-    words = {w: s - DRIFT for w, s in odds.items() if s >= LEAST_ODDS}
-    model = Lexicon(words, -DRIFT)
-    # The law of clean text: how often each score comes up there.
-    seen: Counter = Counter()
-    size, best = 0, []
-    cleans = [x for x, label in rows if not label]
-    for x in cleans:
-        own = tokens(x)
-        size += len(own)
-        seen.update(words[v] for w in own if (v := w if w in words else stem(w)) in words)
-    p = np.array([(n + 1) / (size + len(words) + 1) for n in seen.values()] or [1 / (size + 1)])
-    s = np.array(list(seen) or [max(words.values(), default=1.0)])
-    rest = 1 - p.sum()
+def law(scores: Counter, words: int) -> float:
+    """Lambda of clean text, from how often each score came up in so many words."""
+    p = np.array([n / max(words, 1) for n in scores.values()])
+    s = np.array([x for x in scores])
+    rest = max(1 - p.sum(), 0.0)
     low, high = 1e-6, 50.0
+    if not (s > 0).any():
+        return 1.0
     for _ in range(100):
         mid = (low + high) / 2
         value = rest * np.exp(-mid * DRIFT) + (p * np.exp(np.minimum(mid * s, 500))).sum()
         low, high = (mid, high) if value < 1 else (low, mid)
-    model.lam = max(low, 1e-3)
-    for x in cleans:
-        n, found = model.passages(x)
-        if n:
-            best.append((max((v for *_, v, _ in found), default=0.0), n))
-    # Of the extreme-value law, the mean of lambda S - log n is log K plus Euler's constant.
-    centre = float(np.mean([model.lam * v - np.log(n) for v, n in best])) if best else 0.0
-    model.k = float(np.exp(min(centre - 0.5772156649, 0.0)))
-    from .quality import best_cut
+    return max(low, 1e-3)
 
-    values = np.array([model.evidence(x) for x, _ in rows])
-    label = np.array([y for _, y in rows]) == 1
-    model.cut = max(best_cut(values, label), 1e-6)
-    model.slope = 4.0 / max(model.cut, 1.0)
-    return model
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, half, toxic texts, clean texts) of labelled texts."""
+    count: Counter = Counter()
+    for batch in pieces(batches, "text", 1 << 20):
+        for x, half, label in zip(texts(batch), batch.column("half").to_pylist(), batch.column("label").to_pylist()):
+            count.update((t, half, label) for t in terms(tokens(x)))
+    columns = list(zip(*((t, h, n * y, n * (1 - y)) for (t, h, y), n in count.items()))) or [()] * 4
+    for k in range(0, len(columns[0]), 50_000):
+        yield pa.record_batch([pa.array(c[k : k + 50_000], t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["term", "half", "toxic", "clean"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """At most ``max_rows`` labelled texts outside the held-out fold."""
+def _bands(batches: Iterator[pa.RecordBatch], bands: int = 8, width: int = 3) -> Iterator[pa.RecordBatch]:
+    """(doc_id, band key) of MinHash values; near copies share one in all likelihood."""
+    factor = numbers(31, bands * width)
+    for batch in pieces(batches, "text", 1 << 20):
+        h, offsets = shingle_sets(texts(batch))
+        out = []
+        for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist()):
+            if b > a:
+                sign = (h[a:b, None] * factor[None, :]).min(axis=0).reshape(bands, width)
+                out += [(doc, f"{k}:{v.tobytes().hex()}") for k, v in enumerate(sign)]
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string()))], names=["doc_id", "band"])
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, text, label, half) of at most ``max_rows`` labelled ids outside the held-out fold, without near copies of one with a smaller id."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.where("doc_id is not null and label in (0, 1)").where(fold_of() != 2)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    found = docs.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label")
-    return [(r[0], r[1]) for r in found.toLocalIterator()]
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = staged(found, "labelled")
+    bands = found.select("doc_id", "text").mapInArrow(_bands, "doc_id bigint, band string")
+    copies = bands.join(bands.groupBy("band").agg(F.min("doc_id").alias("first")), "band").where("first < doc_id").select("doc_id").distinct()
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half")
+    return staged(found.join(copies, "doc_id", "left_anti").select("doc_id", "text", "label", half), "sample")
 
 
 def corpus_counts(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
-    """How often each word of the vocabulary stands in the whole corpus, and the number of all words."""
+    """How often each term of the vocabulary stands in the whole corpus, and the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
         count: Counter = Counter()
         total = 0
+
+        def spread() -> None:
+            for w, n in words.items():
+                for t in (w, *beginnings(w)):
+                    if t in vocabulary:
+                        count[t] += n
+            words.clear()
+
         for batch in pieces(batches, "text", 1 << 20):
             for x in texts(batch):
                 own = tokens(x)
                 total += len(own)
-                count.update(filter(vocabulary.__contains__, own))
-                count.update(filter(vocabulary.__contains__, (w[:STEM] + "*" for w in own if len(w) > STEM)))
-        yield pa.record_batch([pa.array([None, *count], pa.string()), pa.array([total, *count.values()], pa.int64())], names=["word", "n"])
-
-    found = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    count = {r["word"]: r["n"] for r in found}
+                words.update(own)
+            if len(words) > 200_000:
+                spread()
+        spread()
+        yield pa.record_batch([pa.array([None, *count], pa.string()), pa.array([total, *count.values()], pa.int64())], names=["term", "n"])
+
+    found = docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    count = {r["term"]: r["n"] for r in found}
     return count, count.pop(None, 0)
 
 
+def fit(rows: DataFrame, docs: DataFrame) -> Lexicon:
+    """The lexicon of labelled texts (doc_id, text, label, half), with the prior of all ``docs`` (text)."""
+    counted = rows.select("text", "half", "label").mapInArrow(_counted, "term string, half int, toxic bigint, clean bigint")
+    halves = (F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("toxic", "clean"))
+    often = counted.groupBy("term").agg(*halves).where(F.col("toxic0") + F.col("toxic1") + F.col("clean0") + F.col("clean1") >= LEAST_TEXTS).collect()
+    kinds = {r["label"] for r in rows.select("label").distinct().collect()}
+    if kinds != {0, 1}:
+        return Lexicon()
+    corpus, total = corpus_counts(docs, {r["term"] for r in often})
+    of_half = [log_odds({r["term"]: (r[f"toxic{h}"], r[f"clean{h}"]) for r in often}, corpus, total) for h in (0, 1)]
+    model = Lexicon(log_odds({r["term"]: (r["toxic0"] + r["toxic1"], r["clean0"] + r["clean1"]) for r in often}, corpus, total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [Lexicon(of_half[1]), Lexicon(of_half[0])]  # each half by what the other one taught
+        for batch in pieces(batches, "text", 1 << 20):
+            out, seen = [], Counter()
+            for x, half, label in zip(texts(batch), batch.column("half").to_pylist(), batch.column("label").to_pylist()):
+                n, found, scores = models[half].segments(x)
+                out.append((label, n, max((s for *_, s in found), default=0.0)))
+                if not label:
+                    seen += scores
+            out += [(None, n, round(s, 3)) for s, n in seen.items()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.float64()))], names=["label", "n", "score"])
+
+    judged = rows.select("text", "half", "label").mapInArrow(run, "label int, n bigint, score double")
+    scores = {r["score"]: r["n"] for r in judged.where("label is null").groupBy("score").agg(F.sum("n").alias("n")).collect()}
+    best = [(r["label"], r["n"], r["score"]) for r in judged.where("label is not null").orderBy("label", "n", "score").collect()]
+    model.lam = law(Counter(scores), sum(n for label, n, _ in best if not label))
+    # Of the extreme-value law, the mean of lambda S - log n is log K plus Euler's constant.
+    centre = [model.lam * s - log(n) for label, n, s in best if not label and n]
+    model.k = exp(min(float(np.mean(centre)) - 0.5772156649, 0.0)) if centre else 1.0
+    values = np.array([surprise(model.expected(n, s)) if s > 0 else 0.0 for _, n, s in best])
+    model.cut = max(best_cut(values, np.array([label for label, *_ in best]) == 1), 1e-6)
+    model.slope = 4.0 / max(model.cut, 1.0)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Lexicon:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    known = sample(rows, labels, max_rows)
-    toxic: Counter = Counter()
-    for x in [x for x, label in unlike(known) if label]:
-        toxic.update(terms(tokens(x)))
-    vocabulary = {w for w, n in toxic.items() if n >= 3}
-    return fit(known, *(corpus_counts(rows, vocabulary) if vocabulary else ({}, 0)))
+    return fit(sample(rows, labels, max_rows), rows)
 
 
-def scored(docs: DataFrame, model: Lexicon, text_col: str = "text", out_col: str = "score") -> DataFrame:
+def scored(docs: DataFrame, model: Lexicon, text_col: str = "text", out_col: str = "score", passages_col: str = "passages") -> DataFrame:
     """``docs`` with the score, and the significant passages as (first word, last word, score, e)."""
-    held = docs.columns
-    more = T.StructType.fromDDL(f"{out_col} double, passages array<struct<first: int, last: int, score: double, e: double>>")
-    schema = T.StructType([*docs.schema.fields, *more.fields])
+    held = [c for c in docs.columns if c not in (out_col, passages_col)]
+    more = T.StructType.fromDDL("s double, p array<struct<first: int, last: int, score: double, e: double>>")
+    own = [T.StructField(out_col, more["s"].dataType), T.StructField(passages_col, more["p"].dataType)]
+    schema = T.StructType([*(docs.schema[c] for c in held), *own])
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("e", pa.float64())]))
+    model = Lexicon(**{k: v for k, v in vars(model).items() if k != "known"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col, 1 << 20):
-            own = texts(batch, text_col)
-            spans = [[{"first": a, "last": b, "score": s, "e": e} for a, b, s, e in model.passages(x)[1] if e < model.significant] for x in own]
-            yield pa.record_batch([*batch.columns, pa.array([model.score(x) for x in own], pa.float64()), pa.array(spans, kind)], names=[*held, out_col, "passages"])
+            found = [model.judged(x) for x in texts(batch, text_col)]
+            spans = [[{"first": a, "last": b, "score": s, "e": e} for a, b, s, e in own] for _, own in found]
+            yield pa.record_batch([*(batch.column(c) for c in held), pa.array([s for s, _ in found], pa.float64()), pa.array(spans, kind)], names=[*held, out_col, passages_col])
 
     return docs.mapInArrow(run, schema)
 

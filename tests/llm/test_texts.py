@@ -190,3 +190,53 @@ def test_labels_of_the_held_out_fold_teach_nothing(spark):
     a, b = quality.train(docs, labels), quality.train(docs, wrong)
     assert (a.weights == b.weights).all() and a.cut == b.cut
     assert toxicity.train(docs, labels).words == toxicity.train(docs, wrong).words
+
+
+
+
+def test_maximal_segments_of_dense_scores_equal_their_definition():
+    r = random.Random(14)
+    for _ in range(300):
+        scores = [r.choice((-3.0, -1.0, -0.25, 0.5, 1.0, 2.0)) for _ in range(r.randrange(1, 13))]
+        got = toxicity.maximal_segments(list(enumerate(scores)), -1.0)
+        assert sorted(round(s, 6) for *_, s in got) == sorted(s for *_, s in brute_segments(scores))
+        assert all(abs(sum(scores[a : b + 1]) - s) < 1e-9 for a, b, s in got)
+
+
+def test_segments_take_linear_time():
+    from time import process_time
+
+    def took(n, step):
+        # Falling sums, so that every new segment looks back over those before it.
+        scores = [(3 * k, 1.0) for k in range(n)] if step else [(k, 1.0 if k % 2 else -1.5) for k in range(2 * n)]
+        begin = process_time()
+        assert len(toxicity.maximal_segments(scores, -1.0)) == n
+        return process_time() - begin
+
+    for step in (False, True):
+        took(1_000, step)
+        assert min(took(160_000, step) for _ in range(3)) < 20 * min(took(20_000, step) for _ in range(3)) + 0.05
+
+
+def test_a_passage_scores_the_same_wherever_it_stands():
+    model = toxicity.Lexicon({"knave": 4.0, "zoun*": 3.0, "mild": -2.0}, lam=1.0, k=0.1, cut=2.0)
+    bad, calm = "knave zounds knave", prose(3, 400)
+    early, late = model.judged(f"{bad} {calm}"), model.judged(f"{calm} {bad}")
+    assert round(early[0], 9) == round(late[0], 9) > 0.3 and round(early[1][0][2], 9) == round(late[1][0][2], 9)
+    assert model.judged(f"{bad} mild {calm}")[1][0][2] == early[1][0][2] and model.judged("knave " * 50)[0] < early[0]
+
+
+def test_scores_replace_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "own", "own")], "doc_id long, text string, score string, passages string")
+    out = toxicity.scored(docs, toxicity.Lexicon())
+    assert out.columns == ["doc_id", "text", "score", "passages"] and out.first().score == 0.0
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert quality.scored(docs, quality.train(docs, labels)).columns == ["doc_id", "text", "passages", "score"]
+
+
+def test_repeated_labelled_rows_teach_once(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    again = docs.unionByName(docs).unionByName(docs.limit(20))
+    assert (quality.train(docs, labels).weights == quality.train(again, labels).weights).all()
+    a, b = toxicity.train(docs, labels), toxicity.train(docs.repartition(3), labels)
+    assert a.words == b.words and a.cut == b.cut
