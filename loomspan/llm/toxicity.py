@@ -1,9 +1,9 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 1. Log-odds: for each term of the labelled texts, the difference of its log-odds in toxic and in clean ones, both
-   smoothed by an informative Dirichlet prior whose shape is the term's share of the whole corpus, with its sign, and
-   shrunk by how far it stands above its own noise: within ``LEAST_Z`` standard errors it is 0. Terms are words and
-   the beginnings of words; a word without a score of its own has that of the longest beginning with one.
+   smoothed by an informative Dirichlet prior whose shape is the term's share of the whole corpus, with its sign. Terms
+   are words and beginnings of words; each is shrunk by its own noise towards the term's longest beginning (and that
+   towards 0), so what is within ``LEAST_Z`` standard errors of it, as a word never seen, scores like its beginning.
    Near copies among the labelled texts count once.
 2. Segments: a word scores its log-odds less a drift, any other word, and one that repeats the word before it, the drift alone, so clean text has a negative
    mean; one linear scan finds all maximal scoring segments of a text.
@@ -12,7 +12,7 @@
    training texts reach. A segment of score S in a text of n words has E = K n exp(-lambda S) expected equals.
    Segments with E below ``significant`` are the toxic passages; the text's score rises with -log of the chance of
    the least E, on a scale where the threshold stands at the best separating value of the training texts. For all of
-   this the labelled texts are scored by log-odds that the other half of them gave.
+   this each of ``PARTS`` parts of the labelled texts is scored by log-odds that the other parts gave.
 
 The labelled sample is bounded by ``max_rows`` (smallest hashes of ids, one text an id). Terms are counted on
 executors, and those of the sample's terms that stand in ``LEAST_TEXTS`` of its texts come to the driver. Corpus
@@ -48,8 +48,9 @@ WORD = re.compile(r"\w+")
 PRIOR = 500.0
 DRIFT = 0.05
 LEAST_TEXTS = 3
-#: Log-odds within so many of their standard errors are 0.
-LEAST_Z = 2.0
+#: Log-odds within so many of their standard errors of the beginning's are taken to be those.
+LEAST_Z = 2.5
+PARTS = 4
 BEGINNINGS = (6, 5, 4)
 
 
@@ -126,7 +127,7 @@ class Lexicon:
         found = self.words.get(word)
         if found is None:
             found = next((s for b in beginnings(word) if (s := self.words.get(b)) is not None), None)
-        return None if found == 0.0 else found
+        return found
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]], Counter]:
         """(words, maximal segments, how often each score comes up) of a text."""
@@ -169,15 +170,21 @@ def surprise(least: float | None) -> float:
 
 
 def log_odds(counts: dict[str, tuple[int, int]], corpus: dict[str, int], corpus_total: int) -> dict[str, float]:
-    """Signed log-odds of terms from (toxic texts, clean texts), by an informative Dirichlet prior, shrunk by their noise."""
+    """Signed log-odds of terms from (toxic texts, clean texts), by an informative Dirichlet prior.
+
+    Each is shrunk by its noise towards the score of the term's longest beginning, or 0; terms that tell no more than that are left out.
+    """
     n1, n0 = (sum(c[k] for c in counts.values()) for k in (0, 1))
-    out = {}
-    for term, (toxic, clean) in counts.items():
+    out: dict[str, float] = {}
+    for term in sorted(counts, key=lambda t: (not t.endswith("*"), len(t))):
+        toxic, clean = counts[term]
         a = PRIOR * max(corpus.get(term, 1), 1) / max(corpus_total, 1) + 0.5
         y1, y0 = toxic + a, clean + a
         delta = log(y1 / max(n1 + PRIOR - y1, 1e-9)) - log(y0 / max(n0 + PRIOR - y0, 1e-9))
-        noise = (1 / y1 + 1 / y0) / delta**2 if delta else 1.0
-        out[term] = delta * max(0.0, 1 - LEAST_Z**2 * noise)
+        base = next((x for t in beginnings(term.removesuffix("*")) if (x := out.get(t)) is not None), 0.0)
+        noise = (1 / y1 + 1 / y0) / max((delta - base) ** 2, 1e-12)
+        if (kept := 1 - LEAST_Z**2 * noise) > 0:
+            out[term] = base + (delta - base) * kept
     return out
 
 
@@ -197,14 +204,14 @@ def law(scores: Counter, words: int) -> float:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, half, toxic texts, clean texts) of labelled texts."""
+    """(term, part, toxic texts, clean texts) of labelled texts."""
     count: Counter = Counter()
     for batch in pieces(batches, "text", 1 << 20):
-        for x, half, label in zip(texts(batch), batch.column("half").to_pylist(), batch.column("label").to_pylist()):
-            count.update((t, half, label) for t in terms(tokens(x)))
+        for x, part, label in zip(texts(batch), batch.column("part").to_pylist(), batch.column("label").to_pylist()):
+            count.update((t, part, label) for t in terms(tokens(x)))
     columns = list(zip(*((t, h, n * y, n * (1 - y)) for (t, h, y), n in count.items()))) or [()] * 4
     for k in range(0, len(columns[0]), 50_000):
-        yield pa.record_batch([pa.array(c[k : k + 50_000], t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["term", "half", "toxic", "clean"])
+        yield pa.record_batch([pa.array(c[k : k + 50_000], t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["term", "part", "toxic", "clean"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch], bands: int = 8, width: int = 3) -> Iterator[pa.RecordBatch]:
@@ -222,7 +229,7 @@ def _bands(batches: Iterator[pa.RecordBatch], bands: int = 8, width: int = 3) ->
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(doc_id, text, label, half) of at most ``max_rows`` labelled ids outside the held-out fold, without near copies of one with a smaller id."""
+    """(doc_id, text, label, part) of at most ``max_rows`` labelled ids outside the held-out fold, without near copies of one with a smaller id."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.where("doc_id is not null and label in (0, 1)").where(fold_of() != 2)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
@@ -231,8 +238,8 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
     found = staged(found, "labelled")
     bands = found.select("doc_id", "text").mapInArrow(_bands, "doc_id bigint, band string")
     copies = bands.join(bands.groupBy("band").agg(F.min("doc_id").alias("first")), "band").where("first < doc_id").select("doc_id").distinct()
-    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half")
-    return staged(found.join(copies, "doc_id", "left_anti").select("doc_id", "text", "label", half), "sample")
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).cast("int").alias("part")
+    return staged(found.join(copies, "doc_id", "left_anti").select("doc_id", "text", "label", part), "sample")
 
 
 def corpus_counts(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
@@ -266,30 +273,34 @@ def corpus_counts(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int]
 
 
 def fit(rows: DataFrame, docs: DataFrame) -> Lexicon:
-    """The lexicon of labelled texts (doc_id, text, label, half), with the prior of all ``docs`` (text)."""
-    counted = rows.select("text", "half", "label").mapInArrow(_counted, "term string, half int, toxic bigint, clean bigint")
-    halves = (F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("toxic", "clean"))
-    often = counted.groupBy("term").agg(*halves).where(F.col("toxic0") + F.col("toxic1") + F.col("clean0") + F.col("clean1") >= LEAST_TEXTS).collect()
+    """The lexicon of labelled texts (doc_id, text, label, part), with the prior of all ``docs`` (text)."""
+    counted = rows.select("text", "part", "label").mapInArrow(_counted, "term string, part int, toxic bigint, clean bigint")
+    sums = [F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("toxic", "clean") for k in range(PARTS)]
+    often = counted.groupBy("term").agg(*sums, F.sum(F.col("toxic") + F.col("clean")).alias("n")).where(F.col("n") >= LEAST_TEXTS).drop("n").collect()
     kinds = {r["label"] for r in rows.select("label").distinct().collect()}
     if kinds != {0, 1}:
         return Lexicon()
     corpus, total = corpus_counts(docs, {r["term"] for r in often})
-    of_half = [log_odds({r["term"]: (r[f"toxic{h}"], r[f"clean{h}"]) for r in often}, corpus, total) for h in (0, 1)]
-    model = Lexicon(log_odds({r["term"]: (r["toxic0"] + r["toxic1"], r["clean0"] + r["clean1"]) for r in often}, corpus, total))
+
+    def without(part: int | None) -> dict[str, float]:
+        counts = {term: (sum(n[:PARTS]) - (n[part] if part is not None else 0), sum(n[PARTS:]) - (n[PARTS + part] if part is not None else 0)) for term, *n in often}
+        return log_odds(counts, corpus, total)
+
+    model, others = Lexicon(without(None)), [without(k) for k in range(PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [Lexicon(of_half[1]), Lexicon(of_half[0])]  # each half by what the other one taught
+        models = [Lexicon(x) for x in others]
         for batch in pieces(batches, "text", 1 << 20):
             out, seen = [], Counter()
-            for x, half, label in zip(texts(batch), batch.column("half").to_pylist(), batch.column("label").to_pylist()):
-                n, found, scores = models[half].segments(x)
+            for x, part, label in zip(texts(batch), batch.column("part").to_pylist(), batch.column("label").to_pylist()):
+                n, found, scores = models[part].segments(x)
                 out.append((label, n, max((s for *_, s in found), default=0.0)))
                 if not label:
                     seen += scores
             out += [(None, n, round(s, 3)) for s, n in seen.items()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.float64()))], names=["label", "n", "score"])
 
-    judged = rows.select("text", "half", "label").mapInArrow(run, "label int, n bigint, score double")
+    judged = rows.select("text", "part", "label").mapInArrow(run, "label int, n bigint, score double")
     scores = {r["score"]: r["n"] for r in judged.where("label is null").groupBy("score").agg(F.sum("n").alias("n")).collect()}
     best = [(r["label"], r["n"], r["score"]) for r in judged.where("label is not null").orderBy("label", "n", "score").collect()]
     model.lam = law(Counter(scores), sum(n for label, n, _ in best if not label))
