@@ -22,17 +22,28 @@ BLOCKS = {
     "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 OUTSIDE = {"head", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "object", "embed", "canvas", "svg", "math", "button", "select", "option", "textarea", "input", "dialog", "menu", "search", "audio", "video", "map"}
-OUTSIDE_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup",
-    "sidebar", "side", "aside", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "foot",
-    "masthead", "topbar", "toolbar", "comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "share",
-    "sharing", "social", "related", "recommended", "pagination", "pager", "login", "search", "form", "copyright", "skip", "hidden",
+REGIONS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice",
+    "popup", "modal", "newsletter", "subscribe", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
+    "footer", "masthead", "comment", "comments", "commentlist", "disqus", "respond", "share", "social", "pagination", "login", "hidden",
 }
+PARTS = {"area", "bar", "block", "bottom", "box", "container", "inner", "item", "left", "list", "outer", "right", "section", "slot", "top", "widget", "wrap", "wrapper"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+def names_region(name: str) -> bool:
+    """Whether a class or id names a region that is not the main text: as a whole, by its last word, or with words for parts of a layout.
+
+    >>> [names_region(x) for x in ("ad", "cookie-notice", "commentList", "side-effects", "notice-of-results", "share-prices")]
+    [True, True, True, False, False, False]
+    """
+    own = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+    if not own or "of" in own:
+        return False
+    return own[-1] in REGIONS or (own[0] in REGIONS and all(w in PARTS or w in REGIONS for w in own[1:]))
+
+
 @dataclass
 class Page:
     """``keys`` and ``parents`` of the tree's nodes in order of opening; ``blocks`` of (node, text, inside, linked characters)."""
@@ -55,8 +66,8 @@ def _marks(tag: str, raw: str) -> tuple[str, bool, bool]:
         v = m[2] or m[3] or m[4] or ""
         if k in ("class", "id"):
             own = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", v).lower())
-            outside |= any(w in OUTSIDE_WORDS for w in own)
-            outside |= "header" in own and tag not in ("h1", "h2", "h3")
+            outside |= any(map(names_region, v.split()))
+            outside |= v.lower() == "header" and tag not in ("h1", "h2", "h3")
             name.append("-".join(w for w in own if not w.isdigit()))
         elif k == "role":
             outside |= v.lower() in OUTSIDE_ROLES

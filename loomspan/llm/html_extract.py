@@ -9,11 +9,11 @@ Each page is then aligned with the wrapper, and (host, node, text) is counted ov
 in one node on at least half of the pages that have the node, and on three at least, is template; everything
 else in that node is a slot's content.
 
-The main region of a page is where the varying text of its slots gathers, each text counted once, so that teasers
-that come again from page to page weigh little. ``article`` and ``main`` are hints: see ``main_nodes``. Of each
-page, text blocks are kept where they are in the region and not template. What HTML marks as something else
-(menus, headers, footers, asides, forms, adverts, notices, comments) is left out by tag, role and words of class
-and id before that. Alignments and regions are found once for each structure of pages.
+The main region of a page is where the varying text of its slots gathers, each text counted once and links not, so that
+teasers that come again from page to page weigh little. ``article`` and ``main`` are hints: see ``main_nodes``. Of each
+page, text blocks are kept where they are in the region and not template. What a page itself marks as something else
+(menus, headers, footers, asides, forms, adverts, notices, comments) is left out by tag, role and names of class
+and id before that; see ``dom.names_region``. Alignments and regions are found once for each structure of pages.
 
 Pages are read three times and never sampled; what is shuffled are structures and hashes of texts. Wrappers are
 broadcast only if their counted size is small, else joined by host with Spark's skew handling.
@@ -65,28 +65,36 @@ class Tree:
 
 def tree_match(a: Tree, b: Tree) -> dict[int, int]:
     """Nodes of ``a`` to nodes of ``b`` in the largest top-down ordered matching of equal keys."""
-    memo: dict[tuple[int, int], int] = {}
+    pairs = [(0, 0)] if a.keys[0] == b.keys[0] else []  # that may match, parents before their kids
+    at: dict[tuple[int, int], int] = {p: k for k, p in enumerate(pairs)}
+    for x, y in pairs:
+        for u in a.kids[x]:
+            for v in b.kids[y]:
+                if a.keys[u] == b.keys[v] and (u, v) not in at:
+                    at[u, v] = len(pairs)
+                    pairs.append((u, v))
+    size = [1] * len(pairs)
 
     def rows(x: int, y: int) -> list[list[int]]:
-        xs, ys = a.kids[x], b.kids[y]
+        ys = b.kids[y]
         m = [[0] * (len(ys) + 1)]
-        for i, u in enumerate(xs):
-            row, above = [0], m[i]
+        for u in a.kids[x]:
+            row, above = [0], m[-1]
             for j, v in enumerate(ys):
-                best = max(row[j], above[j + 1])
-                if a.keys[u] == b.keys[v]:
-                    best = max(best, above[j] + size(u, v))
+                best = row[j] if row[j] > above[j + 1] else above[j + 1]
+                k = at.get((u, v))
+                if k is not None and above[j] + size[k] > best:
+                    best = above[j] + size[k]
                 row.append(best)
             m.append(row)
         return m
 
-    def size(x: int, y: int) -> int:
-        if (x, y) not in memo:
-            memo[x, y] = 1 + (rows(x, y)[-1][-1] if a.kids[x] and b.kids[y] else 0)
-        return memo[x, y]
-
+    for k in range(len(pairs) - 1, -1, -1):
+        x, y = pairs[k]
+        if a.kids[x] and b.kids[y]:
+            size[k] = 1 + rows(x, y)[-1][-1]
     found: dict[int, int] = {}
-    todo = [(0, 0)] if a.keys[0] == b.keys[0] else []
+    todo = pairs[:1]
     while todo:
         x, y = todo.pop()
         found[x] = y
@@ -94,7 +102,8 @@ def tree_match(a: Tree, b: Tree) -> dict[int, int]:
         i, j = len(m) - 1, len(m[0]) - 1
         while i and j:
             u, v = a.kids[x][i - 1], b.kids[y][j - 1]
-            if a.keys[u] == b.keys[v] and m[i][j] == m[i - 1][j - 1] + size(u, v):
+            k = at.get((u, v))
+            if k is not None and m[i][j] == m[i - 1][j - 1] + size[k]:
                 todo.append((u, v))
                 i, j = i - 1, j - 1
             elif m[i][j] == m[i - 1][j]:
@@ -219,15 +228,15 @@ class Wrapper:
 def joined(blocks: list[tuple[int, str, bool, int]], page: Page, inside: frozenset[int], marked: bool) -> str:
     own = [b for b in blocks if b[0] in inside]
     if not own and not (marked and any(b[0] in inside for b in page.blocks)):
-        own, marked = blocks, False
-    return "\n".join(b[1] for b in own if marked or b[3] <= 0.5 * len(b[1]))
+        own = blocks
+    return "\n".join(b[1] for b in own)
 
 
 def alone(page: Page) -> str:
     """The main text of a page whose host has no wrapper."""
     varying = Counter()
-    for node, text, _, _ in page.blocks:
-        varying[node] += len(text)
+    for node, text, _, linked in page.blocks:
+        varying[node] += max(len(text) - linked, 0)
     return joined(page.blocks, page, *main_nodes(Tree(page.keys, page.parents), varying))
 
 
@@ -280,7 +289,7 @@ def content(page: Page) -> int:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, content, texts) of each page: (slot, mark, characters) of its texts, each once, and (slot, null, 0) of its slots."""
+    """(host, content, texts) of each page: (slot, mark, characters outside links) of its texts, each once, and (slot, null, 0) of its slots."""
     known = lru_cache(2_000)(lambda code: Wrapper({"tree": json.loads(code), "slots": []}))
     kind = pa.list_(pa.struct([("slot", pa.int32()), ("mark", pa.int64()), ("chars", pa.int64())]))
     for batch in pieces(batches, "html", 2 << 20):
@@ -289,7 +298,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = parse(source)
             contents.append(content(page))
             found = known(code).places(page.structure())[0]
-            own = sorted({(found[b[0]], mark(b[1]), len(b[1])) for b in page.blocks})
+            own = sorted({(found[b[0]], mark(b[1]), max(len(b[1]) - b[3], 0)) for b in page.blocks})
             out.append([{"slot": s, "mark": t, "chars": n} for s, t, n in own] + [{"slot": s, "mark": None, "chars": 0} for s in sorted({x[0] for x in own})])
         yield pa.record_batch([batch.column("host"), pa.array(contents, pa.int64()), pa.array(out, kind)], names=["host", "content", "texts"])
 

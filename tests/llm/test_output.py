@@ -260,3 +260,68 @@ def test_pipeline_stages(spark):
             docs = out
     assert counts[0] > counts[1] > counts[2] >= counts[3] > counts[4] and out.select("doc_id").distinct().count() == counts[4]
     assert docs.groupBy(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).count().where("count > 1").count() == 0
+
+
+def test_linked_paragraphs_and_harmless_names_stay(spark):
+    html = "<div class='side-effects'><p>May cause drowsiness in some people.</p></div><div class='notice-of-results'><p>Results are in.</p></div><p><a href=/x>A fully linked paragraph that is content.</a></p><p>Plain para.</p><div class='cookie-notice'>Cookies!</div>"
+    rows = spark.createDataFrame([(1, "http://names.org/", html)], "page_id long, url string, html string")
+    assert html_extract.extract(rows).first().text == "May cause drowsiness in some people.\nResults are in.\nA fully linked paragraph that is content.\nPlain para."
+
+
+def test_deeply_nested_pages(spark):
+    """Ten thousand elements inside each other, alone and with other pages of their host."""
+    page = lambda i: "<div>" * 10_000 + f"<p>Story {i} {prose(i, 20)}</p>" + "</div>" * 10_000
+    rows = [(i, "http://deep.org/" + str(i), page(i)) for i in range(4)] + [(9, None, page(9))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} {prose(i, 20)}" for i in (0, 1, 2, 3, 9)}
+
+
+def random_tree(r, n, keys):
+    return html_extract.Tree(["", *(r.choice(keys) for _ in range(n))], [-1, *(r.randrange(k + 1) for k in range(n))])
+
+
+def test_tree_match_equals_brute_force():
+    """The size of the best matching, over every ordered choice of kids, and that what is returned is one."""
+
+    def best(a, b, x, y):
+        if a.keys[x] != b.keys[y]:
+            return 0
+
+        def kids(us, vs):
+            if not us or not vs:
+                return 0
+            return max(kids(us[1:], vs), kids(us, vs[1:]), best(a, b, us[0], vs[0]) + kids(us[1:], vs[1:]))
+
+        return 1 + kids(a.kids[x], b.kids[y])
+
+    r = random.Random(11)
+    for _ in range(150):
+        a, b = random_tree(r, r.randrange(0, 8), "pq"), random_tree(r, r.randrange(0, 8), "pq")
+        found = html_extract.tree_match(a, b)
+        assert len(found) == best(a, b, 0, 0) == len(set(found.values()))
+        for x, y in found.items():
+            assert a.keys[x] == b.keys[y] and (x == 0 or found[a.parents[x]] == b.parents[y])
+        for node in found:
+            order = [found[k] for k in a.kids[node] if k in found]
+            assert order == sorted(order, key=b.kids[found[node]].index)
+
+
+def test_generated_hosts_equal_their_content(spark):
+    """Random layouts, one a host: fixed texts and menus of the layout go, the fields that differ from page to page stay, in order."""
+    r, rows, want = random.Random(21), [], {}
+    for h in range(12):
+        depth, fields = r.randrange(1, 5), r.randrange(2, 6)
+        fixed = [prose(7_000 + 10 * h + k, 6) for k in range(4)]
+        tags = [r.choice(("p", "h2", "blockquote", "div")) for _ in range(fields)]
+        within = [r.random() < 0.4 for _ in range(fields)]
+        names = [r.choice(("", " class=c%d" % k, " id=f%d" % k)) for k in range(depth)]
+        for i in range(r.randrange(6, 14)):
+            page = 1_000 * h + i
+            texts = [prose(page * 10 + k, r.randrange(12, 30)) for k in range(fields)]
+            body = "".join((f"<p>{fixed[k % 4]}</p>" if w else "") + f"<{t}>{x}</{t}>" for k, (t, w, x) in enumerate(zip(tags, within, texts)))
+            inner = "".join(f"<div{n}>" for n in names) + body + "</div>" * depth
+            menu = f"<ul><li><a href=/a>{fixed[0]}</a></li></ul>" if h % 2 else f"<nav>menu {i}</nav>"
+            rows.append((page, f"https://h{h}.org/{i}", f"<html><body>{menu}{inner}<div><p>{fixed[3]}</p></div></body></html>"))
+            want[page] = "\n".join(texts)
+    got = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
