@@ -4,10 +4,13 @@
    then, level by level from the root, a node with more than ``MAX_KIDS`` different kids has one wildcard kid.
    What comes below ``DEPTH`` segments is one open tail.
 2. Labels: urls that a rule decides are labelled by its verdict; other labels may be given.
-3. Sibling templates whose labelled shares of blocked urls don't differ from the siblings' pool by more than
-   chance (a two-proportion z test) are merged: they share the pool's counts. Others stand alone.
-4. Purity: the share of allowed labels of a template, smoothed by that of its host, which is smoothed by that of
-   all labels. A template with a purity below ``LEAST_PURITY`` is rejected, and its urls are blocked.
+3. Branches: at each level the labelled kids of a node are put in order of their share of allowed urls, counted over
+   all that is below them; one after the other joins the branch before it, unless a two-proportion z test of
+   both counts tells them apart. A joined branch is one node, so what stands below its parts comes together too.
+   Kids without labels stay by themselves.
+4. Purity: every node's share of allowed labels, over all that is below it, smoothed by the purity of its parent;
+   the host's root is smoothed by the share of all labels. A template whose purity is below
+   ``LEAST_PURITY`` is rejected, and its urls are blocked.
 
 All of it is aggregation and joins of DataFrames. Urls are counted by host and shape before anything is
 shuffled; later tables have one row a template. The number of levels is the deepest path's, DEPTH at most.
@@ -46,39 +49,57 @@ def shape_of(path: Column, depth: int = DEPTH) -> Column:
     return F.when(F.size(named) > depth, F.concat(F.slice(named, 1, depth), F.array(F.lit("**")))).otherwise(named)
 
 
+def apart(a: Column, b: Column) -> Column:
+    """Whether two (allowed, labelled) counts have different shares, by a two-proportion z test."""
+    share = (a["allowed"] + b["allowed"]) / (a["labelled"] + b["labelled"])
+    error = share * (1 - share) * (1 / a["labelled"] + 1 / b["labelled"])
+    return F.pow(a["allowed"] / a["labelled"] - b["allowed"] / b["labelled"], F.lit(2)) > Z * Z * error
+
+
+def branches(kids: DataFrame) -> DataFrame:
+    """(host, template, kid, branch) of (host, template, kid, allowed, labelled), MAX_KIDS kids a node at most."""
+    kid = F.struct((F.col("allowed") / F.col("labelled")).alias("share"), F.col("kid"), "allowed", "labelled")
+    kids = kids.where("labelled > 0").groupBy("host", "template").agg(F.array_sort(F.collect_list(kid)).alias("kids"))
+    own = lambda k: F.struct(k["allowed"].alias("allowed"), k["labelled"].alias("labelled"), F.array(k["kid"]).alias("names"))
+
+    def step(found: Column, k: Column) -> Column:
+        last = F.element_at(found, -1)
+        both = F.struct((last["allowed"] + k["allowed"]).alias("allowed"), (last["labelled"] + k["labelled"]).alias("labelled"), F.concat(last["names"], F.array(k["kid"])).alias("names"))
+        return F.when(apart(last, k), F.concat(found, F.array(own(k)))).otherwise(F.concat(F.slice(found, 1, F.size(found) - 1), F.array(both)))
+
+    found = F.aggregate(F.slice("kids", 2, MAX_KIDS), F.array(own(F.get("kids", F.lit(0)))), step)
+    each = kids.select("host", "template", F.explode(F.transform(found, lambda x: F.array_sort(x["names"]))).alias("names")).where("size(names) > 1")
+    return each.select("host", "template", F.explode("names").alias("kid"), F.concat(F.lit("("), F.concat_ws("|", "names"), F.lit(")")).alias("branch"))
+
+
 def templates(shapes: DataFrame, max_kids: int = MAX_KIDS) -> DataFrame:
-    """Adds ``template`` to (host, shape, ...): the shape with wildcards for crowded levels."""
+    """Adds ``template`` to (host, shape, n, allowed, labelled): the shape with wildcards for crowded levels and joined branches."""
     levels = shapes.agg(F.coalesce(F.max(F.size("shape")), F.lit(0))).first()[0]
     out = shapes.withColumn("template", F.array().cast("array<string>"))
     for d in range(1, levels + 1):
         out = out.withColumn("kid", F.get("shape", F.lit(d - 1)))
-        kids = out.where("kid is not null").groupBy("host", "template", "kid").count()
+        kids = out.where("kid is not null").groupBy("host", "template", "kid").agg(F.sum("allowed").alias("allowed"), F.sum("labelled").alias("labelled"))
         crowded = kids.groupBy("host", "template").agg(F.count("*").alias("kids")).where(F.col("kids") > max_kids).select("host", "template", F.lit(True).alias("crowded"))
-        out = out.join(crowded, ["host", "template"], "left")
-        named = F.when(F.col("crowded"), F.lit("*")).otherwise(F.col("kid"))
-        out = out.withColumn("template", F.when(F.col("kid").isNull(), F.col("template")).otherwise(F.concat("template", F.array(named)))).drop("kid", "crowded")
-        if d % 3 == 0:
-            out = staged(out, "templates")
+        joined = branches(kids.join(crowded, ["host", "template"], "left_anti"))
+        out = out.join(crowded, ["host", "template"], "left").join(joined, ["host", "template", "kid"], "left")
+        named = F.when(F.col("crowded"), F.lit("*")).otherwise(F.coalesce("branch", "kid"))
+        out = out.withColumn("template", F.when(F.col("kid").isNull(), F.col("template")).otherwise(F.concat("template", F.array(named)))).drop("kid", "crowded", "branch")
+        out = staged(out, "templates")
     return out
 
 
 def purities(counted: DataFrame) -> DataFrame:
-    """(host, template, merged, purity) from (host, template, n, allowed, labelled)."""
-    parent = F.slice("template", 1, F.greatest(F.size("template") - 1, F.lit(0)))
-    own = counted.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "allowed", "labelled"))).withColumn("parent", parent)
-    pool = own.groupBy("host", "parent").agg(F.sum("allowed").alias("pool_allowed"), F.sum("labelled").alias("pool_labelled"))
-    share = F.try_divide("pool_allowed", "pool_labelled")
-    error = F.sqrt(F.try_divide(share * (1 - share), F.col("labelled")))
-    differs = F.coalesce((F.col("labelled") > 0) & (F.abs(F.try_divide("allowed", "labelled") - share) > Z * error), F.lit(False))
-    tested = own.join(pool, ["host", "parent"]).withColumn("merged", ~differs)
-    merged = tested.where("merged").groupBy("host", "parent").agg(F.sum("allowed").alias("merged_allowed"), F.sum("labelled").alias("merged_labelled"))
-    hosts = own.groupBy("host").agg(F.sum("allowed").alias("host_allowed"), F.sum("labelled").alias("host_labelled"))
-    every = hosts.agg(F.sum("host_allowed").alias("all_allowed"), F.sum("host_labelled").alias("all_labelled"))
-    out = tested.join(merged, ["host", "parent"], "left").join(hosts, "host").join(F.broadcast(every))  # one row
-    prior = F.coalesce(F.try_divide("all_allowed", "all_labelled"), F.lit(1.0))
-    of_host = (F.col("host_allowed") + SMOOTHING * prior) / (F.col("host_labelled") + SMOOTHING)
-    allowed, labelled = (F.when(F.col("merged"), F.col(f"merged_{c}")).otherwise(F.col(c)) for c in ("allowed", "labelled"))
-    return out.select("host", "template", "merged", ((allowed + SMOOTHING * of_host) / (labelled + SMOOTHING)).alias("purity"))
+    """(host, template, purity) from (host, template, allowed, labelled)."""
+    own = counted.groupBy("host", "template").agg(F.sum("allowed").alias("allowed"), F.sum("labelled").alias("labelled"))
+    level = F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level")
+    above = own.select("host", "template", "allowed", "labelled", level).withColumn("node", F.slice("template", 1, F.col("level")))
+    nodes = above.groupBy("host", "node").agg(F.sum("allowed").alias("allowed"), F.sum("labelled").alias("labelled"))
+    path = above.select("host", "template", "node", "level").join(nodes, ["host", "node"])
+    path = path.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("level", "allowed", "labelled"))).alias("path"))
+    total = own.agg(F.sum("allowed"), F.sum("labelled")).first()  # two numbers
+    prior = total[0] / total[1] if total[1] else 1.0
+    purity = F.aggregate("path", F.lit(float(prior)), lambda p, x: (x["allowed"] + SMOOTHING * p) / (x["labelled"] + SMOOTHING))
+    return path.select("host", "template", purity.alias("purity"))
 
 
 def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> DataFrame:

@@ -325,3 +325,63 @@ def test_generated_hosts_equal_their_content(spark):
             want[page] = "\n".join(texts)
     got = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
     assert got == want
+
+
+def plain_tree(urls, rules=url_filter.RULES):
+    """{page: (template, purity)} by walking each host's paths, one node after the other."""
+    import re
+
+    rows = []
+    for i, (host, path) in urls.items():
+        fits = [(len(r), v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        parts = [re.sub(r"[0-9]+", "{n}", re.sub(r"(?i)[0-9a-f]{8}-?[0-9a-f-]{8,}", "{h}", x)) for x in path.split("/") if x]
+        rows.append((i, host, parts, max(fits)[1] if fits else None))
+    score = lambda own: (sum(v == "allow" for *_, v in own), sum(v is not None for *_, v in own))
+    a, n = score(rows)
+    out = {}
+
+    def walk(own, depth, template, above):
+        a, n = score(own)
+        purity = (a + 5 * above) / (n + 5)
+        kids = {}
+        for row in own:
+            if len(row[2]) > depth:
+                kids.setdefault(row[2][depth], []).append(row)
+            else:
+                out[row[0]] = ("/" + "/".join(template), round(purity, 9))
+        if len(kids) > url_filter.MAX_KIDS:
+            kids = {"*": [r for x in kids.values() for r in x]}
+        groups = []
+        for name in sorted((k for k in kids if score(kids[k])[1]), key=lambda k: (score(kids[k])[0] / score(kids[k])[1], k)):
+            if groups:
+                (a1, n1), (a2, n2) = score([r for k in groups[-1] for r in kids[k]]), score(kids[name])
+                p = (a1 + a2) / (n1 + n2)
+                if (a1 / n1 - a2 / n2) ** 2 <= url_filter.Z**2 * p * (1 - p) * (1 / n1 + 1 / n2):
+                    groups[-1].append(name)
+                    continue
+            groups.append([name])
+        for names in groups + [[k] for k in kids if not score(kids[k])[1]]:
+            walk([r for k in names for r in kids[k]], depth + 1, [*template, names[0] if len(names) == 1 else f"({'|'.join(sorted(names))})"], purity)
+
+    for host in {r[1] for r in rows}:
+        walk([r for r in rows if r[1] == host], 0, [], a / n if n else 1.0)
+    return out
+
+
+def test_templates_purities_and_verdicts_equal_a_plain_tree(spark):
+    r, urls = random.Random(31), {}
+    for i in range(1_500):
+        host = r.choice(("a.com", "b.example.org", "example.org", "c.net", "com"))
+        first = r.choice(("de", "fr", "es", "en", "blog", "shop", "x"))
+        rest = [r.choice(("news", "item", f"slug{r.choice('abcdefghijklmnopqrstuvwxyz')}", str(r.randrange(300)), "0123456789abcdef01")) for _ in range(r.randrange(0, 4))]
+        urls[i] = (host, "/" + "/".join([first, *rest]) if r.random() < 0.97 else "")
+    rows = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in urls.items()], "page_id long, url string").repartition(4)
+    labels = spark.createDataFrame([("c.net", ["blog", "news"], 3, 40), ("c.net", ["shop", "news"], 2, 30), ("c.net", ["x"], 25, 26)], "host string, shape array<string>, allowed long, labelled long")
+    got = {x.page_id: x for x in url_filter.judge(rows).collect()}
+    want = plain_tree(urls)
+    assert {i: (x.template, x.purity) for i, x in got.items()} == want
+    assert all(x.verdict == ("block" if want[i][1] < 0.5 else "allow") for i, x in got.items() if x.rule is None)
+    assert any("|" in t for t, _ in want.values()) and any("*" in t for t, _ in want.values()) and len({x.verdict for x in got.values() if x.rule is None}) == 2
+    more = {x.page_id: x for x in url_filter.judge(rows, labels=labels).collect()}
+    joined = [x for x in more.values() if x.host == "c.net" and x.template.startswith("/(blog|shop)")]
+    assert joined and all(x.verdict == "block" for x in joined if x.template == "/(blog|shop)/news")
