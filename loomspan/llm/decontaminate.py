@@ -10,8 +10,8 @@ Windows without any shingle of an item of their size have similarity 0, so only
 shingles get fingerprints. A document shorter than an item is one window. An item of one to four words has one
 shingle, of all its words: documents' shingles of that size are looked up as they are.
 
-The items are a stated query set, sent to the tasks in blocks of ``BLOCK_BYTES`` of text; more than one block
-means more than one pass. How many items hold a shingle is counted over all blocks. Documents stay where they are read: nothing is shuffled.
+The items are a stated query set, broadcast in blocks of ``BLOCK_BYTES`` of text and indexed once a worker; more than one
+block means more than one pass. How many items hold a shingle is counted over all blocks. Documents stay where they are read: nothing is shuffled.
 
 Cases: null and empty texts and items match nothing; items with equal words are each reported; repeated rows
 are reported each; an empty table gives an empty result; other columns are ignored by ``matches`` and kept by
@@ -20,6 +20,7 @@ are reported each; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import SHINGLE_WORDS, SIMILARITY, checked_broadcast, pieces, settled, staged, table, texts, with_row_id
 from .shingles import Words, shingle_hashes, shingle_sets, words
 
+#: The smallest radius that keeps pairs at the similarity: of windows with as many words replaced as it allows, all at one
+#: end, 99.9 % lie within 16 bits (94.5 % within 12), of others all. With 17 blocks of 3 or 4 bits the index selects little.
 RADIUS = 16
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 22
@@ -186,11 +189,23 @@ class Items:
             yield item, -k, span, d, value, windows
 
 
-def _matched(rows: list[tuple[int, str]], held: Held, similarity: float, radius: int):
+_built: dict[str, Items] = {}  # of this process, by the block's name
+
+
+def built(name: str, block, similarity: float, radius: int) -> Items:
+    """The items of a broadcast block, built once a process."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Items(*block.value, similarity, radius)
+    return _built[name]
+
+
+def _matched(block, similarity: float, radius: int):
+    name = uuid.uuid4().hex
     schema = pa.schema([("doc_id", pa.int64()), ("__rid", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int32()), ("hamming", pa.int32()), ("similarity", pa.float64()), ("n_windows", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows, held, similarity, radius)
+        items = built(name, block, similarity, radius)
         for batch in pieces(batches, "text", 1 << 20):
             w = words(texts(batch))
             h, owner, _ = shingle_hashes(w)
@@ -223,7 +238,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         blocks[-1].append((r[0], r[1]))
         size += len(r[1])
     held = held_by(blocks)
-    return reduce(DataFrame.unionByName, [rows.mapInArrow(_matched(b, held, similarity, radius), MATCH) for b in blocks])
+    context = docs.sparkSession.sparkContext
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(_matched(context.broadcast((b, held)), similarity, radius), MATCH) for b in blocks])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

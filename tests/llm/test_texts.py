@@ -240,3 +240,25 @@ def test_repeated_labelled_rows_teach_once(spark):
     assert (quality.train(docs, labels).weights == quality.train(again, labels).weights).all()
     a, b = toxicity.train(docs, labels), toxicity.train(docs.repartition(3), labels)
     assert a.words == b.words and a.cut == b.cut
+
+
+def test_radius_keeps_similar_windows():
+    """Fingerprints of windows at a similarity of 0.8 or more: within the radius nearly all are, within 12 bits too few."""
+    r, grams = random.Random(5), lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    far = {True: [], False: []}
+    for k in range(1_500):
+        at_end, n = k % 2 == 0, r.randrange(13, 81)
+        a = prose(r.randrange(1 << 40), n).split()
+        b, turn = list(a), 0
+        while True:
+            c = list(b)
+            c[turn if at_end else r.choice((0, n - 1, r.randrange(n)))] = f"new{r.randrange(9999)}"
+            if len(grams(a) & grams(c)) < 0.8 * len(grams(a) | grams(c)):
+                break
+            b, turn = c, turn + 1
+        w = decontaminate.words([" ".join(a), " ".join(b)])
+        x, y = (decontaminate.fingerprints(decontaminate.votes(w.hashes[w.offsets[i] : w.offsets[i + 1]]).sum(axis=0)[None, :])[0] for i in (0, 1))
+        far[at_end].append(int(np.bitwise_count(x ^ y)))
+    share = lambda v, d: np.mean(np.array(v) <= d)
+    assert share(far[True], decontaminate.RADIUS) > 0.99 and share(far[False], decontaminate.RADIUS) > 0.995
+    assert share(far[True], 12) < 0.97
