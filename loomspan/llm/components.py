@@ -72,9 +72,13 @@ def _thin(most: int = 250_000):
     return run
 
 
-def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """(node, component) of every node that an edge (a, b) touches, smallest node as the component."""
-    now = staged(edges.where("a <> b").mapInArrow(_thin(), "a bigint, b bigint"), tag)
+def connected_components(edges: DataFrame, tag: str = "components", thin: bool = True) -> DataFrame:
+    """(node, component) of every node that an edge (a, b) touches, smallest node as the component.
+
+    ``thin`` is False where the edges are a forest in each task already, which saves a second Python worker a task.
+    """
+    some = edges.where("a <> b").select("a", "b")
+    now = staged(some.mapInArrow(_thin(), "a bigint, b bigint") if thin else some, tag)
     seen = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

@@ -371,7 +371,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_classes(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(hi, lo, class_hi, class_lo, n_links) of the lines with a near line; rows: (doc_id, __rid, text)."""
     edges = dealt(tiled(rows), F.shiftright("key", 2)).sortWithinPartitions("key").mapInArrow(_meet, "a bigint, b bigint")
-    candidates = staged(connected_components(edges, "line-candidates"), "line-candidates")
+    candidates = staged(connected_components(edges, "line-candidates", thin=False), "line-candidates")
     some = checked_broadcast(candidates, candidates.count(), 500_000)
     each = lines.select("__rid", F.explode(F.arrays_zip("line", "hi", "lo")).alias("x")).select("__rid", "x.*")
     first = each.join(some.withColumnRenamed("node", "lo"), "lo").groupBy("hi", "lo", "component").agg(F.min(F.struct("__rid", "line")).alias("first"))
