@@ -17,9 +17,12 @@ SECRETS = (
     ("STRIPE_KEY", r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     ("GOOGLE_KEY", r"\bAIza[0-9A-Za-z_-]{35}"),
     ("JWT", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("URL_PASSWORD", r"(?<=://)[^/\s:@\[]+:[^/\s:@\[]+(?=@)"),
-    ("ASSIGNED_SECRET", r"(?i)(?<=\b(?:password|passwd|secret|api_key|apikey|token)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{12,}"),
+    ("URL_PASSWORD", r"(://)[^/\s:@\[]+:[^/\s:@\[]+(?=@)"),
+    ("ASSIGNED_SECRET", r"(?i)(\b(?:password|passwd|secret|api_key|apikey|token)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{12,}"),
 )
+#: What stands in every text that one of the patterns above, or of those below, can match; other texts pass as they are.
+MAYBE_SECRET = r"-----BEGIN|A[KS]IA[0-9A-Z]|gh[pousr]_|github_pat_|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ[A-Za-z0-9_-]{8}|://[^/\s:@\[]+:|(?i:passw(?:or)?d|secret|api_?key|token)\s{0,3}[=:]"
+MAYBE_PERSONAL = r"@|[0-9][0-9 .()\-]{4,}[0-9]"
 PERSONAL = (
     ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("IPV4", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"),
@@ -37,13 +40,20 @@ def _replaced(text: Column, patterns) -> tuple[Column, Column]:
     kinds = [F.when(text.rlike(p), F.lit(kind)) for kind, p in patterns]
     out = text
     for kind, p in patterns:
-        out = F.regexp_replace(out, p, f"[REDACTED:{kind}]")
+        kept = "$1" if kind in ("URL_PASSWORD", "ASSIGNED_SECRET") else ""
+        out = F.regexp_replace(out, p, f"{kept}[REDACTED:{kind}]")
     return out, F.array_compact(F.array(*kinds))
 
 
+def _only(maybe: str, text: Column, out: Column, kinds: Column) -> tuple[Column, Column]:
+    """The patterns' work where one pass says that there may be any."""
+    some = text.rlike(maybe)
+    return F.when(some, out).otherwise(text), F.when(some, kinds).otherwise(F.array().cast("array<string>"))
+
+
 def secrets(text: Column) -> tuple[Column, Column]:
     """(text without secrets, kinds found); null and empty texts pass."""
-    return _replaced(text, SECRETS)
+    return _only(MAYBE_SECRET, text, *_replaced(text, SECRETS))
 
 
 def luhn(number: Column) -> Column:
@@ -59,4 +69,4 @@ def personal(text: Column) -> tuple[Column, Column]:
     some = F.size(F.coalesce(cards, F.array().cast("array<string>"))) > 0
     masked = F.aggregate(cards, text, lambda t, c: F.replace(t, c, F.lit("[REDACTED:CARD]")))
     out, kinds = _replaced(F.when(some, masked).otherwise(text), PERSONAL)
-    return out, F.concat(F.when(some, F.array(F.lit("CARD"))).otherwise(F.array().cast("array<string>")), kinds)
+    return _only(MAYBE_PERSONAL, text, out, F.concat(F.when(some, F.array(F.lit("CARD"))).otherwise(F.array().cast("array<string>")), kinds))

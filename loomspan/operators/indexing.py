@@ -48,6 +48,7 @@ def index(spark: SparkSession, root: str, store: str, patterns=(), target: str |
     if redact:
         own = own.withColumn("content", secrets(F.col("content"))[0])
     own = own.withColumn("content_hash", content_hash(F.col("content"))).cache()
+    held = [own]
     try:
         manifest, old = read(spark, store, "manifest"), read(spark, store, "chunks")
         size = old.where("embedding is not null").select(F.size("embedding").alias("n")).first()
@@ -55,11 +56,13 @@ def index(spark: SparkSession, root: str, store: str, patterns=(), target: str |
             full = True
         scope = manifest if target is None else manifest.where((F.col("file_path") == target) | F.startswith("file_path", F.lit(target.rstrip("/") + "/")))
         diff = tables.manifest_diff(scope, own, full).cache()
+        held.append(diff)
         counts = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}  # four rows at most
         touched = diff.where("status in ('new', 'changed')").select("file_path")
         stale = diff.where("status <> 'unchanged'").select("file_path")
         cut = ck.chunks(own.join(touched, "file_path", "left_semi"))
         fresh = embed.cached(cut, read(spark, store, "cache"), "content", salt, embedder).cache()
+        held.append(fresh)
         n = fresh.agg(F.count("*"), F.sum(F.col("hit").cast("int"))).first()
         kept = tables.delete_files({"chunks": old, "manifest": manifest}, stale)
         nodes, edges = graph.without_files(read(spark, store, "nodes"), read(spark, store, "edges"), stale)
@@ -75,4 +78,5 @@ def index(spark: SparkSession, root: str, store: str, patterns=(), target: str |
             tables.move_table(spark, f"{store}/{name}.new", f"{store}/{name}")
         return Indexed(*(counts.get(k, 0) for k in ("new", "changed", "unchanged", "deleted")), chunks=n[0], hits=n[1] or 0)
     finally:
-        spark.catalog.clearCache()
+        for frame in held:
+            frame.unpersist()

@@ -92,10 +92,12 @@ def recall_at_k(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: i
 
 def picked_percentiles(rows: DataFrame, value: str, by: str, parts=((50, 2, 1), (95, 100, 95), (99, 100, 99))) -> DataFrame:
     """(by, p50, p95, p99): the values at places n // 2, int(.95 n), int(.99 n) of the sorted list."""
-    n, at = F.col("n"), F.col("at")
-    ranked = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), (F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1).alias("at"))
-    sized = ranked.join(ranked.groupBy(by).agg(F.count("*").alias("n")), by)
-    return sized.groupBy(by).agg(*(F.max(F.when(at == F.floor(n * c / b).cast("int"), F.col("v"))).alias(f"p{p}") for p, b, c in parts))
+    # Equal values are one row with their count before anything is sorted.
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    sized = counted.withColumn("upto", upto).join(counted.groupBy(by).agg(F.sum("c").alias("n")), by)
+    place = lambda c, b: F.floor(F.col("n") * c / b).cast("int")
+    return sized.groupBy(by).agg(*(F.min(F.when(F.col("upto") > place(c, b), F.col("v"))).alias(f"p{p}") for p, b, c in parts))
 
 
 def savings_ratio(rows: DataFrame, baseline: str, served: str) -> Column:

@@ -14,6 +14,8 @@ from ..functions import scoring
 from ..functions.text import index_terms
 
 QUERY_ROWS = 10_000
+#: So many different terms of queries are told to the tasks as a set, by which words are filtered before they become rows.
+QUERY_TERMS = 5_000
 
 
 def small(df: DataFrame, most: int = QUERY_ROWS) -> DataFrame:
@@ -63,13 +65,19 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
     return vectors.select(by, F.posexplode("embedding").alias("dim", "x")).groupBy(by, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
+def _held(words: Column, terms: DataFrame | None, word=lambda x: x) -> Column:
+    """The words of an array that are among the ``terms`` (term), if these are few; else all of them."""
+    some = [r[0] for r in terms.distinct().limit(QUERY_TERMS + 1).collect()] if terms is not None else []
+    return F.filter(words, lambda x: word(x).isin(some)) if terms is not None and len(some) <= QUERY_TERMS else words
+
+
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(id, term, tf, length): counts of terms, of those of ``terms`` (term) only if given.
 
-    Terms of queries are filtered inside each document, before rows multiply.
+    Terms of queries are filtered inside each document's array, before rows multiply.
     """
     words = docs.select("id", index_terms(F.col("content")).alias("words")).withColumn("length", F.size("words").cast("bigint"))
-    rows = words.select("id", "length", F.explode("words").alias("term"))
+    rows = words.select("id", "length", F.explode(_held(F.col("words"), terms)).alias("term"))
     if terms is not None:
         rows = rows.join(small(terms.distinct(), 200_000), "term", "left_semi")
     return rows.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
@@ -87,23 +95,34 @@ def bm25(tf: Column, df: Column, length: Column, n: Column, mean: Column) -> Col
     return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
 
 
-def or_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): documents with any term of a query; queries (query_id, text), docs (id, content)."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(index_terms(F.col("text")))).alias("term"))
-    found = postings(docs, asked.select("term"))
+def ranked_by_terms(asked: DataFrame, found: DataFrame, whole: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) of terms asked for (query_id, term), their postings, and the collection's one row."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    scored = found.join(df, "term").join(F.broadcast(collection(docs)))  # one row
+    scored = found.join(df, "term").join(F.broadcast(whole))  # one row
     scored = scored.withColumn("part", bm25(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("mean_length")))
     total = scored.join(small(asked, 200_000), "term").groupBy("query_id", "id").agg(F.sum(F.round("part", 9)).alias("score"))
     return top(total, k, [F.round("score", 6).desc(), F.col("id")])
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term) of queries (query_id, text)."""
+    return queries.select("query_id", F.explode(F.array_distinct(index_terms(F.col("text")))).alias("term"))
+
+
+def or_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): documents with any term of a query; queries (query_id, text), docs (id, content)."""
+    asked = asked_terms(queries)
+    return ranked_by_terms(asked, postings(docs, asked.select("term")), collection(docs), k)
+
+
 def phrase_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, id, n_hits, score, rank): documents that hold a query's terms in a row."""
     asked = queries.select("query_id", F.posexplode(index_terms(F.col("text"))).alias("place", "term"))
     size = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     words = docs.select("id", index_terms(F.col("content")).alias("words"))
-    rows = words.select("id", F.size("words").cast("bigint").alias("length"), F.posexplode("words").alias("at", "term")).join(small(asked, 200_000), "term")
+    placed = F.transform("words", lambda w, k: F.struct(k.alias("at"), w.alias("term")))
+    own = F.explode(_held(placed, asked.select("term"), lambda x: x["term"])).alias("x")
+    rows = words.select("id", F.size("words").cast("bigint").alias("length"), own).select("id", "length", "x.*").join(small(asked, 200_000), "term")
     hits = rows.groupBy("query_id", "id", "length", (F.col("at") - F.col("place")).alias("start")).agg(F.count("*").alias("met")).join(small(size), "query_id").where("met = n_terms")
     per = hits.groupBy("query_id", "id", "length").agg(F.count("*").alias("n_hits"))
     df = per.groupBy("query_id").agg(F.count("*").alias("df"))
@@ -143,20 +162,21 @@ def capped(df: DataFrame, k: int, per_file: int = SETTINGS.max_per_file, file: s
     return top(top(df, per_file, order, ["query_id", file], "file_rank"), k, order)
 
 
-def packed(df: DataFrame, budget: int) -> DataFrame:
+def packed(df: DataFrame, budget: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``taken`` and ``used``: in rank order a row is taken whole if it fits, else by its compressed size if
-    that fits, else left out, and later ones are still tried. Rows: (query_id, rank, id, tokens, small_tokens).
+    that fits, else left out, and later ones are still tried. Rows: (query_id, rank, id, tokens, small_tokens), and columns to ``carry``.
 
     The fold runs over the rows of one query, which earlier limits bound.
     """
-    row = F.struct("rank", "id", "tokens", "small_tokens")
-    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast("array<struct<rank:int,id:bigint,used:bigint,taken:boolean>>").alias("rows"))
+    row = F.struct("rank", "id", "tokens", "small_tokens", *carry)
+    more = "".join(f",`{c}`:{df.schema[c].dataType.simpleString()}" for c in carry)
+    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast(f"array<struct<rank:int,id:bigint,used:bigint,taken:boolean{more}>>").alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
         whole = x.tokens <= acc.left
         less = x.small_tokens.isNotNull() & (x.small_tokens <= acc.left)
         used = F.when(whole, x.tokens).when(less, x.small_tokens).otherwise(F.lit(0)).cast("bigint")
-        own = F.struct(x["rank"].cast("int").alias("rank"), x["id"].cast("bigint").alias("id"), used.alias("used"), (whole | less).alias("taken"))
+        own = F.struct(x["rank"].cast("int").alias("rank"), x["id"].cast("bigint").alias("id"), used.alias("used"), (whole | less).alias("taken"), *(x[c].alias(c) for c in carry))
         return F.struct((acc.left - used).alias("left"), F.concat(acc.rows, F.array(own)).alias("rows"))
 
     folded = df.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("all")).select("query_id", F.aggregate("all", start, step).alias("acc"))

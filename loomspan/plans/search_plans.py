@@ -158,11 +158,11 @@ PACK = (
 )
 
 
-def _packed(spark, sf, budget=1_500):
+def _packed(spark, sf, budget=1_500, carry=()):
     rows = _capped(spark, sf)
     small = tx.fallback(F.col("content"), F.lit("standard"))
-    sized = rows.select("query_id", "rank", "id", tokens.packed_tokens(F.col("content")).alias("tokens"), tokens.packed_tokens(F.col("content"), small).alias("small_tokens"))
-    return search.packed(sized, budget)
+    sized = rows.select("query_id", "rank", "id", *carry, tokens.packed_tokens(F.col("content")).alias("tokens"), tokens.packed_tokens(F.col("content"), small).alias("small_tokens"))
+    return search.packed(sized, budget, carry)
 
 
 @query("token_packing", ", " + CAPPED + PACK + "SELECT query_id, CAST(place AS INT) AS rank, id, used, used > 0 AS taken FROM fold", ("files", "terms", "asked"))
@@ -185,9 +185,8 @@ def inline_overflow_split(spark, sf):
 
 @query("hybrid_search_e2e", ", " + CAPPED + PACK + "SELECT query_id, id, round(score, 6) AS score, CAST(b.place AS INT) AS rank, CASE WHEN score > 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS level, used FROM fold JOIN best b USING (query_id, id) WHERE used > 0", ("files", "terms", "asked"))
 def hybrid_search_e2e(spark, sf):
-    kept = _packed(spark, sf).where("taken").select("query_id", "id", "used")
-    rows = _capped(spark, sf).select("query_id", "id", "score", "rank")
-    return rows.join(kept, ["query_id", "id"]).select("query_id", "id", F.round("score", 6).alias("score"), "rank", scoring.level(F.col("score")).alias("level"), "used")
+    kept = _packed(spark, sf, carry=("score",)).where("taken")
+    return kept.select("query_id", "id", F.round("score", 6).alias("score"), "rank", scoring.level(F.col("score")).alias("level"), "used")
 
 
 @query(
