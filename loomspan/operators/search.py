@@ -77,7 +77,8 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     Terms of queries are filtered inside each document's array, before rows multiply.
     """
     words = docs.select("id", index_terms(F.col("content")).alias("words")).withColumn("length", F.size("words").cast("bigint"))
-    rows = words.select("id", "length", F.explode(_held(F.col("words"), terms)).alias("term"))
+    # The outer form keeps Spark from cutting a text into words a second time to find empty ones before.
+    rows = words.select("id", "length", F.explode_outer(_held(F.col("words"), terms)).alias("term")).where("term is not null")
     if terms is not None:
         rows = rows.join(small(terms.distinct(), 200_000), "term", "left_semi")
     return rows.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
@@ -117,15 +118,18 @@ def or_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 def phrase_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, id, n_hits, score, rank): documents that hold a query's terms in a row."""
-    asked = queries.select("query_id", F.posexplode(index_terms(F.col("text"))).alias("place", "term"))
-    size = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    # A query's longest term, which is rare as a rule, finds the places where the whole phrase is compared.
+    terms = queries.select("query_id", index_terms(F.col("text")).alias("terms")).where("size(terms) > 0")
+    longest = F.array_max(F.transform("terms", lambda w: F.struct(F.length(w).alias("n"), w.alias("term"))))["term"]
+    asked = terms.withColumn("term", longest).withColumn("place", F.array_position("terms", F.col("term")).cast("int") - 1)
     words = docs.select("id", index_terms(F.col("content")).alias("words"))
     placed = F.transform("words", lambda w, k: F.struct(k.alias("at"), w.alias("term")))
-    own = F.explode(_held(placed, asked.select("term"), lambda x: x["term"])).alias("x")
-    rows = words.select("id", F.size("words").cast("bigint").alias("length"), own).select("id", "length", "x.*").join(small(asked, 200_000), "term")
-    hits = rows.groupBy("query_id", "id", "length", (F.col("at") - F.col("place")).alias("start")).agg(F.count("*").alias("met")).join(small(size), "query_id").where("met = n_terms")
-    per = hits.groupBy("query_id", "id", "length").agg(F.count("*").alias("n_hits"))
-    df = per.groupBy("query_id").agg(F.count("*").alias("df"))
+    own = F.explode_outer(_held(placed, asked.select("term"), lambda x: x["term"])).alias("x")
+    rows = words.select("id", "words", own).select("id", "words", "x.*").join(small(asked), "term").where("at >= place")
+    hits = rows.where(F.slice("words", F.col("at") - F.col("place") + 1, F.size("terms")) == F.col("terms"))
+    per = hits.groupBy("query_id", "id", F.size("words").cast("bigint").alias("length")).agg(F.count("*").alias("n_hits"))
+    # Counted by a condition on the hits, so that both uses of ``per`` share one exchange.
+    df = per.groupBy("query_id").agg(F.count(F.when(F.col("n_hits") > 0, 1)).alias("df"))
     scored = per.join(small(df), "query_id").join(F.broadcast(collection(docs)))  # one row
     scored = scored.withColumn("score", bm25(F.col("n_hits"), F.col("df"), F.col("length"), F.col("n"), F.col("mean_length")))
     return top(scored.select("query_id", "id", "n_hits", "score"), k, [F.round("score", 6).desc(), F.col("id")])
