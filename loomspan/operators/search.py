@@ -65,10 +65,10 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
     return vectors.select(by, F.posexplode("embedding").alias("dim", "x")).groupBy(by, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
-def _held(words: Column, terms: DataFrame | None, word=lambda x: x) -> Column:
-    """The words of an array that are among the ``terms`` (term), if these are few; else all of them."""
+def _few(terms: DataFrame | None) -> list[str] | None:
+    """The distinct ``terms`` (term), if they are few enough to be told to every task."""
     some = [r[0] for r in terms.distinct().limit(QUERY_TERMS + 1).collect()] if terms is not None else []
-    return F.filter(words, lambda x: word(x).isin(some)) if terms is not None and len(some) <= QUERY_TERMS else words
+    return some if terms is not None and len(some) <= QUERY_TERMS else None
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -78,7 +78,9 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """
     words = docs.select("id", index_terms(F.col("content")).alias("words")).withColumn("length", F.size("words").cast("bigint"))
     # The outer form keeps Spark from cutting a text into words a second time to find empty ones before.
-    rows = words.select("id", "length", F.explode_outer(_held(F.col("words"), terms)).alias("term")).where("term is not null")
+    some = _few(terms)
+    own = F.filter("words", lambda w: w.isin(some)) if some is not None else F.col("words")
+    rows = words.select("id", "length", F.explode_outer(own).alias("term")).where("term is not null")
     if terms is not None:
         rows = rows.join(small(terms.distinct(), 200_000), "term", "left_semi")
     return rows.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
@@ -123,9 +125,12 @@ def phrase_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     longest = F.array_max(F.transform("terms", lambda w: F.struct(F.length(w).alias("n"), w.alias("term"))))["term"]
     asked = terms.withColumn("term", longest).withColumn("place", F.array_position("terms", F.col("term")).cast("int") - 1)
     words = docs.select("id", index_terms(F.col("content")).alias("words"))
+    some = _few(asked.select("term"))
+    if some is not None:
+        words = words.where(F.exists("words", lambda w: w.isin(some)))
     placed = F.transform("words", lambda w, k: F.struct(k.alias("at"), w.alias("term")))
-    own = F.explode_outer(_held(placed, asked.select("term"), lambda x: x["term"])).alias("x")
-    rows = words.select("id", "words", own).select("id", "words", "x.*").join(small(asked), "term").where("at >= place")
+    own = F.filter(placed, lambda x: x["term"].isin(some)) if some is not None else placed
+    rows = words.select("id", "words", F.explode_outer(own).alias("x")).select("id", "words", "x.*").join(small(asked), "term").where("at >= place")
     hits = rows.where(F.slice("words", F.col("at") - F.col("place") + 1, F.size("terms")) == F.col("terms"))
     per = hits.groupBy("query_id", "id", F.size("words").cast("bigint").alias("length")).agg(F.count("*").alias("n_hits"))
     # Counted by a condition on the hits, so that both uses of ``per`` share one exchange.
