@@ -43,8 +43,7 @@ class ContextEngine:
         rows = fused.join(chunks.select("id", "content", "file_path"), "id")
         rows = rows.withColumn("keyword_distance", tx.keyword_distance(F.col("words"), F.col("hints"), F.col("file_path"), F.col("content"))).withColumn("modified", F.lit(None).cast("double"))
         capped = search.capped(search.hybrid_score(rows, s), k, s.max_per_file).select("query_id", "id", "file_path", "score", "rank")
-        wide = search.knn(asked, chunks.select("id", "embedding", "file_path"), 30 * k).select("query_id", "id", "file_path", "distance")
-        more = graph.expand(capped, self.table("edges"), self.table("nodes"), wide, s)
+        more = graph.expand_all(capped, self.table("edges"), self.table("nodes"), chunks.select("id", "file_path", "embedding"), asked, s)
         last = search.top(more, 1 << 20, [F.col("score").desc(), F.col("id")]).withColumn("rank", F.col("rank") + k)
         return capped.unionByName(last.select(*capped.columns))
 

@@ -52,17 +52,33 @@ def nodes_where(nodes: DataFrame, file_path: str | None = None, node_type: str |
     return nodes if node_type is None else nodes.where(F.col("node_type") == node_type)
 
 
-def expand(ranked: DataFrame, edges: DataFrame, nodes: DataFrame, chunks: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """Chunks of files related to the best ranked ones: (query_id, id, file_path, score), none that is ranked already.
-
-    ranked: query_id, id, file_path, rank. chunks: query_id, id, file_path, distance (nearest to each query).
-    """
+def related_to(ranked: DataFrame, edges: DataFrame, nodes: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """(query_id, file_path) of the files that calls and imports of each query's best ranked files lead to, the first by path."""
     heads = ranked.where(F.col("rank") < s.expansion_files).select("query_id", F.col("file_path").alias("from_file")).distinct()
     found = file_neighbours(edges, nodes, heads.select(F.col("from_file").alias("file_path")), ("calls", "imports"), ("function", "class", "file", "module"))
     related = heads.join(found.select("from_file", "file_path").distinct(), "from_file").select("query_id", "file_path").distinct()
     related = related.join(heads.select("query_id", F.col("from_file").alias("file_path")), ["query_id", "file_path"], "left_anti")
-    related = top(related, s.expansion_related, [F.col("file_path")], rank="file_no").drop("file_no")
-    near = top(chunks.join(related, ["query_id", "file_path"]), s.expansion_chunks, [F.col("distance"), F.col("id")], ["query_id", "file_path"], "chunk_no").drop("chunk_no")
+    return top(related, s.expansion_related, [F.col("file_path")], rank="file_no").drop("file_no")
+
+
+def expand(ranked: DataFrame, edges: DataFrame, nodes: DataFrame, chunks: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """Chunks of files related to the best ranked ones: (query_id, id, file_path, score), none that is ranked already.
+
+    ranked: query_id, id, file_path, rank. chunks: query_id, id, file_path, distance.
+    """
+    return _nearest(ranked, chunks.join(related_to(ranked, edges, nodes, s), ["query_id", "file_path"]), s)
+
+
+def expand_all(ranked: DataFrame, edges: DataFrame, nodes: DataFrame, vectors: DataFrame, queries: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """``expand`` with the distances of all chunks of the related files, and of no others: vectors (id, file_path, embedding), queries (query_id, query)."""
+    from .search import l2, small
+
+    own = vectors.where("embedding is not null").join(small(related_to(ranked, edges, nodes, s)), "file_path").join(small(queries), "query_id")
+    return _nearest(ranked, own.select("query_id", "id", "file_path", l2(F.col("query"), F.col("embedding")).alias("distance")), s)
+
+
+def _nearest(ranked: DataFrame, chunks: DataFrame, s: Settings) -> DataFrame:
+    near = top(chunks, s.expansion_chunks, [F.col("distance"), F.col("id")], ["query_id", "file_path"], "chunk_no").drop("chunk_no")
     score = F.greatest(F.lit(0.0), 1 - F.col("distance")) * s.expansion_factor
     fresh = near.join(ranked.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return fresh.withColumn("score", score).where(F.col("score") >= s.default_confidence).select("query_id", "id", "file_path", "score")

@@ -107,3 +107,8 @@ def replace_table(df: DataFrame, path: str) -> None:
     """Writes a new version of a table beside the old one, then swaps the folders; a failed write leaves the old one."""
     df.write.mode("overwrite").parquet(f"{path}.next")
     move_table(df.sparkSession, f"{path}.next", path)
+
+
+def by_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of a table whose key is among the ids, each once however often it is asked for."""
+    return table.join(ids.select(key).distinct(), key, "left_semi")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import tokens
 from ..operators import chunks as ck
-from ..operators import compress, graph, present, search
+from ..operators import compress, graph, present, search, tables
+from ..sources import files as fs
+from ..sources import store
+from .search_plans import OR
 from .base import AS_OF, asked, docs, epoch, files, ledger, query, t, turns
 
 SHORT = "CASE WHEN length(content) <= {n} THEN content ELSE substr(content, 1, {n}) || '...' END"
@@ -76,7 +79,12 @@ def next_prompt_number(spark, sf):
     return turns(spark, sf).groupBy("session_id").agg((F.coalesce(F.max("prompt_number"), F.lit(0)) + 1).alias("next"))
 
 
-@query("status_text")
+@query(
+    "status_text",
+    ", s AS (SELECT count(*) AS q, CAST(sum(baseline) AS BIGINT) AS raw, CAST(sum(served) AS BIGINT) AS served, CAST(greatest(sum(baseline) - sum(served), 0) AS BIGINT) AS saved FROM ledger GROUP BY bucket) "
+    "SELECT 'Token savings (' || q || ' queries): ' || format('{:,}', raw) || ' raw → ' || format('{:,}', served) || ' served (' || CASE WHEN raw > 0 THEN CAST(floor(100 * saved / raw) AS INT) ELSE 0 END || '% saved' || CASE WHEN saved * 15.0 / 1e6 < 0.01 THEN '' ELSE format(', ${:.2f}', saved * 15.0::DOUBLE / 1e6) END || ')' AS text FROM s",
+    ("ledger",),
+)
 def status_text(spark, sf):
     own = ledger(spark, sf).groupBy("bucket").agg(F.count("*").alias("queries"), F.sum("baseline").alias("raw"), F.sum("served").alias("served")).withColumn("full_file", F.lit(0).cast("bigint"))
     return present.status(own, 15.0)
@@ -89,7 +97,15 @@ def project_overview(spark, sf):
     return present.overview(rows.select("id", "file_path", "content", F.lit(None).cast("string").alias("compressed_content"), (1 - F.col("rank") / 60).alias("confidence_score"), "rank"), "documents")
 
 
-@query("result_texts")
+RESULT = (
+    ", hits AS (SELECT query_id, id, rank, score, file_path, " + SHORT.format(n=100) + " AS served FROM ranked JOIN files ON id = doc_id WHERE rank < 10), "
+    "shown AS (SELECT query_id, string_agg(format('[{}:1] (confidence: {:.2f})', file_path, score) || chr(10) || served, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS shown FROM hits WHERE rank < 5 GROUP BY 1), "
+    "kept AS (SELECT query_id, count(*) AS n, string_agg(format('  expand_chunk(chunk_id=\"{}\")  → {}:1 (confidence: {:.2f})', id, file_path, score), chr(10) ORDER BY rank) AS refs FROM hits WHERE rank >= 5 GROUP BY 1) "
+    "SELECT query_id, concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), shown, chr(10) || '---' || chr(10) || n || ' more result(s) available (not shown to save tokens):' || chr(10) || refs) AS text FROM shown LEFT JOIN kept USING (query_id)"
+)
+
+
+@query("result_texts", ", " + OR + RESULT, ("files", "terms", "asked"))
 def result_texts(spark, sf):
     ranked = search.or_search(asked(spark, sf), docs(spark, sf), 10)
     rows = ranked.join(files(spark, sf).select(F.col("doc_id").alias("id"), "file_path", tx.fallback(F.col("content"), F.lit("minimal")).alias("served")), "id")
@@ -101,3 +117,55 @@ def recall_texts(spark, sf):
     ranked = search.or_search(asked(spark, sf), docs(spark, sf), 20)
     rows = ranked.join(docs(spark, sf), "id").select("query_id", F.concat(F.lit("item "), "query_id").alias("topic"), "rank", F.substring_index("content", ".", 1).alias("key"), F.substring_index("content", ".", 1).alias("text"))
     return present.recall_text(rows)
+
+
+@query("chunks_by_id", "SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE doc_id IN (SELECT item_id * 7 FROM benchmark)")
+def chunks_by_id(spark, sf):
+    wanted = t(spark, sf, "benchmark").select((F.col("item_id") * 7).alias("doc_id"))
+    return tables.by_ids(t(spark, sf, "documents"), wanted, "doc_id").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(
+    "changed_files",
+    ", l AS (SELECT source AS log, doc_id AS place, CASE WHEN doc_id % 5 = 0 THEN substr(sha256(file_path), 1, 40) END AS own, file_path FROM files), "
+    "c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY log ORDER BY place) AS sha FROM l) SELECT sha, file_path FROM c WHERE own IS NULL AND sha IS NOT NULL",
+    ("files",),
+)
+def changed_files(spark, sf):
+    """Documents as the name-only logs of their sources: every fifth is a commit, the others are its files."""
+    line = F.when(F.col("doc_id") % 5 == 0, F.substring(F.sha2("file_path", 256), 1, 40)).otherwise(F.col("file_path"))
+    return fs.changed_files(files(spark, sf).select(F.col("source").alias("log"), F.col("doc_id").alias("at"), line.alias("line")))
+
+
+@query("clamped_limits", "SELECT event_id, greatest(1, least(50, coalesce(CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS INT) END, 10))) AS n FROM events")
+def clamped_limits(spark, sf):
+    asked_for = F.when(F.col("event_type") != "error", F.floor("value").cast("int"))
+    return t(spark, sf, "events").select("event_id", tokens.clamp(asked_for, 1, 50, 10).alias("n"))
+
+
+_MODELS = [m for m, *_ in store.PRICES]
+_PRICED = ", ".join(f"('{m}', {float(i)}::DOUBLE, {float(o)}::DOUBLE)" for m, i, o in store.PRICES)
+_NAMED = " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_MODELS))
+
+
+@query("priced_rows", f"WITH p(model, i, o) AS (VALUES {_PRICED}), e AS (SELECT event_id, CASE event_id % {len(_MODELS) + 1} {_NAMED} ELSE 'another' END AS model FROM events) SELECT event_id, model, coalesce(p.i, f.i) AS input_rate, coalesce(p.o, f.o) AS output_rate FROM e LEFT JOIN p USING (model), (SELECT i, o FROM p WHERE model = '{store.FALLBACK}') f")
+def priced_rows(spark, sf):
+    model = F.coalesce(F.get(F.array(*map(F.lit, _MODELS)), (F.col("event_id") % (len(_MODELS) + 1)).cast("int")), F.lit("another"))
+    return store.priced(t(spark, sf, "events").select("event_id", model.alias("model")), store.prices(spark)).select("event_id", "model", "input_rate", "output_rate")
+
+
+@query("merged_searches", "WITH a AS (SELECT doc_id AS id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS INT) AS rank FROM documents QUALIFY rank < 40), b AS (SELECT doc_id AS id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS rank FROM documents WHERE lang = 'fr' QUALIFY rank < 40) SELECT id, rank, 0 AS list FROM a UNION ALL SELECT id, rank, 1 AS list FROM b WHERE id NOT IN (SELECT id FROM a)")
+def merged_searches(spark, sf):
+    """The longest documents as one search, the first French ones as another."""
+    own = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "lang", F.lit(1).alias("k"))
+    one = search.top(own, 40, [F.col("n_chars").desc(), F.col("id")], "k").select("id", "rank")
+    two = search.top(own.where("lang = 'fr'"), 40, [F.col("id")], "k").select("id", "rank")
+    return present.merged_searches(one, two)
+
+
+@query("substring_fallback", "WITH q AS (SELECT item_id AS query_id, substr(text, 1, 4) AS topic FROM benchmark WHERE item_id % 10 = 5) SELECT query_id, topic, CAST(conv_id AS VARCHAR) AS key, sha256(text) AS text_sha256 FROM q, conversations WHERE contains(lower(text), lower(topic))")
+def substring_fallback(spark, sf):
+    topics = t(spark, sf, "benchmark").where("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 4).alias("topic"))
+    items = t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("key"), "text")
+    found = present.substring_fallback(topics.where("query_id % 10 = 0"), items, topics)
+    return found.select("query_id", "topic", "key", F.sha2("text", 256).alias("text_sha256"))

@@ -245,7 +245,17 @@ def cascade_delete_edges(spark, sf):
     return graph.without_files(n, edges(spark, sf), n.where("name = '1-URGENT'").select("file_path"))[1]
 
 
-@query("graph_expansion")
+EXPANSION = (
+    ", heads AS (SELECT DISTINCT query_id, folder FROM best WHERE place < 3), "
+    "rel AS (SELECT DISTINCT query_id, b.source AS file_path FROM heads JOIN documents a ON a.source = folder JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE (query_id, b.source) NOT IN (SELECT (query_id, folder) FROM heads)), "
+    "two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_path) AS n FROM rel) WHERE n <= 2), "
+    "near AS (SELECT two.query_id, doc_id AS id, file_path, " + DIST + " AS distance FROM two JOIN documents ON source = file_path JOIN embeddings v ON v.vec_id = doc_id JOIN q USING (query_id)), "
+    "nearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY distance, id) AS n FROM near) WHERE n <= 2) "
+    "SELECT query_id, id, file_path, round(greatest(0.0, 1 - distance) * 0.85, 6) AS score FROM nearest WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM best)"
+)
+
+
+@query("graph_expansion", ", " + CAPPED + EXPANSION, ("files", "terms", "asked"))
 def graph_expansion(spark, sf):
     """Documents as files of a graph whose calls lead to the next document's source folder."""
     own = files(spark, sf).select("doc_id", "source")
@@ -253,5 +263,10 @@ def graph_expansion(spark, sf):
     e = own.select(F.concat(F.lit("d"), "doc_id").alias("source_id"), F.concat(F.lit("d"), F.col("doc_id") + 1).alias("target_id"), F.lit("calls").alias("edge_type"))
     ranked = _capped(spark, sf).select("query_id", "id", F.col("folder").alias("file_path"), "rank")
     q = t(spark, sf, "embeddings").join(asked(spark, sf).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    chunks = search.knn(q, vectors(spark, sf).drop("label"), 200).join(own.select(F.col("doc_id").alias("id"), F.col("source").alias("file_path")), "id")
-    return graph.expand(ranked, e, n, chunks).withColumn("score", F.round("score", 6))
+    vectors_ = vectors(spark, sf).select("id", "embedding").join(own.select(F.col("doc_id").alias("id"), F.col("source").alias("file_path")), "id")
+    return graph.expand_all(ranked, e, n, vectors_, q).withColumn("score", F.round("score", 6))
+
+
+@query("postings_table", "SELECT id, term, count(*) AS tf, CAST(any_value(length) AS BIGINT) AS length FROM (SELECT id, len(words) AS length, unnest(words) AS term FROM terms) GROUP BY id, term", ("terms",))
+def postings_table(spark, sf):
+    return search.postings(docs(spark, sf)).select("id", "term", "tf", "length")

@@ -11,6 +11,7 @@ from ..operators import ledger as lg
 from ..operators import memory, search, tables
 from ..sources import store
 from ..streaming import events as streams
+from .search_plans import OR
 from .base import AS_OF, epoch, files, ledger, query, t, turns, vector_queries, vectors
 
 # An earlier state of the files: those in Spanish are not in it, those in French had another text, and pages are gone since.
@@ -291,14 +292,26 @@ def foreign_key_resolve(spark, sf):
     return tables.resolved(rows, t(spark, sf, "customer").where("c_mktsegment = 'BUILDING'"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("audit_log")
+@query(
+    "audit_log",
+    ", " + OR + ", r AS (SELECT query_id, CAST(id AS VARCHAR) AS ref, round(score, 6) AS s FROM ranked WHERE rank < 10) "
+    "SELECT '{\"query_id\":' || query_id || ',\"query\":\"' || substr(sha256(text), 1, 12) || '\",\"refs\":[\"' || string_agg(ref, '\",\"' ORDER BY ref) || '\"],\"low\":' || min(s) || ',\"high\":' || max(s) || '}' AS value FROM r JOIN asked USING (query_id) GROUP BY query_id, text",
+    ("terms", "asked"),
+)
 def audit_log(spark, sf):
     rows = search.or_search(t(spark, sf, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text"), t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), 10)
     texts = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return store.audit_lines(rows.join(texts, "query_id").select("query_id", "text", F.col("id").cast("string").alias("ref"), F.round("score", 6).alias("score")))
 
 
-@query("turn_texts")
+@query(
+    "turn_texts",
+    ", p AS (SELECT session_id, prompt_number, CASE WHEN text <> '' THEN 'User: ' || text END AS prompt FROM turns WHERE role = 'user' AND prompt_number > 0), "
+    "o AS (SELECT *, CASE WHEN length(trim(text, ' ')) > 1500 THEN substr(trim(text, ' '), 1, 1500) || '…' ELSE trim(text, ' ') END AS cut FROM turns WHERE role = 'assistant' AND prompt_number > 0), "
+    "e AS (SELECT session_id, prompt_number, string_agg('Read file_path=''f' || (session_id * 1000 + \"at\") || chr(39) || CASE WHEN cut <> '' THEN chr(10) || cut ELSE '' END, chr(10) ORDER BY \"at\") AS events FROM o GROUP BY 1, 2) "
+    "SELECT session_id, CAST(prompt_number AS BIGINT) AS prompt_number, sha256(concat_ws(chr(10), prompt, events)) AS text_sha256 FROM p FULL JOIN e USING (session_id, prompt_number)",
+    ("turns",),
+)
 def turn_texts(spark, sf):
     rows = turns(spark, sf).where("prompt_number > 0")
     prompts = rows.where("role = 'user'").select("session_id", "prompt_number", F.col("text").alias("prompt_text"))

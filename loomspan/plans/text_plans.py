@@ -131,12 +131,28 @@ def fallback_compress(spark, sf):
     return files(spark, sf).select("doc_id", "content", levels.alias("level")).select("doc_id", "level", tx.fallback(F.col("content"), F.col("level")).alias("compressed"))
 
 
-@query("signature_extract")
+@query(
+    "signature_extract",
+    ", f AS (SELECT doc_id, string_split(content, chr(10)) AS lines, 0 AS k, 0 AS chars, false AS doc, false AS done FROM files "
+    "UNION ALL SELECT doc_id, lines, CASE WHEN over THEN k ELSE k + 1 END, CAST(chars + length(line) + 1 AS INT), doc OR quote, over OR (quote AND doc) OR (NOT (doc OR quote) AND ends_with(rtrim(line, ' '), ':') AND k > 0) "
+    "FROM (SELECT *, lines[k + 1] AS line, chars + length(lines[k + 1]) > 300 AND k > 0 AS over, contains(lines[k + 1], '\"\"\"') OR contains(lines[k + 1], repeat(chr(39), 3)) AS quote FROM f WHERE NOT done AND k < len(lines))) "
+    "SELECT doc_id, array_to_string(any_value(lines)[1:max(k)], chr(10)) AS signature FROM f GROUP BY doc_id",
+    ("files",),
+)
 def signature_extract(spark, sf):
     return files(spark, sf).select("doc_id", tx.signature(F.col("content"), 300).alias("signature"))
 
 
-@query("identifier_quality")
+IDENTIFIERS = (
+    "WITH i AS (SELECT conv_id, turn, text, list_concat(list_filter(list_concat(regexp_extract_all(text, '" + tx.IDENTIFIER_PATTERNS[0] + "', 1), list_concat(regexp_extract_all(text, '" + tx.IDENTIFIER_PATTERNS[1] + "', 1), regexp_extract_all(text, '" + tx.IDENTIFIER_PATTERNS[2] + "', 1))), lambda w: length(w) >= 3 AND NOT list_contains(['self', 'None', 'True', 'False'], w)), "
+    r"list_concat(list_filter(list_transform(flatten(list_transform(regexp_extract_all(text, '(?:def|function)\s+\w+\s*\(([^)]*)\)', 1), lambda p: string_split_regex(p, '[,\s]+'))), lambda p: trim(split_part(split_part(p, ':', 1), '=', 1), ' ')), lambda w: length(w) >= 3 AND NOT list_contains(['self', 'cls', 'None', 'True', 'False'], w)), "
+    r"list_filter(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-zA-Z0-9]+')))) AS found FROM conversations), "
+    "n AS (SELECT *, list_sort(list_distinct(found)) AS names, lower(CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 300) || '...' END) AS summary FROM i) "
+    "SELECT conv_id, turn, array_to_string(names, '|') AS identifiers, len(names) = 0 OR len(list_filter(names, lambda w: contains(summary, lower(w)))) / greatest(len(names), 1) >= 0.4 AS kept FROM n"
+)
+
+
+@query("identifier_quality", IDENTIFIERS)
 def identifier_quality(spark, sf):
     summary = tx.fallback(F.col("text"), F.lit("standard"))
     return t(spark, sf, "conversations").select("conv_id", "turn", F.array_join(tx.identifiers(F.col("text")), "|").alias("identifiers"), tx.keeps_identifiers(F.col("text"), summary).alias("kept"))
@@ -171,7 +187,20 @@ def decision_extract(spark, sf):
 _IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
 
 
-@query("redact_pii")
+def _personal_sql():
+    luhn = "list_sum(list_transform(list_reverse(string_split(regexp_replace(c, '[ -]', '', 'g'), '')), lambda d, i: CASE WHEN i % 2 = 0 THEN CASE WHEN CAST(d AS INT) > 4 THEN CAST(d AS INT) * 2 - 9 ELSE CAST(d AS INT) * 2 END ELSE CAST(d AS INT) END)) % 10 = 0"
+    out = "masked"
+    for kind, pattern in redact.PERSONAL:
+        out = f"regexp_replace({out}, '{pattern}', '[REDACTED:{kind}]', 'g')"
+    kinds = ", ".join(f"CASE WHEN regexp_matches(masked, '{p}') THEN '{k}' END" for k, p in redact.PERSONAL)
+    return (
+        f"WITH n AS (SELECT doc_id, text, list_filter(list_distinct(regexp_extract_all(text, '{redact.CARD}')), lambda c: {luhn}) AS cards FROM documents), "
+        "m AS (SELECT doc_id, cards, list_reduce(list_concat([text], cards), lambda x, c: replace(x, c, '[REDACTED:CARD]')) AS masked FROM n) "
+        f"SELECT doc_id, sha256({out}) AS text_sha256, concat_ws(',', CASE WHEN len(cards) > 0 THEN 'CARD' END, {kinds}) AS kinds FROM m"
+    )
+
+
+@query("redact_pii", _personal_sql())
 def redact_pii(spark, sf):
     out, kinds = redact.personal(F.col("text"))
     return t(spark, sf, "documents").select("doc_id", F.sha2(out, 256).alias("text_sha256"), F.array_join(kinds, ",").alias("kinds"))
@@ -183,7 +212,18 @@ def redact_email_ipv4(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.sha2(out, 256).alias("text_sha256"))
 
 
-@query("redact_secrets")
+def _secrets_sql():
+    """The same patterns for an engine without look-ahead, whose groups are \\1 and so on."""
+    out, kinds = "text", []
+    for kind, pattern in redact.SECRETS:
+        own = pattern.replace("(?=@)", "(@)").replace("'", "''")
+        left, right = ("\\1" if own != pattern or kind == "ASSIGNED_SECRET" else ""), ("\\2" if kind == "URL_PASSWORD" else "")
+        out = f"regexp_replace({out}, '{own}', '{left}[REDACTED:{kind}]{right}', 'g')"
+        kinds.append(f"CASE WHEN regexp_matches(text, '{own}') THEN '{kind}' END")
+    return f"SELECT doc_id, sha256({out}) AS text_sha256, concat_ws(',', {', '.join(kinds)}) AS kinds FROM documents"
+
+
+@query("redact_secrets", _secrets_sql())
 def redact_secrets(spark, sf):
     out, kinds = redact.secrets(F.col("text"))
     return t(spark, sf, "documents").select("doc_id", F.sha2(out, 256).alias("text_sha256"), F.array_join(kinds, ",").alias("kinds"))
@@ -199,14 +239,24 @@ def extractive_summary(spark, sf):
     return memory.summaries(t(spark, sf, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", "summary", memory.tier(F.col("text")).alias("tier"))
 
 
-@query("import_extract")
+@query(
+    "import_extract",
+    ", w AS (SELECT file_path, source, split_part(ltrim(regexp_replace(lower(split_part(content, ' ', 1)), '[^a-z.]', '', 'g'), '.'), '.', 1) AS m FROM files) "
+    "SELECT file_path, 0 AS place, m AS module FROM w WHERE m <> '' UNION ALL SELECT file_path, CASE WHEN m <> '' THEN 1 ELSE 0 END AS place, source AS module FROM w WHERE m <> source",
+    ("files",),
+)
 def import_extract(spark, sf):
     """Import lines made of words of the documents, as no source code is at hand."""
     line = F.concat(F.lit("import "), F.regexp_replace(F.lower(F.substring_index("content", " ", 1)), "[^a-z.]", ""), F.lit("\nfrom "), F.col("source"), F.lit(".base import x\n"))
     return chunks.imports(files(spark, sf).select("file_path", line.alias("content"), F.lit("python").alias("language")))
 
 
-@query("commit_log_parse")
+@query(
+    "commit_log_parse",
+    ", c AS (SELECT substr(sha256(file_path), 1, 40) AS sha, source, file_path, split_part(content, chr(10), 1) AS subject FROM files) "
+    "SELECT sha, 'commit_' || substr(sha, 1, 7) AS id, 'git:' || substr(sha, 1, 7) AS file_path, source AS author, subject, file_path AS body, sha256(subject || chr(10) || chr(10) || file_path) AS content_sha256 FROM c",
+    ("files",),
+)
 def commit_log_parse(spark, sf):
     """Documents as commit records of a log."""
     sha = F.substring(F.sha2("file_path", 256), 1, 40)
