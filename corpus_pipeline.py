@@ -10,6 +10,10 @@ the documents they keep, with all columns unchanged.
 4. decontamination: documents that hold a benchmark item go.
 5. packing: byte-level BPE ids of the rest in sequences of 1024 tokens.
 
+Cases: a null text counts as empty, has a quality score like any other, and is packed as the end id alone; a null doc_id
+stands last where the smallest id stays, and is packed as null; of repeated rows one stays; ties go to the smallest
+row id; an empty table goes through all stages as one; columns of any name are kept up to packing.
+
 SQL can express neither the fitted ranking nor the tokenizer, so there is no ORACLE_SQL; tests hold the
 stages against brute force.
 """

@@ -127,13 +127,13 @@ def chunks_by_id(spark, sf):
 
 @query(
     "changed_files",
-    ", l AS (SELECT source AS log, doc_id AS place, CASE WHEN doc_id % 5 = 0 THEN substr(sha256(file_path), 1, 40) END AS own, file_path FROM files), "
+    ", l AS (SELECT source AS log, doc_id AS place, CASE WHEN doc_id // 20 % 5 = 0 THEN substr(sha256(file_path), 1, 40) END AS own, file_path FROM files), "
     "c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY log ORDER BY place) AS sha FROM l) SELECT sha, file_path FROM c WHERE own IS NULL AND sha IS NOT NULL",
     ("files",),
 )
 def changed_files(spark, sf):
-    """Documents as the name-only logs of their sources: every fifth is a commit, the others are its files."""
-    line = F.when(F.col("doc_id") % 5 == 0, F.substring(F.sha2("file_path", 256), 1, 40)).otherwise(F.col("file_path"))
+    """Documents as the name-only logs of their sources: every fifth of a source is a commit, the others are its files."""
+    line = F.when(F.floor(F.col("doc_id") / 20) % 5 == 0, F.substring(F.sha2("file_path", 256), 1, 40)).otherwise(F.col("file_path"))
     return fs.changed_files(files(spark, sf).select(F.col("source").alias("log"), F.col("doc_id").alias("at"), line.alias("line")))
 
 
