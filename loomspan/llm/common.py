@@ -76,6 +76,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             held += n or 0
         if batch.num_rows > at:
             yield batch.slice(at)
+        del batch
+        pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
 
 ROW_BITS = 30

@@ -188,8 +188,9 @@ def candidates(rows: DataFrame, similarity: float = SIMILARITY, node_rows: int |
             break
         key = F.substring("label", 1, 1 + 2 * p)
         held = held.withColumn("key", F.when(F.col("prefix") > p, key))
-        nodes = held.join(checked_broadcast(short, count, 500_000), "rid").where("key is not null").select("key").distinct().withColumn("met", F.lit(True))
-        held = staged(held.join(nodes, "key", "left"), "held")
+        nodes = held.join(checked_broadcast(short, count, 500_000), "rid").where("key is not null").select("key").distinct()
+        nodes = staged(nodes.withColumn("met", F.lit(True)), "nodes")
+        held = staged(held.join(checked_broadcast(nodes, nodes.count(), 500_000), "key", "left"), "held")
         edges = edges.unionByName(_chained(held.where("met").select("rid", "label"), key))
         held = held.select("rid", F.when(F.col("met"), F.lit(p)).otherwise(F.col("prefix")).alias("prefix"), "label")
     return edges

@@ -160,7 +160,7 @@ def line_keys(lines: list[str]) -> np.ndarray:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", 1 << 20):
+    for batch in pieces(batches, "text", 1 << 19):
         numbers_, his, los = [], [], []
         own = [[(i, x) for i, raw in enumerate(t.split("\n")) if (x := normal(raw))] for t in texts(batch)]
         keys = line_keys([x for doc in own for _, x in doc])
@@ -176,7 +176,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    for batch in pieces(batches, "text", 1 << 19):
+    for batch in pieces(batches, "text", 1 << 18):
         long = [x for t in texts(batch) for raw in t.split("\n") if len(x := normal(raw)) >= MIN_CHARS]
         fresh, los = [], []
         for x, lo in zip(long, line_keys(long)[:, 1].tolist()):

@@ -42,7 +42,7 @@ def prefix_length(similarity: float = SIMILARITY, trees: int = TREES, depth: int
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The key of each text's set of shingles, and the signature of sets that are not empty."""
-    for batch in pieces(batches, "text", 1 << 20):
+    for batch in pieces(batches, "text", 1 << 18):
         text = texts(batch)
         h, offsets = shingle_sets(text)
         n = np.diff(offsets)

@@ -91,12 +91,27 @@ def shingle_hashes(w: Words, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.
     return mixed(h + span.astype(np.uint64)), owner, first
 
 
+#: Characters of text that are hashed at once; a longer text is hashed by itself.
+CHUNK_CHARS = 1 << 18
+
+
 def shingle_sets(texts: Sequence[str], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the distinct shingles of each text, ascending."""
+    hashes, counts, begin, chars = [], [], 0, 0
+    for k, x in enumerate(texts):
+        if chars and chars + len(x) > CHUNK_CHARS:
+            _add_sets(texts[begin:k], size, hashes, counts)
+            begin, chars = k, 0
+        chars += len(x)
+    _add_sets(texts[begin:], size, hashes, counts)
+    return np.concatenate(hashes), np.concatenate([[0], *counts]).cumsum().astype(np.int64)
+
+
+def _add_sets(texts: Sequence[str], size: int, hashes: list[np.ndarray], counts: list[np.ndarray]) -> None:
     h, owner, _ = shingle_hashes(words(texts), size)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    return h, np.searchsorted(owner, np.arange(len(texts) + 1))
+    hashes.append(h[new])
+    counts.append(np.bincount(owner[new], minlength=len(texts)))
