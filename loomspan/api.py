@@ -33,13 +33,7 @@ class ContextEngine:
         near = search.dedup_first(near, ["file_path", "start_line", "end_line"], [F.col("rank")])
         found = search.phrase_search(queries, chunks.select("id", F.concat_ws("\n", "content", "file_path", "language", "chunk_type").alias("content")), 3 * k)
         parsed = queries.select("query_id", tx.intent(F.col("text")).alias("intent"), tx.keywords(F.col("text")).alias("words"), tx.file_hints(F.col("text")).alias("hints"))
-        weighted = found.join(search.small(parsed.select("query_id", "intent")), "query_id")
-        fused = search.rrf(near, found, 1.0, s).join(search.small(parsed), "query_id")
-        boost = F.when(F.col("intent") == "code_lookup", s.code_lookup_boost - 1).otherwise(0.0)
-        extra = weighted.select("query_id", "id", (boost / (s.rrf_k + F.col("rank") + s.rank_base)).alias("extra"))
-        fused = fused.join(extra, ["query_id", "id"], "left").withColumn("rrf", F.col("rrf") + F.coalesce("extra", F.lit(0.0)))
-        best = fused.groupBy("query_id").agg(F.max("rrf").alias("best"))
-        fused = fused.drop("rrf_norm").join(best, "query_id").withColumn("rrf_norm", F.when(F.col("best") > 0, F.col("rrf") / F.col("best")).otherwise(0.0))
+        fused = search.rrf(near, found, search.intent_weights(parsed, s), s).join(search.small(parsed), "query_id")
         rows = fused.join(chunks.select("id", "content", "file_path"), "id")
         rows = rows.withColumn("keyword_distance", tx.keyword_distance(F.col("words"), F.col("hints"), F.col("file_path"), F.col("content"))).withColumn("modified", F.lit(None).cast("double"))
         capped = search.capped(search.hybrid_score(rows, s), k, s.max_per_file).select("query_id", "id", "file_path", "score", "rank")

@@ -145,16 +145,28 @@ def dedup_first(df: DataFrame, key: list[str], order) -> DataFrame:
     return top(df, 1, order, ["query_id", *key], "__first").drop("__first")
 
 
-def rrf(vector: DataFrame, lexical: DataFrame, weight: Column | float = 1.0, s: Settings = SETTINGS) -> DataFrame:
-    """(query_id, id, rrf, rrf_norm, distance, lexical_rank) from ranks of two lists; lists may share ids."""
+def rrf(vector: DataFrame, lexical: DataFrame, weight: Column | float | DataFrame = 1.0, s: Settings = SETTINGS) -> DataFrame:
+    """(query_id, id, rrf, rrf_norm, distance, lexical_rank) from ranks of two lists; lists may share ids.
+
+    ``weight`` is that of the lexical list: one for all, or a table (query_id, weight), 1 for queries that it lacks.
+    """
     v = vector.select("query_id", "id", F.col("rank").alias("vector_rank"), "distance")
     x = lexical.select("query_id", "id", F.col("rank").alias("lexical_rank"))
     both = v.join(x, ["query_id", "id"], "full_outer")
-    w = weight if isinstance(weight, Column) else F.lit(float(weight))
+    if isinstance(weight, DataFrame):
+        both = both.join(small(weight.select("query_id", "weight")), "query_id", "left")
+        w = F.coalesce("weight", F.lit(1.0))
+    else:
+        w = weight if isinstance(weight, Column) else F.lit(float(weight))
     part = lambda r: F.coalesce(1 / (s.rrf_k + F.col(r) + s.rank_base), F.lit(0.0))
     fused = both.withColumn("rrf", part("vector_rank") + w * part("lexical_rank"))
     best = F.max("rrf").over(Window.partitionBy("query_id"))
-    return fused.withColumn("rrf_norm", F.when(best > 0, F.col("rrf") / best).otherwise(0.0))
+    return fused.withColumn("rrf_norm", F.when(best > 0, F.col("rrf") / best).otherwise(0.0)).drop("weight")
+
+
+def intent_weights(intents: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """(query_id, weight) of the lexical list by (query_id, intent): code lookups count it more."""
+    return intents.select("query_id", F.when(F.col("intent") == "code_lookup", s.code_lookup_boost).otherwise(1.0).alias("weight"))
 
 
 def hybrid_score(fused: DataFrame, s: Settings = SETTINGS) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import scoring, tokens
 from ..functions import text as tx
 from ..operators import graph, search
 from .base import asked, docs, edges, files, nodes, query, t, vector_queries, vectors
+from .text_plans import INTENT
 
 DIST = "sqrt(list_sum(list_transform(list_zip(q.query, v.embedding), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))))"
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
@@ -110,6 +111,20 @@ def rrf_fusion(spark, sf):
     return search.rrf(*_lists(spark, sf)).select("query_id", "id", F.round("rrf", 9).alias("rrf"), F.round("rrf_norm", 6).alias("rrf_norm"))
 
 
+@query(
+    "rrf_intent_weight",
+    ", " + HYBRID + ", w AS (SELECT query_id, CASE WHEN " + INTENT + " = 'code_lookup' THEN 1.5 ELSE 1.0 END AS weight FROM (SELECT query_id, CASE WHEN query_id % 100 = 0 THEN 'where is ' || text || ' defined' ELSE text END AS q FROM asked)), "
+    "x AS (SELECT query_id, id, rrf + (weight - 1) * coalesce(1.0 / (60 + lexical_rank), 0) AS rrf FROM f JOIN w USING (query_id)) "
+    "SELECT query_id, id, round(rrf, 9) AS rrf, round(rrf / max(rrf) OVER (PARTITION BY query_id), 6) AS rrf_norm FROM x",
+    ("terms", "asked"),
+)
+def rrf_intent_weight(spark, sf):
+    """Every second query is put as a question for code, so that its lexical list counts more."""
+    put = F.when(F.col("query_id") % 100 == 0, F.concat(F.lit("where is "), "text", F.lit(" defined"))).otherwise(F.col("text"))
+    weights = search.intent_weights(asked(spark, sf).select("query_id", tx.intent(put).alias("intent")))
+    return search.rrf(*_lists(spark, sf), weights).select("query_id", "id", F.round("rrf", 9).alias("rrf"), F.round("rrf_norm", 6).alias("rrf_norm"))
+
+
 KEYWORDS = (
     "kw AS (SELECT query_id, list_filter(list_concat(regexp_extract_all(text, '[A-Z][a-zA-Z0-9]+'), list_filter(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*'), lambda w: length(w) > 2 AND NOT list_contains(["
     + ", ".join(f"'{w}'" for w in tx.STOP_WORDS + tx.CODE_PREFIXES) + "], lower(w)))), lambda w: true) AS keywords, regexp_extract_all(text, '" + tx.FILE_HINT + "') AS hints FROM asked)"

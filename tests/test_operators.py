@@ -244,3 +244,12 @@ def test_store(spark, tmp_path):
     table = store.prices(spark, {"new": (1.0, None)})
     got = {r.model: (r.input_rate, r.output_rate) for r in store.priced(spark.createDataFrame([("new",), ("who",)], "model string"), table).collect()}
     assert got == {"new": (1.0, 75.0), "who": (15.0, 75.0)}
+
+
+def test_fusion_weights_by_query(spark):
+    rows = [(q, i, i, 0.5) for q in (1, 2) for i in (0, 1)]
+    near = spark.createDataFrame(rows, "query_id long, id long, rank int, distance double")
+    found = spark.createDataFrame([(q, 1, 0) for q in (1, 2)], "query_id long, id long, rank int")
+    weights = search.intent_weights(spark.createDataFrame([(1, "code_lookup")], "query_id long, intent string"))
+    got = {(r.query_id, r.id): r.rrf for r in search.rrf(near, found, weights).collect()}
+    assert math.isclose(got[1, 1], 1 / 61 + 1.5 / 60) and math.isclose(got[2, 1], 1 / 61 + 1 / 60) and got[1, 0] == got[2, 0] == 1 / 60
