@@ -42,9 +42,20 @@ def read(spark: SparkSession, store: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{store}/{name}")
 
 
+#: Bytes of a folder for each task, at most; a scan gives every small file a share of its own.
+TASK_BYTES = 32 << 20
+
+
+def task_count(spark: SparkSession, root: str) -> int:
+    """So many tasks that none has more than ``TASK_BYTES`` of the folder, and one for each core at least."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
 def index(spark: SparkSession, root: str, store: str, patterns=(), target: str | None = None, full: bool = False, embedder=embed.hashed_vectors, salt: str = "hash:words", redact: bool = True) -> Indexed:
     """Brings the store up to date with a folder (or a file or subtree of it)."""
-    own = files.project_files(spark, root, patterns, target)
+    own = files.project_files(spark, root, patterns, target).coalesce(task_count(spark, root))
     if redact:
         own = own.withColumn("content", secrets(F.col("content"))[0])
     own = own.withColumn("content_hash", content_hash(F.col("content"))).cache()
