@@ -13,6 +13,7 @@ from .html_extract import op10_wrapper_text
 from .url_filter import op2_path_templates
 from .line_dedup import op1_line_dedup
 from .near_dedup import op9_jaccard_join
+from .periodic_runs import op11_periodic_runs
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -25,5 +26,6 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_token_file": op6_token_file,
     "op8_exact_dedup": op8_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 SQL = {"op8_exact_dedup": OP8_SQL}
