@@ -14,6 +14,7 @@ from .url_filter import op2_path_templates
 from .line_dedup import op1_line_dedup
 from .near_dedup import op9_jaccard_join
 from .periodic_runs import op11_periodic_runs
+from .clustering import OP12_SQL, op12_dual_tree_lloyd
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -27,5 +28,6 @@ QUERIES = {
     "op6_token_file": op6_token_file,
     "op8_exact_dedup": op8_exact_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_dual_tree_lloyd": op12_dual_tree_lloyd,
 }
-SQL = {"op8_exact_dedup": OP8_SQL}
+SQL = {"op8_exact_dedup": OP8_SQL, "op12_dual_tree_lloyd": OP12_SQL}
