@@ -15,6 +15,7 @@ from .line_dedup import op1_line_dedup
 from .near_dedup import op9_jaccard_join
 from .periodic_runs import op11_periodic_runs
 from .clustering import OP12_SQL, op12_dual_tree_lloyd
+from .neighbours import OP13_SQL, op13_rotated_codes
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -29,5 +30,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_dual_tree_lloyd": op12_dual_tree_lloyd,
+    "op13_rotated_codes": op13_rotated_codes,
 }
-SQL = {"op8_exact_dedup": OP8_SQL, "op12_dual_tree_lloyd": OP12_SQL}
+SQL = {"op8_exact_dedup": OP8_SQL, "op12_dual_tree_lloyd": OP12_SQL, "op13_rotated_codes": OP13_SQL}

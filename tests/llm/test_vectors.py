@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomspan.llm.clustering import clustered, op12_dual_tree_lloyd, whole
+from loomspan.llm import neighbours
 from loomspan.llm.cover_tree import BASE, Centroids, Tree, nearest, squared
 
 from .conftest import SF
@@ -120,3 +121,45 @@ def test_empty_centroids_stay_and_ties_go_to_the_smaller(spark):
     found, last = clustered(vectors, starts, 4)
     assert last.tolist() == [[0, 0], [0, 0], [90, 90], [3, 0], [2, 0]]
     assert {(r.cluster, r.distance) for r in found.collect()} == {(3, 0)} and found.count() == 50
+
+
+def by_force(rows, k=20):
+    """(query, rank, id, score) by definition."""
+    good = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v) and any(v)]
+    found = []
+    for q in sorted({i for i, _ in good if i is not None and i % 20 == 0}):
+        x = min(v.tolist() for i, v in good if i == q)
+        scores = [(-round(sum(a * b for a, b in zip(x, v.tolist())), 9), i is None, i or 0) for i, v in good if i != q and len(v) == len(x)]
+        found += [(q, r, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(scores)[:k], 1)]
+    return found
+
+
+def test_neighbours_of_odd_tables(spark, tmp_path):
+    rows = [*odd_rows(), (600, [1.0, 2.0]), (601, [3.0, -1.0]), (602, [3.0, -1.0])]
+    got = neighbours.op13_rotated_codes(spark, embeddings(spark, tmp_path / "odd", rows)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == by_force(rows)
+    assert neighbours.op13_rotated_codes(spark, embeddings(spark, tmp_path / "none", [(20, None)])).count() == 0
+    few = embeddings(spark, tmp_path / "few", odd_rows()[:3])
+    assert [(r["rank"], r.vec_id) for r in neighbours.op13_rotated_codes(spark, few).orderBy("rank").collect()] == [(r, i) for _, r, i, _ in by_force(odd_rows()[:3])]
+
+
+@pytest.mark.parametrize("dim, wide", [(64, 0.0), (64, 3.0), (100, 1.0), (384, 0.5)])
+def test_recall_and_bounds(dim, wide):
+    """Recall of at least 0.99 with a fraction of the pairs reranked; nearly all errors are below the bounds."""
+    r = np.random.default_rng(dim)
+    x = r.normal(size=(20_000, dim)) + wide * r.normal(size=(12, dim))[r.integers(12, size=20_000)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids, asked, centre = np.arange(len(x)), np.arange(0, len(x), 100), x[:4096].mean(0)
+    q = neighbours.Queries(ids[asked], x[asked], centre, 20)
+    reranked = 0
+    for a in range(0, len(x), neighbours.ROWS):
+        part = slice(a, a + neighbours.ROWS)
+        reranked += q.offer(ids[part], np.zeros(len(ids[part]), dtype=bool), x[part], *neighbours.encode(x[part], centre))
+    exact = x[asked] @ x.T
+    exact[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-exact, 20, axis=1)[:, :20]
+    hits = sum(len(set(a) & set(b)) for a, b in zip(best.tolist(), q.found.tolist()))
+    assert hits >= 0.99 * 20 * len(asked) and reranked < 0.5 * len(asked) * len(x)
+    near, bound = q.estimates(slice(0, 128), *neighbours.encode(x[:5000], centre))
+    error = np.abs(near - x[asked[:128]] @ x[:5000].T)
+    assert (error <= bound).mean() > 0.999 and abs((near - x[asked[:128]] @ x[:5000].T).mean()) < 0.01
