@@ -9,6 +9,7 @@ from .config import SETTINGS, Settings
 from .functions import text as tx
 from .functions.tokens import counted_tokens
 from .operators import compress, graph, indexing, memory, present, search
+from .operators.snapshots import Store
 from .sources import embed
 
 
@@ -21,23 +22,26 @@ class ContextEngine:
     def index(self, root: str, **options) -> indexing.Indexed:
         return indexing.index(self.spark, root, self.store, embedder=self.embedder, **options)
 
-    def table(self, name: str) -> DataFrame:
-        return indexing.read(self.spark, self.store, name)
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        return indexing.read(self.spark, self.store, name, version)
 
     def ranked(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """Fused, scored, capped and expanded chunks of queries (query_id, text): (query_id, id, file_path, score, rank)."""
         s, k = self.settings, max(1, min(100, top_k or self.settings.top_k))
-        chunks = self.table("chunks").dropDuplicates(["id"])
+        db = Store(self.spark, self.store)
+        now = db.snapshot()  # one version for all tables, whatever is published meanwhile
+        chunks = db.read(now, "chunks", indexing.SCHEMAS["chunks"]).dropDuplicates(["id"])
         asked = embed.embedded(queries, "text", self.embedder).select("query_id", F.col("embedding").alias("query")).where("query is not null")
         near = search.knn(asked, chunks.select("id", "embedding", "file_path", "start_line", "end_line"), 3 * k)
         near = search.dedup_first(near, ["file_path", "start_line", "end_line"], [F.col("rank")])
-        found = search.phrase_search(queries, chunks.select("id", F.concat_ws("\n", "content", "file_path", "language", "chunk_type").alias("content")), 3 * k)
+        kept = indexing.full_text(self.spark, now)
+        found = kept.phrase_search(queries, 3 * k) if kept.folders else search.phrase_search(queries, chunks.select("id", "content"), 3 * k)
         parsed = queries.select("query_id", tx.intent(F.col("text")).alias("intent"), tx.keywords(F.col("text")).alias("words"), tx.file_hints(F.col("text")).alias("hints"))
-        fused = search.rrf(near, found, search.intent_weights(parsed, s), s).join(search.small(parsed), "query_id")
+        fused = search.rrf(near, found, search.intent_weights(parsed, s), s).join(search.small_as(parsed, queries), "query_id")
         rows = fused.join(chunks.select("id", "content", "file_path"), "id")
         rows = rows.withColumn("keyword_distance", tx.keyword_distance(F.col("words"), F.col("hints"), F.col("file_path"), F.col("content"))).withColumn("modified", F.lit(None).cast("double"))
         capped = search.capped(search.hybrid_score(rows, s), k, s.max_per_file).select("query_id", "id", "file_path", "score", "rank")
-        more = graph.expand_all(capped, self.table("edges"), self.table("nodes"), chunks.select("id", "file_path", "embedding"), asked, s)
+        more = graph.expand_all(capped, db.read(now, "edges", indexing.SCHEMAS["edges"]), db.read(now, "nodes", indexing.SCHEMAS["nodes"]), chunks.select("id", "file_path", "embedding"), asked, s)
         last = search.top(more, 1 << 20, [F.col("score").desc(), F.col("id")]).withColumn("rank", F.col("rank") + k)
         return capped.unionByName(last.select(*capped.columns))
 

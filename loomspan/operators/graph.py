@@ -71,9 +71,9 @@ def expand(ranked: DataFrame, edges: DataFrame, nodes: DataFrame, chunks: DataFr
 
 def expand_all(ranked: DataFrame, edges: DataFrame, nodes: DataFrame, vectors: DataFrame, queries: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """``expand`` with the distances of all chunks of the related files, and of no others: vectors (id, file_path, embedding), queries (query_id, query)."""
-    from .search import l2, small
+    from .search import l2, small, small_as
 
-    own = vectors.where("embedding is not null").join(small(related_to(ranked, edges, nodes, s)), "file_path").join(small(queries), "query_id")
+    own = vectors.where("embedding is not null").join(small_as(related_to(ranked, edges, nodes, s), queries), "file_path").join(small(queries), "query_id")
     return _nearest(ranked, own.select("query_id", "id", "file_path", l2(F.col("query"), F.col("embedding")).alias("distance")), s)
 
 

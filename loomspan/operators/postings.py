@@ -1,89 +1,259 @@
-"""A kept full-text index: postings and document lengths in files, by generations.
+"""A kept full-text index with positions, by generations.
 
-``build`` writes postings (bucket, term, id, tf, length) in folders by a hash of the term and sorted by it, so that a
-search reads the folders of its terms alone, and in them the row groups that hold them. ``update`` adds a
-generation with the documents that came or changed and a row without a length for those that went; what an earlier
-generation says of an id no longer counts. ``compact`` writes the live rows as one generation. Searches equal those over
-the documents themselves.
+A generation is a folder: ``postings`` (term, id, tf, length, deltas) in folders by a hash of the term and sorted by it, so that
+a search reads the folders of its terms alone, and in them the row groups that hold them; ``lengths`` (id, length); and
+``summary``, one row with the number of live documents, their total length, and the number of buckets. ``deltas`` are the places of
+a term in its document, each less the one before. ``build`` writes the first generation, ``update`` one with the documents that
+came or changed and a row without a length for those that went; what an earlier generation says of an id that a later one has
+no longer counts, which only the later, small generations are read for. ``compact`` writes the live rows as one generation.
+Searches equal those over the documents themselves.
+
+Buckets and files of a bucket grow with the text, and a bucket is dealt out by document, so that a frequent term is no task's
+own. A document's postings are made where its text is read; they are shuffled once, to their files.
+
+Phrases: documents that have all terms are found first, without positions; then each term's places meet those of the rarest
+by binary search.
 
 Cases: an id that comes twice in one batch has to be the same document; null texts have no terms but count as documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import ctypes
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .search import _few, asked_terms, postings, ranked_by_terms, small
 from ..functions.text import index_terms
+from .search import _few, asked_terms, bm25, ranked_by_terms, small, small_as, top
+from .snapshots import bucket_of
 
-BUCKETS = 64
-LENGTHS = "id bigint, length bigint, gen int"
-POSTINGS = "term string, id bigint, tf bigint, length bigint, gen int, bucket int"
+#: Bytes of text for each file of postings, and the most folders of a generation; beyond it a folder has several files.
+FILE_BYTES, MOST_BUCKETS = 32 << 20, 512
+MAX_GENERATIONS = 8
+ROW_FIELDS = "term string, tf bigint, length bigint, deltas array<int>, bucket int"
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket_number(term: str, n: int) -> int:
+    """``bucket_of`` for one term, on the driver."""
+    return ctypes.c_int64(xxhash.xxh64_intdigest(term.encode(), seed=42)).value % n
 
 
-def _generations(spark: SparkSession, store: str) -> int:
-    """How many generations the store has."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/lengths")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return len(fs.listStatus(path)) if fs.exists(path) else 0
+def positions(docs: DataFrame) -> DataFrame:
+    """(id, term, tf, length, deltas) of documents (id, content); all rows of a document come from one place, without a shuffle."""
+    words = docs.select("id", index_terms(F.col("content")).alias("words")).where("size(words) > 0")
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            length = np.diff(lists.offsets.to_numpy())
+            coded = lists.flatten().dictionary_encode()
+            code = coded.indices.to_numpy()
+            doc = np.repeat(np.arange(len(length)), length)
+            place = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
+            by = np.lexsort((code, doc))  # stable: places stay in order
+            code, doc, place = code[by], doc[by], place[by].astype(np.int32)
+            new = np.ones(len(code), dtype=bool)
+            new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+            begin = np.flatnonzero(new)
+            deltas = np.diff(place, prepend=np.int32(0)).astype(np.int32)
+            deltas[begin] = place[begin]
+            ends = np.append(begin, len(code)).astype(np.int32)
+            yield pa.record_batch(
+                [batch.column("id").take(pa.array(doc[begin])), coded.dictionary.take(pa.array(code[begin])), pa.array(np.diff(ends).astype(np.int64)), pa.array(length[doc[begin]].astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(deltas))],
+                names=["id", "term", "tf", "length", "deltas"],
+            )
+
+    return words.mapInArrow(run, f"id {kind}, term string, tf bigint, length bigint, deltas array<int>")
+
+
+def _layout(size: int) -> tuple[int, int]:
+    """Buckets, and files of each, for so many bytes of text."""
+    files = max(8, -(-size // FILE_BYTES))
+    buckets = min(files, MOST_BUCKETS)
+    return buckets, -(-files // buckets)
+
 
+def _files(rows: DataFrame, folder: str, layout: tuple[int, int]) -> None:
+    buckets, deep = layout
+    held = rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets * deep, "bucket", F.pmod(F.xxhash64("id"), F.lit(deep)))
+    held.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{folder}/postings")
 
-def _write(docs: DataFrame, gone: DataFrame | None, store: str, gen: int) -> None:
-    rows = postings(docs).withColumn("bucket", bucket_of(F.col("term")))
-    rows.select("term", "id", "tf", "length", "bucket").repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{store}/postings/gen={gen}")
-    sizes = docs.select("id", F.coalesce(F.size(index_terms(F.col("content"))), F.lit(0)).cast("bigint").alias("length"))
+
+def _summed(spark: SparkSession, folder: str, n: int, total: int, buckets: int) -> None:
+    # The summary comes last: a generation counts once it is there.
+    spark.createDataFrame([(f"{n} {total} {buckets}",)], "value string").coalesce(1).write.text(f"{folder}/summary")
+
+
+def write_generation(docs: DataFrame, gone: DataFrame | None, folder: str, earlier: Kept | None = None) -> str:
+    """Documents (id, content) that came or changed, and ids (id) that went, as a generation after ``earlier`` ones."""
+    spark, seen = docs.sparkSession, Observation()
+    length = F.coalesce(F.size(index_terms(F.col("content"))), F.lit(0)).cast("bigint")
+    sizes = docs.select("id", length.alias("length"), F.octet_length("content").alias("size"))
+    sizes = sizes.observe(seen, F.count("*").alias("n"), F.sum("length").alias("total"), F.sum("size").alias("size")).drop("size")
     if gone is not None:
         sizes = sizes.unionByName(gone.select("id", F.lit(None).cast("bigint").alias("length")))
-    # Lengths come last: a generation counts once they are there.
-    sizes.write.parquet(f"{store}/lengths/gen={gen}")
+    sizes.write.parquet(f"{folder}/lengths")
+    facts = seen.get
+    n, total = facts["n"] or 0, facts["total"] or 0
+    layout = _layout(facts["size"] or 0)
+    _files(positions(docs), folder, layout)
+    if earlier is not None and earlier.folders:
+        own = spark.read.parquet(f"{folder}/lengths").select("id")
+        was = earlier.live().join(small(own, 200_000), "id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        facts = earlier.facts()
+        n, total = n + facts[0] - was[0], total + facts[1] - was[1]
+    _summed(spark, folder, n, total, layout[0])
+    return folder
+
+
+class Kept:
+    """An index of generations, the earliest first."""
+
+    def __init__(self, spark: SparkSession, folders: list[str]):
+        self.spark, self.folders = spark, list(folders)
+        self._facts: dict[str, tuple[int, int, int]] = {}
+
+    def facts(self, folder: str | None = None) -> tuple[int, int, int]:
+        """Live documents and their total length after a generation (the last), and its buckets."""
+        if not self._facts:  # a line a generation, each in a file of its own
+            lines = self.spark.read.text([f"{f}/summary" for f in self.folders]).select(F.col("_metadata.file_path"), "value").collect()
+            for path, value in lines:
+                self._facts[path.split("/")[-3]] = tuple(map(int, value.split()))
+        return self._facts[(folder or self.folders[-1]).split("/")[-1]]
+
+    def lengths(self, first: int = 0) -> DataFrame:
+        """(id, length, gen) of the generations from ``first`` on."""
+        rows = None
+        for gen, folder in list(enumerate(self.folders))[first:]:
+            own = self.spark.read.parquet(f"{folder}/lengths").withColumn("gen", F.lit(gen))
+            rows = own if rows is None else rows.unionByName(own)
+        return rows
+
+    def live(self) -> DataFrame:
+        """(id, length, gen): the latest word on each document that is still there."""
+        last = self.lengths().groupBy("id").agg(F.max(F.struct("gen", "length")).alias("x"))
+        return last.select("id", "x.length", "x.gen").where("length is not null")
+
+    def read(self, terms: DataFrame | None = None, columns: tuple[str, ...] = ("tf", "length")) -> DataFrame:
+        """(id, term, ...) of live documents; with ``terms`` (term) only of these, from their folders."""
+        return self._read(terms, _few(terms), columns)
+
+    def _read(self, terms: DataFrame | None, some: list[str] | None, columns: tuple[str, ...]) -> DataFrame:
+        """``some``: the terms as a list, if they are few."""
+        kind = self.spark.read.parquet(f"{self.folders[0]}/lengths").schema["id"].dataType.simpleString()
+        rows = None
+        for gen, folder in enumerate(self.folders):
+            own = self.spark.read.schema(f"id {kind}, {ROW_FIELDS}").parquet(f"{folder}/postings")
+            if some is not None:
+                n = self.facts(folder)[2]
+                own = own.where(F.col("bucket").isin(sorted({bucket_number(t, n) for t in some})) & F.col("term").isin(some))
+            own = own.select("id", "term", *columns, F.lit(gen).alias("gen"))
+            rows = own if rows is None else rows.unionByName(own)
+        if some is None and terms is not None:
+            rows = rows.join(small(terms.distinct(), 200_000), "term", "left_semi")
+        if len(self.folders) > 1:
+            later = self.lengths(1).groupBy("id").agg(F.max("gen").alias("last"))
+            rows = rows.join(small(later, 200_000), "id", "left").where("last is null or last = gen").drop("last")
+        return rows.drop("gen")
+
+    def whole(self) -> DataFrame:
+        n, total, _ = self.facts()
+        return self.spark.createDataFrame([(float(n), total / n if n else None)], "n double, mean_length double")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, score, rank) as ``search.or_search`` has it."""
+        asked = asked_terms(queries)
+        return ranked_by_terms(asked, self.read(asked.select("term")), self.whole(), k)
+
+    def phrase_search(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, n_hits, score, rank) as ``search.phrase_search`` has it, from the postings of the queries' terms alone."""
+        asked = queries.select("query_id", index_terms(F.col("text")).alias("terms")).where("size(terms) > 0")
+        placed = asked.select("query_id", F.size("terms").alias("n"), F.posexplode("terms").alias("place", "term"))
+        terms = placed.select("term")
+        wide, some = small(placed, 200_000), _few(terms)
+        first = self._read(terms, some, ()).join(wide, "term").groupBy("query_id", "id", "n").agg(F.count("*").alias("met")).where("met = n").select("query_id", "id")
+        rows = self._read(terms, some, ("length", "deltas")).join(wide, "term").join(first, ["query_id", "id"], "left_semi")
+        per = rows.groupBy("query_id", "id", "length").agg(F.collect_list("place").alias("places"), F.collect_list("deltas").alias("deltas"))
+        per = per.withColumn("n_hits", in_a_row("places", "deltas")).where("n_hits > 0").select("query_id", "id", "length", "n_hits")
+        df = per.groupBy("query_id").agg(F.count(F.when(F.col("n_hits") > 0, 1)).alias("df"))
+        scored = per.join(small_as(df, queries), "query_id").join(F.broadcast(self.whole()))  # one row
+        scored = scored.withColumn("score", bm25(F.col("n_hits"), F.col("df"), F.col("length"), F.col("n"), F.col("mean_length")))
+        return top(scored.select("query_id", "id", "n_hits", "score"), k, [F.round("score", 6).desc(), F.col("id")])
+
+    def compact(self, folder: str) -> str:
+        """The live rows as one generation in another folder."""
+        n, total, _ = self.facts()
+        rows = self.read(columns=("tf", "length", "deltas"))
+        layout = _layout(total * 6)
+        _files(rows, folder, layout)
+        self.live().select("id", "length").write.parquet(f"{folder}/lengths")
+        _summed(self.spark, folder, n, total, layout[0])
+        return folder
+
+
+def starts_in_a_row(places: list[int], deltas: list[np.ndarray]) -> int:
+    """How often the terms stand in a row, by their places in the phrase and the deltas of their places in the document."""
+    lists = sorted(((np.cumsum(d), p) for p, d in zip(places, deltas)), key=lambda x: len(x[0]))
+    start = lists[0][0] - lists[0][1]
+    for own, place in lists[1:]:
+        want = start + place
+        at = np.searchsorted(own, want)
+        start = start[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] == want)]
+        if not len(start):
+            return 0
+    return int((start >= 0).sum())
+
+
+def in_a_row(places: str, deltas: str) -> Column:
+    @F.pandas_udf("bigint")
+    def run(p: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([starts_in_a_row(list(x), list(y)) for x, y in zip(p, d)], dtype="int64")
+
+    return run(places, deltas)
+
+
+def kept(spark: SparkSession, store: str) -> Kept:
+    """The index in a folder of its own, whose generations are numbered."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    done = lambda n: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/summary/_SUCCESS"))
+    return Kept(spark, [f"{store}/{n}" for n in names if n.startswith("gen-") and done(n)])
 
 
 def build(docs: DataFrame, store: str) -> None:
     """Writes the index of documents (id, content) to a new folder."""
-    _write(docs, None, store, 0)
+    write_generation(docs, None, f"{store}/gen-{0:06d}")
 
 
 def update(docs: DataFrame, gone: DataFrame, store: str) -> None:
     """Documents (id, content) that came or changed, and ids (id) that went, as a generation of their own."""
-    _write(docs, gone, store, _generations(docs.sparkSession, store))
+    earlier = kept(docs.sparkSession, store)
+    write_generation(docs, gone, f"{store}/gen-{len(earlier.folders):06d}", earlier)
 
 
 def live(spark: SparkSession, store: str) -> DataFrame:
-    """(id, length, gen): the latest word on each document that is still there."""
-    rows = spark.read.schema(LENGTHS).parquet(f"{store}/lengths")
-    last = rows.groupBy("id").agg(F.max(F.struct("gen", "length")).alias("x"))
-    return last.select("id", "x.length", "x.gen").where("length is not null")
+    return kept(spark, store).live()
 
 
 def read(spark: SparkSession, store: str, terms: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, length) of live documents; with ``terms`` (term) only of these, from their folders."""
-    known = _generations(spark, store)
-    rows = spark.read.schema(POSTINGS).option("basePath", f"{store}/postings").parquet(*(f"{store}/postings/gen={g}" for g in range(known)))
-    if (some := _few(terms)) is not None:
-        buckets = [r[0] for r in terms.distinct().select(bucket_of(F.col("term")).alias("b")).distinct().collect()]
-        rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(some))
-    elif terms is not None:
-        rows = rows.join(small(terms.distinct(), 200_000), "term", "left_semi")
-    if known > 1:
-        rows = rows.join(live(spark, store).select("id", "gen"), ["id", "gen"], "left_semi")
-    return rows.select("id", "term", "tf", "length")
+    return kept(spark, store).read(terms)
 
 
 def search(queries: DataFrame, store: str, k: int) -> DataFrame:
-    """(query_id, id, score, rank) as ``search.or_search`` has it."""
-    spark = queries.sparkSession
-    asked = asked_terms(queries)
-    whole = live(spark, store).agg(F.count("*").cast("double").alias("n"), F.avg(F.col("length").cast("double")).alias("mean_length"))
-    return ranked_by_terms(asked, read(spark, store, asked.select("term")), whole, k)
+    return kept(queries.sparkSession, store).search(queries, k)
+
+
+def phrase_search(queries: DataFrame, store: str, k: int) -> DataFrame:
+    return kept(queries.sparkSession, store).phrase_search(queries, k)
 
 
 def compact(spark: SparkSession, store: str, target: str) -> None:
-    """The live rows as one generation in another folder."""
-    rows = read(spark, store).withColumn("bucket", bucket_of(F.col("term")))
-    rows.select("term", "id", "tf", "length", "bucket").repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{target}/postings/gen=0")
-    live(spark, store).select("id", "length").write.parquet(f"{target}/lengths/gen=0")
+    kept(spark, store).compact(f"{target}/gen-{0:06d}")

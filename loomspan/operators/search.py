@@ -23,6 +23,11 @@ def small(df: DataFrame, most: int = QUERY_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def small_as(df: DataFrame, like: DataFrame, most: int = QUERY_ROWS) -> DataFrame:
+    """A broadcast hint for a table that has a few rows at most for each row of ``like``, which is cheaper to count."""
+    return F.broadcast(df) if like.limit(most + 1).count() <= most else df
+
+
 def l2(a: Column, b: Column) -> Column:
     """Euclidean distance in double, summed in array order."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
@@ -135,7 +140,7 @@ def phrase_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     per = hits.groupBy("query_id", "id", F.size("words").cast("bigint").alias("length")).agg(F.count("*").alias("n_hits"))
     # Counted by a condition on the hits, so that both uses of ``per`` share one exchange.
     df = per.groupBy("query_id").agg(F.count(F.when(F.col("n_hits") > 0, 1)).alias("df"))
-    scored = per.join(small(df), "query_id").join(F.broadcast(collection(docs)))  # one row
+    scored = per.join(small_as(df, queries), "query_id").join(F.broadcast(collection(docs)))  # one row
     scored = scored.withColumn("score", bm25(F.col("n_hits"), F.col("df"), F.col("length"), F.col("n"), F.col("mean_length")))
     return top(scored.select("query_id", "id", "n_hits", "score"), k, [F.round("score", 6).desc(), F.col("id")])
 
