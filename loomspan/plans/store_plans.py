@@ -6,12 +6,11 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from ..functions.text import index_terms
 from ..operators import indexing, postings
 from ..operators.snapshots import Store
 from ..sources import embed, scratch
 from .base import files, query, t
-from .search_plans import COLLECTION, PART
+from .search_plans import COLLECTION, PART, phrases
 
 #: The files before and after a change: some come, some go, some get another line.
 BEFORE = "doc_id % 10 <> 4"
@@ -40,7 +39,7 @@ def incremental_index(spark, sf):
     indexing.index_files(spark, rows.where(BEFORE).select(*columns), store, embedder=vectors)
     db = Store(spark, store)
     first = db.snapshot()
-    indexing.index_files(spark, _after(rows, "content").select(*columns), store, embedder=vectors, batch_files=100)
+    indexing.index_files(spark, _after(rows, "content").select(*columns), store, embedder=vectors)
     out = None
     for state, version in (("first", first), ("last", db.snapshot())):
         counts = db.read(version, "chunks", indexing.SCHEMAS["chunks"]).groupBy("file_path").agg(F.count("*").alias("n_chunks"))
@@ -65,8 +64,7 @@ WORDS = r"list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{
 def positional_phrase_search(spark, sf):
     """Phrases of three words of documents, searched in an index of three generations."""
     docs = t(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    words = index_terms(F.col("content"))
-    queries = docs.where((F.col("doc_id") % 50 == 0) & (F.size(words) >= 5)).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(words, 3, 3), " ").alias("text"))
+    queries = phrases(spark, sf)
     store, none = scratch.folder(spark, "postings"), docs.where("false").select("id")
     postings.build(docs.where(BEFORE).select("id", "content"), store)
     postings.update(docs.where("doc_id % 10 = 4").select("id", "content"), docs.where("doc_id % 10 = 3").select("id"), store)

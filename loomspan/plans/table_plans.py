@@ -280,10 +280,10 @@ def latency_percentile_pick(spark, sf):
     return lg.picked_percentiles(t(spark, sf, "events"), "value", "event_type")
 
 
-@query("insert_or_ignore", "SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY 1")
+@query("insert_or_ignore", "SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value >= 100) GROUP BY 1")
 def insert_or_ignore(spark, sf):
-    ev = t(spark, sf, "events").select("user_id", "event_id", "event_type")
-    return tables.insert_or_ignore(ev.where("event_type = 'error'"), ev.where("event_type = 'view'"), ["user_id"], F.col("event_id")).select("user_id", "event_id")
+    ev = t(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    return tables.insert_or_ignore(ev.where("event_type = 'error' and value >= 100"), ev.where("event_type = 'view'"), ["user_id"], F.col("event_id")).select("user_id", "event_id")
 
 
 @query("foreign_key_resolve", "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN o_custkey END AS o_custkey FROM orders")
