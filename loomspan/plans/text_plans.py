@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import decisions, grammar, redact, scoring, tokens
@@ -251,6 +253,36 @@ def import_extract(spark, sf):
     return chunks.imports(files(spark, sf).select("file_path", line.alias("content"), F.lit("python").alias("language")))
 
 
+JS_SOURCE = ("class C {\n  m(a) { return \"}\"; }\n}\n/* ", " */\nexport const f = x => x + 1;\nfunction g() { return '{'; }\n")
+RUST_SOURCE = ("pub struct S { x: i32 }\n/* ", " */\nimpl S {\n    fn m(&self) -> char { '}' }\n}\n")
+#: (file, type, first and last line, whether the text's lines come before, content)
+SOURCE_CHUNKS = [
+    ("js", "class", 1, 3, 0, "class C {\n  m(a) { return \"}\"; }\n}"),
+    ("js", "function", 2, 2, 0, "m(a) { return \"}\"; }"),
+    ("js", "function", 5, 5, 1, "x => x + 1"),
+    ("js", "function", 6, 6, 1, "function g() { return '{'; }"),
+    ("rs", "class", 1, 1, 0, "pub struct S { x: i32 }"),
+    ("rs", "class", 3, 5, 1, "impl S {\n    fn m(&self) -> char { '}' }\n}"),
+    ("rs", "function", 4, 4, 1, "fn m(&self) -> char { '}' }"),
+]
+
+
+@query(
+    "source_chunks",
+    ", n AS (SELECT file_path, length(content) - length(replace(content, chr(10), '')) AS n FROM files) "
+    + " UNION ALL ".join(f"SELECT file_path || '.{x}' AS file_path, '{kind}' AS chunk_type, CAST({a} + {k} * n AS INTEGER) AS start_line, CAST({b} + {k} * n AS INTEGER) AS end_line, '{hashlib.sha256(c.encode()).hexdigest()}' AS content_sha256 FROM n" for x, kind, a, b, k, c in SOURCE_CHUNKS),
+    ("files",),
+)
+def source_chunks(spark, sf):
+    """Two sources for each document, with its whole text as a comment amid definitions, as no source code is at hand."""
+    quiet = F.replace(F.replace(F.coalesce("content", F.lit("")), F.lit("*/"), F.lit("* /")), F.lit("/*"), F.lit("/ *"))
+    rows = None
+    for ending, language, (before, after) in (("js", "javascript", JS_SOURCE), ("rs", "rust", RUST_SOURCE)):
+        own = files(spark, sf).select(F.concat("file_path", F.lit(f".{ending}")).alias("file_path"), F.concat(F.lit(before), quiet, F.lit(after)).alias("content"), F.lit(language).alias("language"))
+        rows = own if rows is None else rows.unionByName(own)
+    return chunks.chunks(rows).select("file_path", "chunk_type", "start_line", "end_line", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query(
     "commit_log_parse",
     ", c AS (SELECT substr(sha256(file_path), 1, 40) AS sha, source, file_path, split_part(content, chr(10), 1) AS subject FROM files) "
