@@ -5,8 +5,6 @@ sessions, prompts and tool events are tables; nothing here keeps state of its ow
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,30 +30,35 @@ def content_key(text: Column) -> Column:
     return compressed(F.trim(body), "lite")
 
 
-def described(tool: str, raw: str) -> str:
-    """One line for a tool call."""
-    if not raw:
-        return tool
-    data = None
-    if len(raw) <= SETTINGS.input_chars:
-        try:
-            data = json.loads(raw)
-        except ValueError:
-            data = None
-    if not isinstance(data, dict):
-        return f"{tool}: {raw[:120]}"
-    for key in ("file_path", "command", "pattern", "path", "query"):
-        if data.get(key):
-            return f"{tool} {key}={data[key]!r}"
-    return f"{tool} {list(data)[:2]}"
+SHOWN_FIELDS = ("file_path", "command", "pattern", "path", "query")
 
 
-def description(tool: Column, raw: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(t: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([described(a or "", b or "") for a, b in zip(t, r)])
+def quoted(text: Column) -> Column:
+    """A text in quotes, double ones where it has single ones alone, with backslashes and line ends escaped."""
+    for plain, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(plain), F.lit(shown))
+    both = text.contains("'") & text.contains('"')
+    single = F.concat(F.lit("'"), F.when(both, F.replace(text, F.lit("'"), F.lit("\\'"))).otherwise(text), F.lit("'"))
+    return F.when(text.contains("'") & ~both, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(single)
+
 
-    return run(tool, raw)
+def _shown(raw: Column, field: str) -> Column:
+    """``field=value`` of a JSON object; null where it is missing, empty, zero or false. Lists and objects are shown as JSON."""
+    value = F.get_json_object(raw, f"$.{field}")
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), f"$.{field}", "variant"))
+    told = F.when(kind == "STRING", F.when(value != "", quoted(value))).when(kind == "BOOLEAN", F.when(value == "true", "True"))
+    told = told.otherwise(F.when(~value.rlike(r"^(?:-?0+(?:\.0+)?|\[\]|\{\})$"), value))
+    return F.concat(F.lit(f"{field}="), told)
+
+
+def description(tool: Column, raw: Column) -> Column:
+    """One line for a tool call: its name with the first telling field of its input, else the input's first two keys; with
+    the input's beginning where that is long or no JSON object."""
+    tool, raw = F.coalesce(tool, F.lit("")), F.coalesce(raw, F.lit(""))
+    keys = F.when(F.length(raw) <= SETTINGS.input_chars, F.json_object_keys(raw))
+    names = F.concat(F.lit("["), F.array_join(F.transform(F.slice(keys, 1, 2), quoted), ", "), F.lit("]"))
+    told = F.concat_ws(" ", tool, F.coalesce(*(_shown(raw, f) for f in SHOWN_FIELDS), names))
+    return F.when(raw == "", tool).when(keys.isNull(), F.concat(tool, F.lit(": "), F.substring(raw, 1, 120))).otherwise(told)
 
 
 def turn_texts(prompts: DataFrame, events: DataFrame, payloads: DataFrame) -> DataFrame:

@@ -160,3 +160,47 @@ def test_decisions_of_a_column_equal_those_of_texts(spark):
     got = frame.select("k", decisions.extracted(F.col("text")).alias("d")).collect()
     for r in got:
         assert [(x.decision, x.reason) for x in r.d] == (decisions.decisions(told[r.k]) if told[r.k] else []), told[r.k]
+
+
+def test_structured_tokens_are_those_of_the_patterns_and_linear():
+    import random
+    import time
+
+    from loomspan.functions import grammar
+
+    def claimed(text):
+        spans = []
+        for kind, pattern in grammar._STRUCTURED:
+            spans += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if m.end() > m.start() and all(m.end() <= a or b <= m.start() for a, b, _ in spans)]
+        return [(k, text[a:b]) for a, b, k in sorted(spans)]
+
+    r = random.Random(1)
+    for _ in range(5000):
+        text = "".join(r.choice(["a", "bc", "B", "1", "23", ".", "_", "-", "/", " ", "`", "é", "٣", "v", "\n", "www.", "https://", "Z", "+"]) for _ in range(r.randrange(30)))
+        assert [x for x in grammar.tokens(text) if x[0] != "prose"] == claimed(text)
+    began = time.perf_counter()
+    for text in ("a" * 100_000, "1" * 100_000, "aB" * 50_000, "ab/" * 30_000, "a." * 50_000):
+        grammar.compress(text)
+    assert time.perf_counter() - began < 10
+
+
+def test_tool_lines(spark):
+    from pyspark.sql import functions as F
+
+    from loomspan.operators.memory import description
+
+    rows = [
+        ("Read", '{"file_path": "a\'b", "x": 1}', 'Read file_path="a\'b"'),
+        ("Read", '{"file_path": "", "command": "say \\"hi\\" it\'s\\n"}', "Read command='say \"hi\" it\\'s\\n'"),
+        ("Grep", '{"pattern": 0, "path": false, "query": 5}', "Grep query=5"),
+        ("Grep", '{"pattern": null, "query": true}', "Grep query=True"),
+        ("T", '{"x": {"path": "no"}, "y": 1, "z": 2}', "T ['x', 'y']"),
+        ("T", "{}", "T []"),
+        ("T", "[1]", "T: [1]"),
+        ("T", "not json", "T: not json"),
+        ("T", '{"path": "' + "x" * 5000 + '"}', 'T: {"path": "' + "x" * 110),
+        ("T", None, "T"),
+    ]
+    df = spark.createDataFrame(rows, "tool string, raw string, want string")
+    got = df.select(description(F.col("tool"), F.col("raw")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
