@@ -6,10 +6,10 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from ..operators import indexing, postings
+from ..operators import indexing, postings, retention
 from ..operators.snapshots import Store
 from ..sources import embed, scratch
-from .base import files, query, t
+from .base import AS_OF, epoch, files, query, t
 from .search_plans import COLLECTION, PART, phrases
 
 #: The files before and after a change: some come, some go, some get another line.
@@ -70,3 +70,24 @@ def positional_phrase_search(spark, sf):
     postings.update(docs.where("doc_id % 10 = 4").select("id", "content"), docs.where("doc_id % 10 = 3").select("id"), store)
     postings.update(_after(docs, "content").where(CHANGED).select("id", "content"), none, store)
     return postings.phrase_search(queries, store, 100).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "retention_archive",
+    f"WITH r AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'turns' WHEN 'view' THEN 'decisions' ELSE 'areas' END AS kind, CAST(floor(epoch(ts)) AS BIGINT) AS created FROM events) SELECT event_id, kind, CASE WHEN created < {AS_OF} - 86400 * CASE kind WHEN 'decisions' THEN 365 ELSE 180 END THEN 'archived' ELSE 'kept' END AS place FROM r",
+)
+def retention_archive(spark, sf):
+    """Events as rows of three memory tables by months; expired ones move to the archives, and a second run changes nothing."""
+    kind = F.when(F.col("event_type") == "click", "turns").when(F.col("event_type") == "view", "decisions").otherwise("areas")
+    rows = t(spark, sf, "events").select("event_id", kind.alias("kind"), epoch("ts").alias("created"))
+    db, days, schema = Store(spark, scratch.folder(spark, "memory")), {"turns": 180, "decisions": 365, "areas": 180}, "event_id long, created long"
+    for table in days:
+        retention.add(db, table, rows.where(F.col("kind") == table).select("event_id", "created"))
+    for _ in range(2):
+        retention.prune(db, dict.fromkeys(days, schema), AS_OF, days)
+    now, out = db.snapshot(), None
+    for table in days:
+        for name, place in ((table, "kept"), (retention.archive_of(table), "archived")):
+            own = db.read(now, name, schema).select("event_id", F.lit(table).alias("kind"), F.lit(place).alias("place"))
+            out = own if out is None else out.unionByName(own)
+    return out
