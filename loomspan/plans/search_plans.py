@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, tokens
 from ..functions import text as tx
-from ..operators import graph, search
+from ..operators import graph, pivots, search
 from .base import asked, docs, edges, files, nodes, query, t, vector_queries, vectors
 from .text_plans import INTENT
 
@@ -21,6 +21,11 @@ def knn_l2_topk(spark, sf):
     return search.knn(vector_queries(spark, sf), vectors(spark, sf), 10).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query("knn_pruned", f"WITH {QV} SELECT query_id, id, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM ({NEAR}) WHERE rank < 10")
+def knn_pruned(spark, sf):
+    return pivots.knn(vector_queries(spark, sf), vectors(spark, sf), 10).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("knn_postfilter", f"WITH {QV}, n AS (SELECT * FROM ({NEAR}) WHERE rank < 30 AND label = query_label) SELECT query_id, id, round(distance, 6) AS distance, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS r FROM n) WHERE r < 10")
 def knn_postfilter(spark, sf):
     found = search.knn_postfiltered(vector_queries(spark, sf), vectors(spark, sf), 10, F.col("label") == F.col("query_label"))
