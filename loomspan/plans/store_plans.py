@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import indexing, postings, retention
 from ..operators.snapshots import Store
 from ..sources import embed, scratch
+from ..sources.files import walked_files
 from .base import AS_OF, epoch, files, query, t
 from .search_plans import COLLECTION, PART, phrases
 
@@ -91,3 +93,23 @@ def retention_archive(spark, sf):
             own = db.read(now, name, schema).select("event_id", F.lit(table).alias("kind"), F.lit(place).alias("place"))
             out = own if out is None else out.unionByName(own)
     return out
+
+
+def _written(folder: str):
+    def write(rows) -> None:
+        for r in rows:
+            path = os.path.join(folder, r["file_path"])
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(r["content"].encode())
+
+    return write
+
+
+@query("file_tree_scan", "SELECT source || '/' || doc_id || '.txt' AS file_path, sha256(coalesce(text, '')) AS content_sha256, 'plaintext' AS language FROM documents WHERE octet_length(encode(coalesce(text, ''))) <= 2097152")
+def file_tree_scan(spark, sf):
+    """The documents written as files of a shared folder, and read back by the source of file trees."""
+    folder = scratch.folder(spark, "tree").removeprefix("file:")
+    files(spark, sf).select("file_path", F.coalesce("content", F.lit("")).alias("content")).foreachPartition(_written(folder))
+    found = walked_files(spark, folder)
+    return found.select("file_path", F.sha2("content", 256).alias("content_sha256"), "language")

@@ -71,6 +71,21 @@ def project_files(spark: SparkSession, root: str, patterns=(), target: str | Non
     return rows.where(readable(F.col("content"))).select("file_path", F.col("content").cast("string").alias("content"), language(F.col("file_path")).alias("language"))
 
 
+def walked_files(spark: SparkSession, root: str, patterns=(), target: str | None = None, follow: bool = False, stream: bool = False) -> DataFrame:
+    """``project_files`` by the ``file_tree`` source: no folder with an ignored name is entered, links are followed once or not
+    at all, and with ``stream`` what changes later comes as it changes."""
+    from .tree import register
+
+    if target is not None and (target.startswith("/") or ".." in target.split("/")):
+        raise ValueError("the target has to be inside the root")
+    reader = register(spark).readStream if stream else register(spark).read
+    rows = reader.format("file_tree").option("follow", str(follow).lower()).load(root)
+    rows = rows.where(wanted(F.col("file_path"), patterns) & readable(F.col("content")))
+    if target:
+        rows = rows.where((F.col("file_path") == target) | F.col("file_path").startswith(target.rstrip("/") + "/"))
+    return rows.select("file_path", F.col("content").cast("string").alias("content"), language(F.col("file_path")).alias("language"))
+
+
 def commits(log: DataFrame) -> DataFrame:
     """(sha, short_sha, author, committed, subject, body, id, file_path, content) of log records.
 
