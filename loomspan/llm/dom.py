@@ -21,7 +21,7 @@ BLOCKS = {
     "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "select",
     "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-OUTSIDE = {"head", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "object", "embed", "canvas", "svg", "math", "button", "select", "option", "textarea", "input", "dialog", "menu", "search", "audio", "video", "map"}
+OUTSIDE = {"head", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "object", "embed", "canvas", "svg", "button", "select", "option", "textarea", "input", "dialog", "menu", "search", "audio", "video", "map"}
 REGIONS = {
     "ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice",
     "popup", "modal", "newsletter", "subscribe", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
@@ -29,19 +29,30 @@ REGIONS = {
 }
 PARTS = {"area", "bar", "block", "bottom", "box", "container", "inner", "item", "left", "list", "outer", "right", "section", "slot", "top", "widget", "wrap", "wrapper"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar"}
+#: Closing tags that reach beyond a table's cell.
+BEYOND_CELLS = {"tr", "table", "tbody", "thead", "tfoot", "body", "html", "article", "main", "section"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
-def names_region(name: str) -> bool:
-    """Whether a class or id names a region that is not the main text: as a whole, by its last word, or with words for parts of a layout.
+#: Elements of running text, whose classes and ids say nothing of regions; inline ones can only be hidden by their class.
+RUNNING = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "li", "dt", "dd", "tr", "td", "th", "caption", "figure", "figcaption", "article", "main", "body", "html"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "dt", "th", "caption", "figcaption", "legend", "summary"}
+INLINE = {"abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var"}
 
-    >>> [names_region(x) for x in ("ad", "cookie-notice", "commentList", "side-effects", "notice-of-results", "share-prices")]
-    [True, True, True, False, False, False]
+
+def names_region(name: str, strict: bool = False) -> bool:
+    """Whether a class or id names a region that is not the main text: as a whole or with words for parts of a layout, and
+    unless ``strict`` also by its last word.
+
+    >>> [names_region(x) for x in ("ad", "cookie-notice", "commentList", "tasting-menu", "side-effects", "notice-of-results", "share-prices")]
+    [True, True, True, True, False, False, False]
+    >>> [names_region(x, strict=True) for x in ("ad", "cookie-notice", "commentList", "tasting-menu")]
+    [True, True, True, False]
     """
     own = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
     if not own or "of" in own:
         return False
-    return own[-1] in REGIONS or (own[0] in REGIONS and all(w in PARTS or w in REGIONS for w in own[1:]))
+    return own[0] in REGIONS and all(w in PARTS or w in REGIONS for w in own[1:]) or (not strict and own[-1] in REGIONS)
 
 
 @dataclass
@@ -56,8 +67,11 @@ class Page:
         return tuple(zip(self.keys, self.parents))
 
 
-def _marks(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """(key, whether it is outside the main text, whether it is the main region)."""
+def _marks(tag: str, raw: str, inside: bool) -> tuple[str, bool, bool]:
+    """(key, whether it is outside the main text, whether it is the main region) of an element, which may stand inside that region.
+
+    Names count for containers alone; inside the main region, and for ids, only those that are nothing but a region's name.
+    """
     if not raw or raw.isspace():
         return tag, tag in OUTSIDE, tag in ("article", "main")
     name, outside, main = [tag], tag in OUTSIDE, tag in ("article", "main")
@@ -66,7 +80,10 @@ def _marks(tag: str, raw: str) -> tuple[str, bool, bool]:
         v = m[2] or m[3] or m[4] or ""
         if k in ("class", "id"):
             own = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", v).lower())
-            outside |= any(map(names_region, v.split()))
+            if tag in INLINE:
+                outside |= "hidden" in v.lower().split()
+            elif tag not in RUNNING:
+                outside |= any(names_region(x, inside or k == "id") for x in v.split())
             outside |= v.lower() == "header" and tag not in ("h1", "h2", "h3")
             name.append("-".join(w for w in own if not w.isdigit()))
         elif k == "role":
@@ -89,9 +106,11 @@ def parse(source: str) -> Page:
     keys.append("")
     parents.append(-1)
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, node, outside, inside the main region
+    opened: dict[str, list[int]] = {}  # places on the stack by tag, and those of block elements
+    block_at: list[int] = []
+    place = lambda *tags: max((opened[t][-1] for t in tags if opened.get(t)), default=0)
     text: list[str] = []
     linked = 0
-    anchor = 0
 
     def flush() -> None:
         nonlocal linked
@@ -105,12 +124,12 @@ def parse(source: str) -> Page:
         linked = 0
 
     def pop(k: int) -> None:
-        nonlocal anchor
-        if any(stack[j][0] in BLOCKS for j in range(k, len(stack))):
+        if block_at and block_at[-1] >= k:
             flush()
-        for j in range(k, len(stack)):
-            if stack[j][0] == "a":
-                anchor -= 1
+        for tag, *_ in reversed(stack[k:]):
+            opened[tag].pop()
+            if tag in BLOCKS:
+                block_at.pop()
         del stack[k:]
 
     at, n = 0, len(source)
@@ -122,7 +141,7 @@ def parse(source: str) -> Page:
             if "&" in piece:
                 piece = html.unescape(piece)
             text.append(piece)
-            if anchor:
+            if opened.get("a"):
                 linked += len(piece)
         if not m:
             break
@@ -132,14 +151,11 @@ def parse(source: str) -> Page:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(s[0] == "p" for s in stack):
+            k = place(tag)
+            if tag == "p" and not k:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html", "article", "main", "section"):
-                    break
+            if k and (tag in BEYOND_CELLS or k >= place("td", "th", "table")):
+                pop(k)
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
@@ -152,26 +168,18 @@ def parse(source: str) -> Page:
         if block:
             if tag in CLOSES:
                 these, stop = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in stop:
-                        break
-                    if stack[k][0] in these:
-                        pop(k)
-                        break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
+                if (k := place(*these)) > place(*stop):
                     pop(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            if block_at and stack[block_at[-1]][0] == "p":
+                pop(block_at[-1])
             flush()
         if tag in VOID:
             continue
         raw = m[3] or ""
         if raw.endswith("/"):
             raw = raw[:-1]
-        key, outside, main = _marks(tag, raw)
         _, node, was_outside, inside = stack[-1]
+        key, outside, main = _marks(tag, raw, inside)
         if tag == "header" and not inside:
             outside = True
         if block or outside:
@@ -189,8 +197,9 @@ def parse(source: str) -> Page:
                     own[key] = len(keys) - 1
                     last[node] = key
                     node = len(keys) - 1
-        if tag == "a":
-            anchor += 1
+        opened.setdefault(tag, []).append(len(stack))
+        if block:
+            block_at.append(len(stack))
         stack.append((tag, node, was_outside or outside, inside or main))
     pop(1)
     flush()

@@ -11,7 +11,8 @@ else in that node is a slot's content.
 
 The main region of a page is where the varying text of its slots gathers, each text counted once and links not, so that
 teasers that come again from page to page weigh little. ``article`` and ``main`` are hints: see ``main_nodes``. Of each
-page, text blocks are kept where they are in the region and not template. What a page itself marks as something else
+page, text blocks are kept where they are in the region and not template; template headings stay between and beside
+blocks that are kept ("Ingredients", "Method"). What a page itself marks as something else
 (menus, headers, footers, asides, forms, adverts, notices, comments) is left out by tag, role and names of class
 and id before that; see ``dom.names_region``. Alignments and regions are found once for each structure of pages.
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, dealt, host_of, pieces, staged, table, texts
-from .dom import Page, parse
+from .dom import HEADINGS, Page, parse
 
 BUCKETS = 16
 PLACED = "host string, content bigint, texts array<struct<slot: int, mark: bigint, chars: bigint>>"
@@ -221,8 +222,14 @@ class Wrapper:
 
     def text(self, page: Page) -> str:
         found, inside, marked = self.places(page.structure())
-        fresh = [b for b in page.blocks if (found.get(b[0], -1), mark(b[1])) not in self.fixed]
-        return joined(fresh, page, inside, marked)
+        fresh = [(found.get(b[0], -1), mark(b[1])) not in self.fixed for b in page.blocks]
+        varying = [i for i, b in enumerate(page.blocks) if fresh[i] and b[0] in inside]
+        if varying:  # a heading that comes again from page to page, amid the article's own texts and beside some, is the article's
+            homes = {page.parents[page.blocks[i][0]] for i in varying}
+            for i in range(varying[0] + 1, varying[-1]):
+                node = page.blocks[i][0]
+                fresh[i] |= node in inside and page.parents[node] in homes and page.keys[node].split(".")[0] in HEADINGS
+        return joined([b for b, own in zip(page.blocks, fresh) if own], page, inside, marked)
 
 
 def joined(blocks: list[tuple[int, str, bool, int]], page: Page, inside: frozenset[int], marked: bool) -> str:

@@ -385,3 +385,24 @@ def test_templates_purities_and_verdicts_equal_a_plain_tree(spark):
     more = {x.page_id: x for x in url_filter.judge(rows, labels=labels).collect()}
     joined = [x for x in more.values() if x.host == "c.net" and x.template.startswith("/(blog|shop)")]
     assert joined and all(x.verdict == "block" for x in joined if x.template == "/(blog|shop)/news")
+
+
+def test_names_and_headings_of_an_article_stay(spark):
+    """What is named like a region but is running text stays, as do headings that come again between an article's own texts."""
+    article = '<nav class="nav">Home</nav><article><h1>Title {0}</h1><h2 id="market-share">Share {0}</h2><h2 id="the-cookie-notice">Notice {0}</h2><h2 id="comments">Comments {0}</h2><p class="first-comment">First {0}</p><section class="tasting-menu">Menu {0}</section><p>Sum <math><mi>x{0}</mi></math> ends</p><div class="ad">Buy</div><div id="comments">Reader</div></article>'
+    recipe = "<body><nav>Home</nav><main><h1>Dish {0}</h1><p>Intro {0}</p><h2>Ingredients</h2><p>Flour {0}</p><div><p>Subscribe now</p></div><h2>Method</h2><p>Bake {0}</p></main><footer>End</footer></body>"
+    rows = [(i, "http://a.org/x", article.format(i)) for i in range(6)] + [(10 + i, "http://b.org/x", recipe.format(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"Title {i}\nShare {i}\nNotice {i}\nComments {i}\nFirst {i}\nMenu {i}\nSum x{i} ends" for i in range(6)]
+    assert [got[10 + i] for i in range(6)] == [f"Dish {i}\nIntro {i}\nIngredients\nFlour {i}\nMethod\nBake {i}" for i in range(6)]
+
+
+def test_parsing_takes_linear_time():
+    import time
+
+    from loomspan.llm import dom
+
+    for source in ("<p>" + "<b>" * 20_000 + "x" + "</i>" * 20_000, "<i><td>" + "<b>" * 20_000 + "</i>" * 20_000, "<ul>" + "<b>" * 20_000 + "<dt>" * 20_000):
+        began = time.perf_counter()
+        dom.parse(source)
+        assert time.perf_counter() - began < 5
