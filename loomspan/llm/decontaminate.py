@@ -37,6 +37,7 @@ from .shingles import Words, shingle_hashes, shingle_sets, words
 #: end, 99.9 % lie within 16 bits (94.5 % within 12), of others all. With 17 blocks of 3 or 4 bits the index selects little.
 RADIUS = 16
 BLOCK_BYTES = 16 << 20
+TILE = 1 << 18
 FILTER_BITS = 22
 MATCH = "doc_id bigint, __rid bigint, item_id bigint, start_word bigint, n_words int, hamming int, similarity double, n_windows int"
 
@@ -65,21 +66,23 @@ class HammingIndex:
             self.blocks.append({int(v): np.flatnonzero(value == v) for v in np.unique(value)})
 
     def find(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, stored, distance) of all pairs within the radius, each once."""
-        pairs = []
+        """(query, stored, distance) of all pairs within the radius, each once. Pairs that agree in a block are compared in
+        tiles of ``TILE``, so memory grows with the pairs that are found, not with those that are compared."""
+        found = [np.zeros(0, dtype=np.int64)]
         for (shift, mask), block in zip(self.cuts, self.blocks):
             value = (queries >> shift) & mask
             for v, stored in block.items():
                 rows = np.flatnonzero(value == np.uint64(v))
-                if len(rows):
-                    pairs.append(np.repeat(rows, len(stored)) * len(self.prints) + np.tile(stored, len(rows)))
-        if not pairs:
-            none = np.zeros(0, dtype=np.int64)
-            return none, none, none
-        q, s = np.divmod(np.unique(np.concatenate(pairs)), len(self.prints))
-        distance = np.bitwise_count(queries[q] ^ self.prints[s]).astype(np.int64)
-        near = distance <= self.radius
-        return q[near], s[near], distance[near]
+                for c in range(0, len(stored), TILE):
+                    own = stored[c : c + TILE]
+                    step = max(1, TILE // len(own))
+                    for a in range(0, len(rows), step):
+                        part = rows[a : a + step]
+                        i, j = np.nonzero(np.bitwise_count(queries[part, None] ^ self.prints[own][None, :]) <= self.radius)
+                        if len(i):
+                            found.append(part[i] * len(self.prints) + own[j])
+        q, s = np.divmod(np.unique(np.concatenate(found)), max(len(self.prints), 1))
+        return q, s, np.bitwise_count(queries[q] ^ self.prints[s]).astype(np.int64)
 
 
 @dataclass

@@ -262,3 +262,23 @@ def test_radius_keeps_similar_windows():
     share = lambda v, d: np.mean(np.array(v) <= d)
     assert share(far[True], decontaminate.RADIUS) > 0.99 and share(far[False], decontaminate.RADIUS) > 0.995
     assert share(far[True], 12) < 0.97
+
+
+def test_hamming_search_is_whole_and_bounded():
+    """All pairs within the radius, by definition; memory does not grow with the pairs that are compared."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    stored, asked = r.integers(0, 1 << 63, 20_000, dtype=np.uint64), r.integers(0, 1 << 63, 8_000, dtype=np.uint64)
+    asked[:50] = stored[:50] ^ np.uint64(0b1011)
+    asked[50:60], stored[100:110] = asked[50], stored[100]
+    index = decontaminate.HammingIndex(stored)
+    tracemalloc.start()
+    q, s, distance = index.find(asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    some = np.bitwise_count(asked[:400, None] ^ stored[None, :])
+    want = {(int(a), int(b), int(some[a, b])) for a, b in zip(*np.nonzero(some <= decontaminate.RADIUS))}
+    assert {x for x in zip(q.tolist(), s.tolist(), distance.tolist()) if x[0] < 400} == want
+    assert [len(x) for x in decontaminate.HammingIndex(stored[:0]).find(asked)] == [0, 0, 0]
