@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .snapshots import Snapshot, Store
+from .snapshots import Conflict, Snapshot, Store
 
 #: Rows without a time are in a month of their own and never expire.
 NO_MONTH = -1
@@ -32,9 +32,16 @@ def _month(seconds: int) -> int:
     return at.year * 12 + at.month - 1
 
 
-def add(db: Store, table: str, rows: DataFrame) -> Snapshot:
-    """Appends rows with a column ``created`` to a table."""
-    return db.publish(db.snapshot(), append={table: db.write(table, rows, month_of(F.col("created")))})
+def add(db: Store, table: str, rows: DataFrame, tries: int = 5) -> Snapshot:
+    """Appends rows with a column ``created`` to a table; another writer's version in between is no hindrance."""
+    parts = db.write(table, rows, month_of(F.col("created")))
+    for k in range(tries):
+        try:
+            return db.publish(db.snapshot(), append={table: parts})
+        except Conflict:
+            if k == tries - 1:
+                raise
+    raise ValueError("tries has to be positive")
 
 
 def archive_of(table: str) -> str:
