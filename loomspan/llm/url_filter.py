@@ -1,8 +1,10 @@
 """URL filter by a path-template tree with labelled purity.
 
 1. Each host has a tree of paths. Inside a segment, runs of digits and long hexadecimal ids become wildcards;
-   then, level by level from the root, a node with more than ``MAX_KIDS`` different kids has one wildcard kid.
-   What comes below ``DEPTH`` segments is one open tail.
+   then, level by level from the root, a node with more than ``MAX_KIDS`` different kids has one wildcard kid for all that do not
+   differ: of its labelled kids, those with a share of allowed urls above the node's or below it, whichever are more, are the
+   usual ones, and a kid that the test of 3. tells apart from these together keeps its name, whatever the number of kids. What
+   comes below ``DEPTH`` segments is one open tail.
 2. Labels: urls that a rule decides are labelled by its verdict; other labels may be given.
 3. Branches: at each level the labelled kids of a node are put in order of their share of allowed urls, counted over
    all that is below them; one after the other joins the branch before it, unless a two-proportion z test of
@@ -72,6 +74,18 @@ def branches(kids: DataFrame) -> DataFrame:
     return each.select("host", "template", F.explode("names").alias("kid"), F.concat(F.lit("("), F.concat_ws("|", "names"), F.lit(")")).alias("branch"))
 
 
+def wildcards(kids: DataFrame, max_kids: int) -> DataFrame:
+    """(host, template, kid, named): the kids of nodes with more than ``max_kids``, by their own name or as ``*``."""
+    node = ["host", "template"]
+    crowded = kids.groupBy(*node).agg(F.count("*").alias("kids"), F.sum("allowed").alias("all_allowed"), F.sum("labelled").alias("all_labelled")).where(F.col("kids") > max_kids)
+    own = kids.join(crowded.drop("kids"), node)
+    above = F.col("allowed") * F.col("all_labelled") >= F.col("all_allowed") * F.col("labelled")
+    sides = own.where("labelled > 0").groupBy(*node, above.alias("above")).agg(F.count("*").alias("n"), F.sum("allowed").alias("allowed"), F.sum("labelled").alias("labelled"))
+    usual = sides.groupBy(*node).agg(F.max_by(F.struct("allowed", "labelled"), F.struct("n", "above")).alias("usual"))
+    differs = F.when(F.col("labelled") > 0, apart(F.struct("allowed", "labelled"), F.col("usual")))
+    return own.join(usual, node, "left").select(*node, "kid", F.when(F.coalesce(differs, F.lit(False)), F.col("kid")).otherwise("*").alias("named"))
+
+
 def templates(shapes: DataFrame, max_kids: int = MAX_KIDS) -> DataFrame:
     """Adds ``template`` to (host, shape, n, allowed, labelled): the shape with wildcards for crowded levels and joined branches."""
     levels = shapes.agg(F.coalesce(F.max(F.size("shape")), F.lit(0))).first()[0]
@@ -79,11 +93,12 @@ def templates(shapes: DataFrame, max_kids: int = MAX_KIDS) -> DataFrame:
     for d in range(1, levels + 1):
         out = out.withColumn("kid", F.get("shape", F.lit(d - 1)))
         kids = out.where("kid is not null").groupBy("host", "template", "kid").agg(F.sum("allowed").alias("allowed"), F.sum("labelled").alias("labelled"))
-        crowded = kids.groupBy("host", "template").agg(F.count("*").alias("kids")).where(F.col("kids") > max_kids).select("host", "template", F.lit(True).alias("crowded"))
-        joined = branches(kids.join(crowded, ["host", "template"], "left_anti"))
-        out = out.join(crowded, ["host", "template"], "left").join(joined, ["host", "template", "kid"], "left")
-        named = F.when(F.col("crowded"), F.lit("*")).otherwise(F.coalesce("branch", "kid"))
-        out = out.withColumn("template", F.when(F.col("kid").isNull(), F.col("template")).otherwise(F.concat("template", F.array(named)))).drop("kid", "crowded", "branch")
+        crowded = wildcards(kids, max_kids)
+        joined = branches(kids.join(crowded.select("host", "template").distinct(), ["host", "template"], "left_anti"))
+        names = crowded.unionByName(joined.withColumnRenamed("branch", "named"))
+        out = out.join(names, ["host", "template", "kid"], "left")
+        named = F.coalesce("named", "kid")
+        out = out.withColumn("template", F.when(F.col("kid").isNull(), F.col("template")).otherwise(F.concat("template", F.array(named)))).drop("kid", "named")
         out = staged(out, "templates")
     return out
 

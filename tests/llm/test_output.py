@@ -406,3 +406,16 @@ def test_parsing_takes_linear_time():
         began = time.perf_counter()
         dom.parse(source)
         assert time.perf_counter() - began < 5
+
+
+def test_the_number_of_kids_does_not_turn_a_verdict(spark):
+    """A kid with only blocked labels is rejected among 20 kids and among 21, and kids that do not differ are one wildcard."""
+    for n in (19, 20, 40):
+        names = [f"s{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)]
+        labels = spark.createDataFrame([("h.net", ["bad"], 0, 1000), *(("h.net", [x], 50, 50) for x in names)], "host string, shape array<string>, allowed long, labelled long")
+        rows = [(i, f"http://h.net/{x}") for i, x in enumerate(["bad", *names, "new"])]
+        got = {r.page_id: (r.template, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels=labels).collect()}
+        assert got[0] == ("/bad", "block")
+        assert all(got[i][1] == "allow" for i in range(1, n + 1))
+        if n >= 20:
+            assert {got[i][0] for i in range(1, n + 2)} == {"/*"}  # one without labels too
