@@ -80,9 +80,15 @@ def precision_recall(results: DataFrame, expected: DataFrame, queries: DataFrame
 
 def recall_at_k(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Per query: recall@k, precision@k and reciprocal rank; all 1 if nothing is relevant and nothing returned."""
-    mark = relevant.select("query_id", "id").distinct().withColumn("good", F.lit(1))
-    hits = ranked.where(F.col("rank") < k).join(mark, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("shown"), F.sum(F.coalesce("good", F.lit(0))).alias("hit"), F.min(F.when(F.col("good") == 1, F.col("rank") + 1)).alias("first"))
-    want = mark.groupBy("query_id").agg(F.count("*").alias("want"))
+    mark = relevant.select("query_id", "id").distinct().withColumn("good", F.lit(True))
+    marked = ranked.join(mark, ["query_id", "id"], "left").select("query_id", "rank", "good")
+    return recall_of_marked(marked, mark.groupBy("query_id").agg(F.count("*").alias("want")), queries, k)
+
+
+def recall_of_marked(marked: DataFrame, want: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``recall_at_k`` of results that are marked already (query_id, rank, good), and how many are relevant to a query (query_id, want)."""
+    good = F.coalesce("good", F.lit(False))
+    hits = marked.where(F.col("rank") < k).groupBy("query_id").agg(F.count("*").alias("shown"), F.sum(good.cast("int")).alias("hit"), F.min(F.when(good, F.col("rank") + 1)).alias("first"))
     own = queries.select("query_id").join(hits, "query_id", "left").join(want, "query_id", "left").na.fill(0, ["shown", "hit", "want"])
     off = (F.col("want") == 0) & (F.col("shown") == 0)
     ratio = lambda a, b: F.when(off, 1.0).when(F.col(b) > 0, F.col(a) / F.greatest(b, F.lit(1))).otherwise(0.0)
