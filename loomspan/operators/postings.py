@@ -11,8 +11,7 @@ Searches equal those over the documents themselves.
 Buckets and files of a bucket grow with the text, and a bucket is dealt out by document, so that a frequent term is no task's
 own. A document's postings are made where its text is read; they are shuffled once, to their files.
 
-Phrases: documents that have all terms are found first, without positions; then each term's places meet those of the rarest
-by binary search.
+Phrases: the terms asked for are put in their places again, document by document, and all phrases are looked for at once (``phrases.py``).
 
 Cases: an id that comes twice in one batch has to be the same document; null texts have no terms but count as documents.
 """
@@ -23,14 +22,14 @@ import ctypes
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import index_terms
-from .search import _few, asked_terms, bm25, ranked_by_terms, small, small_as, top
+from . import phrases
+from .search import _few, asked_terms, ranked_by_phrases, ranked_by_terms, small
 from .snapshots import bucket_of
 
 #: Bytes of text for each file of postings, and the most folders of a generation; beyond it a folder has several files.
@@ -174,18 +173,10 @@ class Kept:
 
     def phrase_search(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, id, n_hits, score, rank) as ``search.phrase_search`` has it, from the postings of the queries' terms alone."""
-        asked = queries.select("query_id", index_terms(F.col("text")).alias("terms")).where("size(terms) > 0")
-        placed = asked.select("query_id", F.size("terms").alias("n"), F.posexplode("terms").alias("place", "term"))
-        terms = placed.select("term")
-        wide, some = small(placed, 200_000), _few(terms)
-        first = self._read(terms, some, ()).join(wide, "term").groupBy("query_id", "id", "n").agg(F.count("*").alias("met")).where("met = n").select("query_id", "id")
-        rows = self._read(terms, some, ("length", "deltas")).join(wide, "term").join(first, ["query_id", "id"], "left_semi")
-        per = rows.groupBy("query_id", "id", "length").agg(F.collect_list("place").alias("places"), F.collect_list("deltas").alias("deltas"))
-        per = per.withColumn("n_hits", in_a_row("places", "deltas")).where("n_hits > 0").select("query_id", "id", "length", "n_hits")
-        df = per.groupBy("query_id").agg(F.count(F.when(F.col("n_hits") > 0, 1)).alias("df"))
-        scored = per.join(small_as(df, queries), "query_id").join(F.broadcast(self.whole()))  # one row
-        scored = scored.withColumn("score", bm25(F.col("n_hits"), F.col("df"), F.col("length"), F.col("n"), F.col("mean_length")))
-        return top(scored.select("query_id", "id", "n_hits", "score"), k, [F.round("score", 6).desc(), F.col("id")])
+        asked = phrases.asked_phrases(queries)
+        terms = asked.select(F.explode(F.split("phrase", " ")).alias("term"))
+        rows = self._read(terms, _few(terms), ("length", "deltas"))
+        return ranked_by_phrases(asked, phrases.in_places(rows, asked), self.whole(), k)
 
     def compact(self, folder: str) -> str:
         """The live rows as one generation in another folder."""
@@ -198,27 +189,6 @@ class Kept:
         return folder
 
 
-def starts_in_a_row(places: list[int], deltas: list[np.ndarray]) -> int:
-    """How often the terms stand in a row, by their places in the phrase and the deltas of their places in the document."""
-    lists = sorted(((np.cumsum(d), p) for p, d in zip(places, deltas)), key=lambda x: len(x[0]))
-    start = lists[0][0] - lists[0][1]
-    for own, place in lists[1:]:
-        want = start + place
-        at = np.searchsorted(own, want)
-        start = start[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] == want)]
-        if not len(start):
-            return 0
-    return int((start >= 0).sum())
-
-
-def in_a_row(places: str, deltas: str) -> Column:
-    @F.pandas_udf("bigint")
-    def run(p: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([starts_in_a_row(list(x), list(y)) for x, y in zip(p, d)], dtype="int64")
-
-    return run(places, deltas)
-
-
 def kept(spark: SparkSession, store: str) -> Kept:
     """The index in a folder of its own, whose generations are numbered."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
