@@ -46,3 +46,11 @@ def test_scores_of_phrases_are_rounded_to_nine_digits_before_six(spark):
     found = spark.createDataFrame([("a b", i, 7 + i, 1) for i in range(400)], "phrase string, id long, length long, n_hits long")
     whole, asked = spark.createDataFrame([(10_000.0, 300.0)], "n double, mean_length double"), spark.createDataFrame([(1, "a b")], "query_id long, phrase string")
     assert all(r.score == round(r.score, 9) for r in search.ranked_by_phrases(asked, found, whole, 400).collect())
+
+
+def test_postings_are_counted_without_a_shuffle_of_terms(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, ""), (4, "c")], "id long, content string")
+    rows = lambda df: sorted((r.id, r.term, r.tf, r.length) for r in df.collect())
+    assert rows(search.postings(docs)) == [(1, "a", 1, 3), (1, "b", 2, 3), (4, "c", 1, 1)]
+    assert "Exchange" not in search.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert rows(search.postings(docs.unionByName(docs))) == [(1, "a", 2, 3), (1, "b", 4, 3), (4, "c", 2, 1)]
