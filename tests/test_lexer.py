@@ -220,3 +220,9 @@ def test_python_by_tree_and_by_indentation():
     assert [(r[2], r[4], r[5], r[1][:9]) for r in chunks.cut(source + "x = (\n", "a.py", "python")] == whole
     text = "import a, b.c as d\nfrom . import x, y\nfrom .z import q\nfrom m.n import (p,\n q)\nfrom k import *\n"
     assert chunks.import_names(text, "python") == chunks.import_names(text + "def (:\n", "python") == ["a", "b", "x", "y", "z", "m", "k"]
+
+
+def test_python_names_after_dots_in_broken_sources():
+    from loomspan.operators.chunks import import_names
+
+    assert import_names("import ...and.more, .x\nfrom web.base import x\n", "python") == ["and", "x", "web"]
