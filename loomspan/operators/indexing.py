@@ -2,7 +2,7 @@
 
 The store (``snapshots.Store``) has the tables chunks, nodes, edges and manifest in buckets by a hash of the file's path, an
 embedding cache, and the full-text index of the chunks by generations (``postings.Kept``). A run compares hashes, then takes
-the touched buckets in batches of about ``batch_files`` files: the files are cut and embedded, the batch's buckets are
+the touched buckets in a few batches: the files are cut and embedded, the batch's buckets are
 written anew, and one version of the log publishes all tables together, manifest included. So the manifest is the checkpoint: a run
 that dies between batches is simply repeated and goes on with the files that are left, and readers see whole versions only. Of two
 writers at once one fails with ``snapshots.Conflict``, and its run is repeated.
@@ -34,6 +34,8 @@ SCHEMAS = {"chunks": CHUNKS, "nodes": "id string, node_type string, name string,
 #: Bytes of text a bucket, and the most buckets; files of a batch.
 BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 4096
 BATCH_FILES = 2_000
+#: A batch has costs of its own, and reads what the store has in small: so a run has few, however many files it is for.
+MOST_BATCHES = 2
 #: So many parts of the cache are read side by side before they are put together.
 CACHE_PARTS = 32
 
@@ -101,10 +103,11 @@ def _source_file(source_id):
     return F.regexp_replace(source_id, "^file_", "")
 
 
-def index_files(spark: SparkSession, own: DataFrame, store: str, target: str | None = None, full: bool = False, embedder=embed.hashed_vectors, salt: str = "hash:words", batch_files: int = BATCH_FILES) -> Indexed:
+def index_files(spark: SparkSession, own: DataFrame, store: str, target: str | None = None, full: bool = False, embedder=embed.hashed_vectors, salt: str = "hash:words", batch_files: int | None = None) -> Indexed:
     """Brings the store up to date with files (file_path, content, language), one row a path.
 
-    ``target``: only this file or subtree is compared. ``full``: every file counts as changed.
+    ``target``: only this file or subtree is compared. ``full``: every file counts as changed. ``batch_files``: files of a batch; by
+    default ``BATCH_FILES``, or as many more as leave ``MOST_BATCHES`` batches.
     """
     db = Store(spark, store)
     now = db.snapshot()
@@ -129,7 +132,7 @@ def index_files(spark: SparkSession, own: DataFrame, store: str, target: str | N
             if r["status"] != "unchanged":
                 todo[r["bucket"]] = todo.get(r["bucket"], 0) + r["count"]
         made = hits = 0
-        plan = _batches(todo, batch_files)
+        plan = _batches(todo, batch_files or max(BATCH_FILES, -(-sum(todo.values()) // MOST_BATCHES)))
         for buckets in plan:
             now, n_chunks, n_hits = _batch(db, now, own, diff, buckets, n, dimension, embedder, salt, held)
             made, hits = made + n_chunks, hits + n_hits

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,14 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 384
+#: Tasks a core in which texts are embedded.
+PARTS_A_CORE = 4
+
+
+@lru_cache(maxsize=50_000)
+def _word(word: str, dimensions: int) -> np.ndarray:
+    raw = np.frombuffer(hashlib.sha256(word.encode()).digest(), dtype=np.uint8)
+    return np.resize(raw, dimensions) / 255.0 - 0.5
 
 
 def hashed_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     out = np.zeros((len(texts), dimensions), dtype=np.float32)
     for k, text in enumerate(texts):
         for word in text.lower().split():
-            raw = np.frombuffer(hashlib.sha256(word.encode()).digest(), dtype=np.uint8)
-            out[k] += np.resize(raw, dimensions) / 255.0 - 0.5
+            out[k] += _word(word, dimensions)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 
@@ -64,5 +72,8 @@ def cached(rows: DataFrame, cache: DataFrame, text: str, salt: str, embed: Calla
     """Rows with content_hash, embedding and ``hit``; only texts that the cache lacks are embedded."""
     own = rows.withColumn("content_hash", F.sha2(F.concat(F.lit(f"{salt}:"), F.col(text)), 256))
     known = own.join(cache.select("content_hash", F.col("embedding").alias("known")), "content_hash", "left")
-    fresh = embedded(known.where("known is null").select("content_hash", text).distinct(), text, embed).select("content_hash", F.col("embedding").alias("fresh"))
+    # A given number of parts, since embedding takes long for few bytes, which Spark would put together in few tasks.
+    parts = PARTS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    lacking = known.where("known is null").select("content_hash", text).repartition(parts, "content_hash").dropDuplicates(["content_hash"])
+    fresh = embedded(lacking, text, embed).select("content_hash", F.col("embedding").alias("fresh"))
     return known.join(fresh, "content_hash", "left").withColumn("hit", F.col("known").isNotNull()).withColumn("embedding", F.coalesce("known", "fresh")).drop("known", "fresh")

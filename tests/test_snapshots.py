@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import indexing, postings
 from loomspan.operators.snapshots import Conflict, Snapshot, Store, bucket_of
+from loomspan.sources import embed
 
 SCHEMA = "k int, v string"
 
@@ -158,3 +159,13 @@ def test_edges_into_changed_files_go_wherever_they_start(spark, tmp_path):
     assert run(spark, files, store, full=True).changed == 8 and indexing.read(spark, store, "edges").count() == 8
     assert run(spark, {"f0.py": files["f0.py"] + "# 2\n"}, store, target="f0.py").deleted == 0
     assert indexing.read(spark, store, "manifest").count() == 8
+
+
+def test_batches_of_a_run_are_few_and_embedding_is_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(indexing, "BATCH_FILES", 3)
+    files = {f"d/f{i}.py": f"def f{i}(a):\n    return a\n" for i in range(40)}
+    assert run(spark, files, str(tmp_path / "s")).batches <= indexing.MOST_BATCHES
+    rows = spark.createDataFrame([(f"text {i}",) for i in range(64)], "content string")
+    cache = spark.createDataFrame([], "content_hash string, embedding array<float>")
+    out = embed.cached(rows, cache, "content", "s", tiny)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 64
