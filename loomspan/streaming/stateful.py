@@ -1,8 +1,9 @@
 """Streams with state of their own: prompts numbered with their turns queued, and a work queue with retries.
 
-Both are ``StatefulProcessor``s for ``transformWithStateInPandas``: named state variables for each key in RocksDB, timers in event
-time, and results in append mode. State, timers and source offsets are committed together for a micro-batch, so a
-batch that is run again after a failure gives the same rows and the same state. Needs the RocksDB state store (``prepared``).
+Both keep their state by ``applyInPandasWithState`` for groups of many keys, since a call of Python costs more than what is done for a key: the state of a
+group comes to Python and goes back with the group's rows, with one timeout in event time a group, and results in append mode. Which items of the queue are
+known is kept by Spark's own ``dropDuplicates``. State, timeouts and source offsets are committed together for a micro-batch, so a
+batch that is run again after a failure gives the same rows and the same state. ``prepared`` puts the state into RocksDB.
 
 Event time is the only clock: what is due is what the watermark has passed, so results do not depend on when a stream runs. Rows
 later than the watermark are dropped by Spark before they get here.
@@ -11,70 +12,84 @@ later than the watermark are dropped by Spark before they get here.
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Groups that sessions and items are dealt into. A group's state is read and written whole when one of its keys has a row or is due, so
+#: many millions of sessions or waiting items want more. Part of the state: a stream that goes on needs the number that it started with.
+GROUPS = 1024
+NONE = (1 << 63) - 1  # stands for null, so that whole numbers stay whole in pandas
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     return spark
 
 
-def millis(ts) -> int:
-    return int(pd.Timestamp(ts).tz_localize(None).timestamp() * 1000)
-
-
-class _Prompts(StatefulProcessor):
-    """State of a session: the greatest prompt number, the numbers that there are, and the turns queued up to."""
-
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "number long, queued long, ts long")
-        self.known = handle.getMapState("known", "number long", "event_id long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["ts", "event_id"])  # one session's prompts of one micro-batch
-        number, queued, seen = self.last.get() if self.last.exists() else (0, 0, 0)
-        out = []
-        for event, ts, given in zip(own["event_id"], own["ts"], own["number"]):
-            n = number + 1 if pd.isna(given) else int(given)
-            if not self.known.containsKey((n,)):
-                self.known.updateValue((n,), (int(event),))
-                out.append((key[0], "prompt", n, int(event)))
-            if n - 1 > queued:  # the turn before is over
-                out += [(key[0], "turn", k, None) for k in range(queued + 1, n)]
-                queued = n - 1
-            number, seen = max(number, n), max(seen, millis(ts))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.last.update((number, queued, seen))
-        self.handle.registerTimer(seen + self.idle_ms)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        number, queued, seen = self.last.get()
-        self.last.update((number, number, seen))
-        yield self._frame([(key[0], "turn", k, None) for k in range(queued + 1, number + 1)])
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["session_id", "kind", "number", "event_id"])
-        return out.astype({"number": "int64", "event_id": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def prompts(events: DataFrame, idle: dt.timedelta = dt.timedelta(minutes=30)) -> DataFrame:
+def _whole(number: Column) -> Column:
+    return F.coalesce(number.cast("bigint"), F.lit(NONE))
+
+
+def _added(known: list[list[int]], n: int) -> bool:
+    """Puts n into sorted, disjoint ranges [first, last]; False if it is there."""
+    i = bisect_right(known, [n, n])  # ranges before i start at n or earlier
+    if i and known[i - 1][1] >= n or i < len(known) and known[i][0] == n:
+        return False
+    before, after = i > 0 and known[i - 1][1] == n - 1, i < len(known) and known[i][0] == n + 1
+    if before and after:
+        known[i - 1][1] = known.pop(i)[1]
+    elif before:
+        known[i - 1][1] = n
+    elif after:
+        known[i][0] = n
+    else:
+        known.insert(i, [n, n])
+    return True
+
+
+def _prompted(idle_ms: int):
+    """State of a session: the greatest prompt number, the turns queued up to, its last prompt's time and the ranges of the numbers that there are."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now, out = state.getCurrentWatermarkMs(), []
+        sessions = {own: (number, queued, seen, known) for own, number, queued, seen, known in (state.get[0] if state.exists else [])}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["session_id", "at", "event"])  # a group's prompts of one micro-batch
+            for session, own in groupby(zip(rows["session_id"], rows["at"], rows["event"], rows["number"]), key=lambda x: x[0]):
+                number, queued, seen, known = sessions.get(session, (0, 0, 0, []))
+                known = [list(x) for x in known]
+                for _, at, event, given in own:
+                    n = number + 1 if pd.isna(given) else int(given)
+                    if _added(known, n):
+                        out.append((session, "prompt", n, None if event == NONE else event))
+                    if n - 1 > queued:  # the turn before is over
+                        out += [(session, "turn", k, None) for k in range(queued + 1, n)]
+                        queued = n - 1
+                    number, seen = max(number, n), seen if at == NONE else max(seen, at // 1000)
+                sessions[session] = number, queued, seen, known
+        ends = []
+        for session, (number, queued, seen, known) in sessions.items():
+            if queued < number and seen + idle_ms <= now:
+                out += [(session, "turn", k, None) for k in range(queued + 1, number + 1)]
+                sessions[session] = number, number, seen, known
+            elif queued < number:
+                ends.append(seen + idle_ms)
+        state.update(([(session, *own) for session, own in sessions.items()],))
+        if ends:
+            state.setTimeoutTimestamp(min(ends))
+        yield pd.DataFrame(out, columns=["session_id", "kind", "number", "event_id"], dtype=object)  # numbers beside nulls stay whole
+
+    return run
+
+
+def prompts(events: DataFrame, idle: dt.timedelta = dt.timedelta(minutes=30), groups: int = GROUPS) -> DataFrame:
     """(session_id, kind, number, event_id): prompts with their numbers, and each turn once when it is over.
 
     events: session_id, event_id, ts with a watermark, number (null: the next one). A number that is there already gives no
@@ -82,7 +97,10 @@ def prompts(events: DataFrame, idle: dt.timedelta = dt.timedelta(minutes=30)) ->
     Events without a session are refused. Prompts of a session are taken by time within a micro-batch, and micro-batches as they come.
     """
     kind = events.schema["session_id"].dataType.simpleString()
-    return events.where("session_id is not null").select("session_id", "event_id", "ts", "number").groupBy("session_id").transformWithStateInPandas(_Prompts(int(idle.total_seconds() * 1000)), f"session_id {kind}, kind string, number long, event_id long", "append", "eventTime")
+    own = events.where("session_id is not null").select(F.pmod(F.xxhash64("session_id"), F.lit(groups)).alias("group"), "session_id", "ts", "number", _whole(F.unix_micros("ts")).alias("at"), _whole(F.col("event_id")).alias("event"))
+    return own.groupBy("group").applyInPandasWithState(
+        _prompted(int(idle.total_seconds() * 1000)), f"session_id {kind}, kind string, number long, event_id long", f"sessions array<struct<session_id: {kind}, number: bigint, queued: bigint, seen: bigint, known: array<array<bigint>>>>", "append", "EventTimeTimeout"
+    )
 
 
 def prompts_of_table(events: DataFrame) -> DataFrame:
@@ -94,54 +112,53 @@ def prompts_of_table(events: DataFrame) -> DataFrame:
     return own.select("session_id", F.lit("prompt").alias("kind"), "number", "event_id").unionByName(turns)
 
 
-class _Queue(StatefulProcessor):
-    """State of an item: its payload, attempts and state (waiting, done, dead)."""
-
-    def __init__(self, work: Callable[[str, int], str], most: int, backoff_ms: int):
-        self.work, self.most, self.backoff_ms = work, most, backoff_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.item = handle.getValueState("item", "payload string, attempts int, state string, error string")
+def _firsts(own: pd.DataFrame) -> pd.DataFrame:
+    """The earliest row of each item, of rows of one micro-batch."""
+    if own["id"].is_unique:
+        return own
+    return own.assign(known=own["payload"].fillna("")).sort_values(["id", "at", "known"]).drop_duplicates("id").drop(columns="known")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = min(((ts, payload) for part in rows for ts, payload in zip(part["ts"], part["payload"])), key=lambda x: (x[0], x[1] or ""))
-        out = []
-        if not self.item.exists():  # else it is queued already, or was
-            out = self._tried(key, first[1], 0, millis(first[0]), timerValues.getCurrentWatermarkInMs())
-        yield self._frame(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        payload, attempts, _, _ = self.item.get()
-        yield self._frame(self._tried(key, payload, attempts, expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
+def _queued(work: Callable[[str, int], str], most: int, backoff_ms: int):
+    """State of a group: its items that wait for their next try. Every row that comes is a new item."""
 
-    def _tried(self, key, payload: str, attempts: int, due: int, now: int) -> list[tuple]:
+    def tried(item, payload, attempts: int, due: int, now: int) -> tuple[tuple | None, tuple | None]:
+        """What came of it, or the item as it waits."""
         while True:
             try:
-                result = self.work(payload, attempts + 1)
+                result = work(payload, attempts + 1)
             except Exception as error:  # noqa: BLE001  a failed item must not end the stream
-                attempts, told = attempts + 1, str(error)[:500]
-                if attempts >= self.most:
-                    self.item.update((None, attempts, "dead", told))
-                    return [(key[0], "dead", attempts, None, told)]
-                due += self.backoff_ms << (attempts - 1)
+                attempts += 1
+                if attempts >= most:
+                    return (item, "dead", attempts, None, str(error)[:500]), None
+                due += backoff_ms << (attempts - 1)
                 if due > now:
-                    self.item.update((payload, attempts, "waiting", told))
-                    self.handle.registerTimer(due)
-                    return []
+                    return None, (item, payload, attempts, due)
                 continue  # the watermark has passed the next try already
-            self.item.update((None, attempts + 1, "done", None))
-            return [(key[0], "done", attempts + 1, result, None)]
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["id", "state", "attempts", "result", "error"]).astype({"attempts": "int32"})
-
-    def close(self) -> None:
-        pass
-
-
-def worked(items: DataFrame, work: Callable[[str, int], str], most: int = 5, backoff: dt.timedelta = dt.timedelta(seconds=10)) -> DataFrame:
+            return (item, "done", attempts + 1, result, None), None
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now, waiting, out = state.getCurrentWatermarkMs(), [], []
+        todo = []
+        for item, payload, attempts, due in state.get[0] if state.exists else []:
+            (todo if due <= now else waiting).append((item, payload, attempts, due))
+        if not state.hasTimedOut:
+            for part in batches:
+                todo += [(item, payload, 0, 0 if at == NONE else at // 1000) for item, payload, at in zip(part["id"], part["payload"], part["at"])]
+        for one in todo:
+            made, waits = tried(*one, now)
+            (waiting if made is None else out).append(waits if made is None else made)
+        if waiting:
+            state.update((waiting,))
+            state.setTimeoutTimestamp(min(x[3] for x in waiting))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["id", "state", "attempts", "result", "error"], dtype=object)
+
+    return run
+
+
+def worked(items: DataFrame, work: Callable[[str, int], str], most: int = 5, backoff: dt.timedelta = dt.timedelta(seconds=10), groups: int = GROUPS) -> DataFrame:
     """(id, state, attempts, result, error): each item of a queue once, when it is done or dead.
 
     items: id (rows without one are refused), payload, ts with a watermark; an id that comes again is the same item. ``work(payload, attempt)`` gives a text or
@@ -151,4 +168,9 @@ def worked(items: DataFrame, work: Callable[[str, int], str], most: int = 5, bac
     repeatable; results come once. All due items of a micro-batch are worked side by side, whatever their order.
     """
     kind = items.schema["id"].dataType.simpleString()
-    return items.where("id is not null").select("id", "payload", "ts").groupBy("id").transformWithStateInPandas(_Queue(work, most, int(backoff.total_seconds() * 1000)), f"id {kind}, state string, attempts int, result string, error string", "append", "eventTime")
+    own = items.where("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"), "id", "payload", "ts", _whole(F.unix_micros("ts")).alias("at"))
+    kept = own.dropDuplicates(["group", "id", "ts", "payload", "at"])  # what is late goes here, before its id is known
+    first = kept.groupBy("group").applyInPandas(_firsts, kept.schema)  # with the watermark's mark on ts, which is part of the schema
+    return first.dropDuplicates(["id"]).groupBy("group").applyInPandasWithState(
+        _queued(work, most, int(backoff.total_seconds() * 1000)), f"id {kind}, state string, attempts int, result string, error string", f"waiting array<struct<id: {kind}, payload: string, attempts: int, due: bigint>>", "append", "EventTimeTimeout"
+    )

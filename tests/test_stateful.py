@@ -1,6 +1,7 @@
 """Stateful streams and exactly-once sinks, with restarts and replays."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -77,6 +78,60 @@ def test_queue_retries_and_dead_letters(spark, tmp_path):
     assert rows() == done and spark.read.parquet(out).count() == len(done)
 
 
+def held(spark, stream, out, check):
+    """Runs a stream and gives the most rows of state that its operator of groups held."""
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators if o.operatorName != "dedupe")
+
+
+def test_items_share_groups_and_late_ones_may_come_again(spark, tmp_path):
+    stateful.prepared(spark)
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    made = lambda: stateful.worked(spark.readStream.schema(ITEM).parquet(src).withWatermark("ts", "0 seconds"), faulty, 4, dt.timedelta(minutes=10), groups=8)
+    rows = lambda: {(r.id, r.state, r.attempts, r.result) for r in spark.read.parquet(out).collect()}
+    kinds = ["fine", "third", "never"]
+    own = [(str(i), kinds[i % 3], after(1)) for i in range(300)]
+    put(spark, src, ITEM, [*own, *own, ("0", "never", after(3)), ("1", None, after(2)), ("n", "third", None), (None, "fine", after(1))])
+    assert 0 < held(spark, made(), out, check) <= 8  # 200 items wait in 8 groups
+    done = {(str(i), "done", 1, "fine at 1") for i in range(0, 300, 3)} | {("n", "done", 3, "third at 3")}
+    assert rows() == done  # the earliest of an item counts; one without a time is due at once
+    put(spark, src, ITEM, [("late", "fine", after(0)), ("w", "fine", after(500))])
+    held(spark, made(), out, check)
+    done |= {("w", "done", 1, "fine at 1")} | {(str(i), "done", 3, "third at 3") for i in range(1, 300, 3)} | {(str(i), "dead", 4, None) for i in range(2, 300, 3)}
+    assert rows() == done
+    put(spark, src, ITEM, [("late", "fine", after(600)), ("2", "fine", after(600))])
+    held(spark, made(), out, check)
+    done |= {("late", "done", 1, "fine at 1")}
+    assert rows() == done and spark.read.parquet(out).count() == len(done)
+
+
+def test_sessions_share_groups(spark, tmp_path):
+    stateful.prepared(spark)
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    made = lambda: stateful.prompts(spark.readStream.schema(PROMPT).parquet(src).withWatermark("ts", "0 seconds"), dt.timedelta(minutes=30), groups=8)
+    own = [(f"s{i % 200}", (1 << 60) + i, after(i % 7), None) for i in range(900)] + [("none", None, after(1), None), ("none", 7, None, None)]
+    put(spark, src, PROMPT, own)
+    assert held(spark, made(), out, check) <= 8
+    put(spark, src, PROMPT, [("far", 1, after(900), None)])
+    held(spark, made(), out, check)
+    table = spark.createDataFrame(own, PROMPT).withColumn("ts", F.coalesce("ts", F.lit(after(5_000))))
+    want = sorted(tuple(r) for r in stateful.prompts_of_table(table).select("session_id", "kind", "number", F.coalesce("event_id", F.lit(-1))).collect())
+    got = sorted(tuple(r) for r in spark.read.parquet(out).where("session_id <> 'far'").select("session_id", "kind", "number", F.coalesce("event_id", F.lit(-1))).collect())
+    assert got == want
+
+
+def test_ranges_of_numbers_equal_a_set():
+    r = random.Random(5)
+    for _ in range(200):
+        ranges, known = [], set()
+        for n in (r.randrange(30) for _ in range(40)):
+            assert stateful._added(ranges, n) == (n not in known)
+            known.add(n)
+            assert {k for a, b in ranges for k in range(a, b + 1)} == known
+            assert all(b + 1 < c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+
+
 LEDGER = "bucket string, baseline long, served long"
 
 
