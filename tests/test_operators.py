@@ -253,3 +253,26 @@ def test_fusion_weights_by_query(spark):
     weights = search.intent_weights(spark.createDataFrame([(1, "code_lookup")], "query_id long, intent string"))
     got = {(r.query_id, r.id): r.rrf for r in search.rrf(near, found, weights).collect()}
     assert math.isclose(got[1, 1], 1 / 61 + 1.5 / 60) and math.isclose(got[2, 1], 1 / 61 + 1 / 60) and got[1, 0] == got[2, 0] == 1 / 60
+
+
+def test_scores_are_whole_sums_rounded_as_in_sql(spark):
+    import random
+
+    import duckdb
+
+    r = random.Random(3)
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    texts = {i: [r.choice(words) for _ in range(r.randrange(1, 40))] for i in range(300)}
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "id long, content string").repartition(4)
+    found = search.or_search(spark.createDataFrame([(1, " ".join(words))], "query_id long, text string"), docs, 1_000).collect()
+    mean = sum(map(len, texts.values())) / len(texts)
+    df = {w: sum(w in x for x in texts.values()) for w in words}
+    for x in found:
+        parts, own = 0, texts[x.id]
+        for w in set(own):
+            idf, tf = math.log((300 - df[w] + 0.5) / (df[w] + 0.5)), own.count(w)
+            parts += math.floor((idf if idf > 0 else 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean)) * 1e9 + 0.5)
+        assert x.score == parts / 1e9
+    halves = [(33_000_000 + 10 * i + 5) / 1e7 for i in range(3_000)] + [33.2217735]
+    got = [x[0] for x in spark.createDataFrame([(x,) for x in halves], "x double").coalesce(1).select(search.six(F.col("x"))).collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [x]).fetchone()[0] for x in halves]
