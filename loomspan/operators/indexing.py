@@ -171,7 +171,9 @@ def _batch(db: Store, now: Snapshot, own: DataFrame, diff: DataFrame, buckets: l
     texts = fresh.select("id", searched_text().alias("content")).dropDuplicates(["id"])
     dead = old["chunks"].join(stale, "file_path", "left_semi").select("id").distinct().join(texts.select("id"), "id", "left_anti")
     append["fts"] = [(None, postings.write_generation(texts, dead, f"{db.root}/data/fts/{uuid.uuid4().hex}", full_text(db.spark, now)))]
-    return db.publish(now, replace, append, {"buckets": n, "dimension": dimension}), n_chunks, n_hits
+    made = db.publish(now, replace, append, {"buckets": n, "dimension": dimension})
+    fresh.unpersist()  # later batches need the room
+    return made, n_chunks, n_hits
 
 
 def _tidy(db: Store, now: Snapshot, full: bool) -> None:

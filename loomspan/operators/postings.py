@@ -35,6 +35,8 @@ from .snapshots import bucket_of
 #: Bytes of text for each file of postings, and the most folders of a generation; beyond it a folder has several files.
 FILE_BYTES, MOST_BUCKETS = 32 << 20, 512
 MAX_GENERATIONS = 8
+#: Words of documents whose places are sorted at once in a task.
+PART_WORDS = 1 << 18
 ROW_FIELDS = "term string, tf bigint, length bigint, deltas array<int>, bucket int"
 
 
@@ -43,13 +45,23 @@ def bucket_number(term: str, n: int) -> int:
     return ctypes.c_int64(xxhash.xxh64_intdigest(term.encode(), seed=42)).value % n
 
 
+def _parts(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of documents with ``PART_WORDS`` words or less, or of one document."""
+    ends = whole.column("words").offsets.to_numpy()
+    start = 0
+    while start < whole.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, int(ends[start]) + PART_WORDS, "right")) - 1)
+        yield whole.slice(start, stop - start)
+        start = stop
+
+
 def positions(docs: DataFrame) -> DataFrame:
     """(id, term, tf, length, deltas) of documents (id, content); all rows of a document come from one place, without a shuffle."""
     words = docs.select("id", index_terms(F.col("content")).alias("words")).where("size(words) > 0")
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             lists = batch.column("words")
             length = np.diff(lists.offsets.to_numpy())
             coded = lists.flatten().dictionary_encode()

@@ -21,16 +21,26 @@ PARTS_A_CORE = 4
 
 
 @lru_cache(maxsize=50_000)
-def _word(word: str, dimensions: int) -> np.ndarray:
-    raw = np.frombuffer(hashlib.sha256(word.encode()).digest(), dtype=np.uint8)
-    return np.resize(raw, dimensions) / 255.0 - 0.5
+def _digest(word: str) -> bytes:
+    return hashlib.sha256(word.encode()).digest()
 
 
 def hashed_vectors(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
-    out = np.zeros((len(texts), dimensions), dtype=np.float32)
-    for k, text in enumerate(texts):
-        for word in text.lower().split():
-            out[k] += _word(word, dimensions)
+    """Sums grow word by word in float32; those of all texts take their next word at once, in the columns before the digest comes again."""
+    index: dict[str, int] = {}
+    own = [[index.setdefault(w, len(index)) for w in text.lower().split()] for text in texts]
+    raw = np.frombuffer(b"".join(map(_digest, index)), dtype=np.uint8).reshape(len(index), -1)[:, :dimensions] if index else np.zeros((0, min(dimensions, 32)), dtype=np.uint8)
+    vectors = raw / 255.0 - 0.5
+    order = sorted(range(len(own)), key=lambda k: -len(own[k]))
+    lengths = np.array([len(own[k]) for k in order], dtype=np.int64)
+    words = np.fromiter((i for k in order for i in own[k]), dtype=np.int64, count=int(lengths.sum()))
+    begin = np.cumsum(lengths) - lengths
+    sums = np.zeros((len(own), vectors.shape[1]), dtype=np.float32)
+    longest = int(lengths[0]) if len(own) else 0
+    for j, n in enumerate(np.searchsorted(-lengths, -np.arange(longest)).tolist()):  # the n texts with more than j words
+        sums[:n] += vectors[words[begin[:n] + j]]
+    out = np.zeros((len(own), dimensions), dtype=np.float32)
+    out[order] = np.resize(sums.T, (dimensions, len(own))).T
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 
@@ -53,17 +63,17 @@ def halving(embed: Callable[[list[str]], np.ndarray], error: type[Exception] = V
 
 
 def embedded(rows: DataFrame, text: str, embed: Callable[[list[str]], np.ndarray] = hashed_vectors, batch: int = 64) -> DataFrame:
-    """Adds ``embedding``; each distinct text of a batch is embedded once, empty texts have none."""
+    """Adds ``embedding``; each distinct text of a batch is embedded once, by texts about as long as each other, empty texts have none."""
 
     @F.pandas_udf("array<float>")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in series:
-            distinct = [x for x in dict.fromkeys(s) if x]
+            distinct = sorted((x for x in dict.fromkeys(s) if x), key=len)
             found: dict[str, list[float]] = {}
             for k in range(0, len(distinct), batch):
                 part = distinct[k : k + batch]
                 found.update(zip(part, embed(part).tolist()))
-            yield s.map(found)
+            yield pd.Series([found.get(x) for x in s], dtype=object)
 
     return rows.withColumn("embedding", run(text))
 

@@ -1,5 +1,6 @@
 """The kept index against searches over the documents themselves."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomspan.operators import postings, search
@@ -40,3 +41,12 @@ def test_index_of_nulls_and_nothing(spark, tmp_path):
     assert [(r.query_id, r.id) for r in postings.search(queries, str(tmp_path / "i"), 5).collect()] == [(1, 3)]
     postings.build(docs.limit(0), str(tmp_path / "e"))
     assert postings.search(queries, str(tmp_path / "e"), 5).count() == 0
+
+
+def test_words_are_taken_in_parts_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(postings, "PART_WORDS", 10)
+    lists = [["a"] * n for n in (3, 7, 1, 25, 4, 4, 4, 10, 11)]
+    whole = pa.record_batch([pa.array(range(len(lists))), pa.array(lists)], names=["id", "words"])
+    parts = list(postings._parts(whole.slice(0, 4))) + list(postings._parts(whole.slice(4)))
+    assert [p.column("id").to_pylist() for p in parts] == [[0, 1], [2], [3], [4, 5], [6], [7], [8]]
+    assert [x for p in parts for x in p.column("words").to_pylist()] == lists

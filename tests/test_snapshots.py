@@ -1,5 +1,8 @@
 """Versions of a store: whole or not at all, pinned, one writer at a time; indexing as batches of them."""
 
+import hashlib
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +172,41 @@ def test_batches_of_a_run_are_few_and_embedding_is_dealt_out(spark, tmp_path, mo
     cache = spark.createDataFrame([], "content_hash string, embedding array<float>")
     out = embed.cached(rows, cache, "content", "s", tiny)
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 64
+
+
+def test_a_batch_leaves_the_cache_before_the_next(spark, tmp_path, monkeypatch):
+    frames, left, cached = [], [], embed.cached
+
+    def kept(*a):
+        left.extend(f for f in frames if f.storageLevel.useMemory)
+        frames.append(cached(*a))
+        return frames[-1]
+
+    monkeypatch.setattr(embed, "cached", kept)
+    files = {f"d/f{i}.py": f"def f{i}(a):\n    return a\n" for i in range(12)}
+    assert run(spark, files, str(tmp_path / "s"), batch_files=3).batches == len(frames) > 1
+    assert left == []
+
+
+def test_texts_of_about_one_length_are_embedded_at_once(spark):
+    def spans(batch):
+        sizes = [len(x) for x in batch]
+        return np.array([[min(sizes), max(sizes)] for _ in batch], dtype=np.float32)
+
+    texts = ["x" * (k * 37 % 101 + 1) for k in range(101)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, ""]], "text string").coalesce(1)
+    got = {x.text: x.embedding for x in embed.embedded(rows, "text", spans, batch=8).collect()}
+    assert got.pop("") is None and all(least <= len(t) <= most < least + 8 for t, (least, most) in got.items())
+
+
+def test_hashed_vectors_are_sums_word_by_word():
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(50)}" for _ in range(r.choice((1, 2, 40, 300)))) for _ in range(100)] + ["", "  ", "A a"]
+    for dimensions in (1, 5, 32, 70):
+        want = np.zeros((len(texts), dimensions), dtype=np.float32)
+        for k, text in enumerate(texts):
+            for word in text.lower().split():
+                want[k] += np.resize(np.frombuffer(hashlib.sha256(word.encode()).digest(), dtype=np.uint8), dimensions) / 255.0 - 0.5
+        norm = np.linalg.norm(want, axis=1, keepdims=True)
+        assert (embed.hashed_vectors(texts, dimensions) == want / np.where(norm > 0, norm, 1)).all()
+    assert embed.hashed_vectors([]).shape == (0, embed.DIMENSIONS)
