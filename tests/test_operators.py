@@ -276,3 +276,12 @@ def test_scores_are_whole_sums_rounded_as_in_sql(spark):
     halves = [(33_000_000 + 10 * i + 5) / 1e7 for i in range(3_000)] + [33.2217735]
     got = [x[0] for x in spark.createDataFrame([(x,) for x in halves], "x double").coalesce(1).select(search.six(F.col("x"))).collect()]
     assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [x]).fetchone()[0] for x in halves]
+
+
+def test_a_vertical_tab_keeps_texts_apart_as_in_sql(spark, tmp_path):
+    from loomspan.plans.search_plans import dedup_first_rank
+
+    texts = ["alpha beta", "alpha\x0bbeta", "alpha\x0c\nbeta ", "alpha \x0b beta", "\talpha\r\n beta", "other"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(50, "alpha beta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r.id for r in dedup_first_rank(spark, str(tmp_path)).collect()) == [0, 1, 3]
