@@ -2,7 +2,7 @@
 
 A generation is a folder: ``postings`` (term, id, tf, length, deltas) in folders by a hash of the term and sorted by it, so that
 a search reads the folders of its terms alone, and in them the row groups that hold them; ``lengths`` (id, length); and
-``summary``, one row with the number of live documents, their total length, and the number of buckets. ``deltas`` are the places of
+``summary``, one row with the number of live documents, their total length, the number of buckets, and that of live documents with a text. ``deltas`` are the places of
 a term in its document, each less the one before. ``build`` writes the first generation, ``update`` one with the documents that
 came or changed and a row without a length for those that went; what an earlier generation says of an id that a later one has
 no longer counts, which only the later, small generations are read for. ``compact`` writes the live rows as one generation.
@@ -13,7 +13,8 @@ own. A document's postings are made where its text is read; they are shuffled on
 
 Phrases: the terms asked for are put in their places again, document by document, and all phrases are looked for at once (``phrases.py``).
 
-Cases: an id that comes twice in one batch has to be the same document; null texts have no terms but count as documents.
+Cases: an id that comes twice in one batch has to be the same document; null texts have no terms but count as documents, though not
+in the mean length; their length is -1.
 """
 
 from __future__ import annotations
@@ -97,30 +98,30 @@ def _files(rows: DataFrame, folder: str, layout: tuple[int, int]) -> None:
     held.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{folder}/postings")
 
 
-def _summed(spark: SparkSession, folder: str, n: int, total: int, buckets: int) -> None:
+def _summed(spark: SparkSession, folder: str, n: int, total: int, buckets: int, texts: int) -> None:
     # The summary comes last: a generation counts once it is there.
-    spark.createDataFrame([(f"{n} {total} {buckets}",)], "value string").coalesce(1).write.text(f"{folder}/summary")
+    spark.createDataFrame([(f"{n} {total} {buckets} {texts}",)], "value string").coalesce(1).write.text(f"{folder}/summary")
 
 
 def write_generation(docs: DataFrame, gone: DataFrame | None, folder: str, earlier: Kept | None = None) -> str:
     """Documents (id, content) that came or changed, and ids (id) that went, as a generation after ``earlier`` ones."""
     spark, seen = docs.sparkSession, Observation()
-    length = F.coalesce(F.size(index_terms(F.col("content"))), F.lit(0)).cast("bigint")
+    length = F.when(F.col("content").isNull(), -1).otherwise(F.size(index_terms(F.col("content")))).cast("bigint")
     sizes = docs.select("id", length.alias("length"), F.octet_length("content").alias("size"))
-    sizes = sizes.observe(seen, F.count("*").alias("n"), F.sum("length").alias("total"), F.sum("size").alias("size")).drop("size")
+    sizes = sizes.observe(seen, F.count("*").alias("n"), F.sum(F.greatest("length", F.lit(0))).alias("total"), F.sum("size").alias("size"), F.count("size").alias("texts")).drop("size")
     if gone is not None:
         sizes = sizes.unionByName(gone.select("id", F.lit(None).cast("bigint").alias("length")))
     sizes.write.parquet(f"{folder}/lengths")
     facts = seen.get
-    n, total = facts["n"] or 0, facts["total"] or 0
+    n, total, texts = facts["n"] or 0, facts["total"] or 0, facts["texts"] or 0
     layout = _layout(facts["size"] or 0)
     _files(positions(docs), folder, layout)
     if earlier is not None and earlier.folders:
         own = spark.read.parquet(f"{folder}/lengths").select("id")
-        was = earlier.live().join(small(own, 200_000), "id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        was = earlier.live().join(small(own, 200_000), "id", "left_semi").agg(F.count("*"), F.coalesce(F.sum(F.greatest("length", F.lit(0))), F.lit(0)), F.count(F.when(F.col("length") >= 0, 1))).first()
         facts = earlier.facts()
-        n, total = n + facts[0] - was[0], total + facts[1] - was[1]
-    _summed(spark, folder, n, total, layout[0])
+        n, total, texts = n + facts[0] - was[0], total + facts[1] - was[1], texts + facts[3] - was[2]
+    _summed(spark, folder, n, total, layout[0], texts)
     return folder
 
 
@@ -129,14 +130,15 @@ class Kept:
 
     def __init__(self, spark: SparkSession, folders: list[str]):
         self.spark, self.folders = spark, list(folders)
-        self._facts: dict[str, tuple[int, int, int]] = {}
+        self._facts: dict[str, tuple[int, int, int, int]] = {}
 
-    def facts(self, folder: str | None = None) -> tuple[int, int, int]:
-        """Live documents and their total length after a generation (the last), and its buckets."""
+    def facts(self, folder: str | None = None) -> tuple[int, int, int, int]:
+        """Live documents and their total length after a generation (the last), its buckets, and live documents with a text."""
         if not self._facts:  # a line a generation, each in a file of its own
             lines = self.spark.read.text([f"{f}/summary" for f in self.folders]).select(F.col("_metadata.file_path"), "value").collect()
             for path, value in lines:
-                self._facts[path.split("/")[-3]] = tuple(map(int, value.split()))
+                n, total, buckets, *texts = map(int, value.split())  # older generations have no fourth number
+                self._facts[path.split("/")[-3]] = (n, total, buckets, *(texts or [n]))
         return self._facts[(folder or self.folders[-1]).split("/")[-1]]
 
     def lengths(self, first: int = 0) -> DataFrame:
@@ -175,8 +177,8 @@ class Kept:
         return rows.drop("gen")
 
     def whole(self) -> DataFrame:
-        n, total, _ = self.facts()
-        return self.spark.createDataFrame([(float(n), total / n if n else None)], "n double, mean_length double")
+        n, total, _, texts = self.facts()
+        return self.spark.createDataFrame([(float(n), total / texts if texts else None)], "n double, mean_length double")
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, id, score, rank) as ``search.or_search`` has it."""
@@ -192,12 +194,12 @@ class Kept:
 
     def compact(self, folder: str) -> str:
         """The live rows as one generation in another folder."""
-        n, total, _ = self.facts()
+        n, total, _, texts = self.facts()
         rows = self.read(columns=("tf", "length", "deltas"))
         layout = _layout(total * 6)
         _files(rows, folder, layout)
         self.live().select("id", "length").write.parquet(f"{folder}/lengths")
-        _summed(self.spark, folder, n, total, layout[0])
+        _summed(self.spark, folder, n, total, layout[0], texts)
         return folder
 
 

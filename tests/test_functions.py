@@ -204,3 +204,8 @@ def test_tool_lines(spark):
     df = spark.createDataFrame(rows, "tool string, raw string, want string")
     got = df.select(description(F.col("tool"), F.col("raw")).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_terms_lose_marks_of_all_scripts_as_in_sql(spark):
+    text = "Việt nhõ ḥoła Ёлка ἄνθρωπος हिन्दी が"
+    assert one(spark, tx.index_terms(F.col("text")), text=text) == ["viet", "nho", "hoła", "елка", "ανθρωπος", "हनद", "か"]

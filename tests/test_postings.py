@@ -50,3 +50,16 @@ def test_words_are_taken_in_parts_of_bounded_size(monkeypatch):
     parts = list(postings._parts(whole.slice(0, 4))) + list(postings._parts(whole.slice(4)))
     assert [p.column("id").to_pylist() for p in parts] == [[0, 1], [2], [3], [4, 5], [6], [7], [8]]
     assert [x for p in parts for x in p.column("words").to_pylist()] == lists
+
+
+def test_null_texts_do_not_count_in_the_mean_length(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None), (2, "a b c d"), (3, "a b"), (4, None), (5, "")], "id long, content string")
+    whole = search.collection(docs).first()
+    assert (whole.n, whole.mean_length) == (5, 2)
+    store = str(tmp_path / "i")
+    postings.build(docs, store)
+    assert tuple(postings.kept(spark, store).whole().first()) == (5, 2)
+    postings.update(spark.createDataFrame([(1, "a"), (2, None)], "id long, content string"), spark.createDataFrame([(4,)], "id long"), store)
+    assert tuple(postings.kept(spark, store).whole().first()) == (4, 1)  # 1, 3 and 5 have texts
+    postings.compact(spark, store, str(tmp_path / "c"))
+    assert tuple(postings.kept(spark, str(tmp_path / "c")).whole().first()) == (4, 1)
